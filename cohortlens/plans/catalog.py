@@ -261,3 +261,7 @@ def q_corr_upper(spark, d):
 @query("corr_lower", _corr_sql("WHERE i >= j"))
 def q_corr_lower(spark, d):
     return stats.corr_triangle(stats.corr_long(P.trimmed(spark, d)), upper=False)
+
+
+# the clustering-half queries register themselves into the same tables
+from cohortlens.plans import catalog_models  # noqa: E402,F401

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.operators.clean import reduce_raw
@@ -16,6 +15,7 @@ from cohortlens.operators.impute import impute_measures
 from cohortlens.operators.outliers import remove_outliers
 from cohortlens.operators.stats import zscore
 from cohortlens.schema import ID, MEASURES, ORG
+from cohortlens.session import cut_lineage
 from cohortlens.sources.measures import key_measures_raw
 
 
@@ -23,17 +23,19 @@ _MEMO: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stage(spark: SparkSession, data_dir: str, name: str, build) -> DataFrame:
-    """Build a stage once per session and keep it (memory, spilling to disk).
+    """Build a stage once per session and checkpoint it.
 
     Every later stage reads its input several times (statistics pass, then
-    the row pass), so without this each stage would re-run the whole chain
-    below it.  A lost executor's blocks are rebuilt from lineage, which is
-    deterministic (hash draws, literal thresholds).
+    the row pass), so without a cut each stage would carry -- and re-plan --
+    the whole chain below it.  ``checkpoint()`` writes the stage to the
+    cluster's shared checkpoint folder (``spark.checkpoint.dir``), so the
+    next stage starts from a short plan and a lost executor costs a re-read,
+    not a recomputation of the chain.
     """
     key = (spark.sparkContext.applicationId, data_dir, name)
     df = _MEMO.get(key)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        df = cut_lineage(build())
         _MEMO[key] = df
     return df
 
