@@ -47,3 +47,9 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 EMB_COLS = [f"e{i}" for i in range(EMB_DIM)]
+
+
+def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(person_id, cluster, is_core, n_neighbours) of DBSCAN on the scaled table."""
+    from cohortlens.operators import dbscan as db
+    return P.stage(spark, d, "dbscan", lambda: db.dbscan(P.scaled(spark, d), MEASURES))
