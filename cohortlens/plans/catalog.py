@@ -266,3 +266,4 @@ def q_corr_lower(spark, d):
 # the clustering-half queries register themselves into the same tables
 from cohortlens.plans import catalog_models  # noqa: E402,F401
 from cohortlens.plans import catalog_stats  # noqa: E402,F401
+from cohortlens.plans import catalog_mixture  # noqa: E402,F401

@@ -53,3 +53,32 @@ def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     """(person_id, cluster, is_core, n_neighbours) of DBSCAN on the scaled table."""
     from cohortlens.operators import dbscan as db
     return P.stage(spark, d, "dbscan", lambda: db.dbscan(P.scaled(spark, d), MEASURES))
+
+
+_FITS: dict = {}
+
+
+def mixture_grid(spark: SparkSession, d: str):
+    """BIC grid: G = 1..12 x 14 covariance models on the scaled table."""
+    from cohortlens.operators import mixture as mx
+    from cohortlens.schema import GRID_MODELS, MIXTURE_GROUPS
+    key = (spark.sparkContext.applicationId, d, "grid")
+    if key not in _FITS:
+        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS, max_iter=100)
+    return _FITS[key]
+
+
+def chosen_mixture(spark: SparkSession, d: str):
+    """The study's chosen model (EEV, G = 6)."""
+    from cohortlens.operators import mixture as mx
+    from cohortlens.schema import CHOSEN_MIXTURE
+    model, g = CHOSEN_MIXTURE
+    key = (spark.sparkContext.applicationId, d, "chosen")
+    if key not in _FITS:
+        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model], max_iter=200)[(g, model)]
+    return _FITS[key]
+
+
+def lpa_labels(spark: SparkSession, d: str) -> DataFrame:
+    from cohortlens.operators import mixture as mx
+    return P.stage(spark, d, "lpa", lambda: mx.classify(P.scaled(spark, d), MEASURES, chosen_mixture(spark, d)))
