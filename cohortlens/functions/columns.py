@@ -66,3 +66,8 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation that is NULL (not an ANSI error) for a constant column."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))

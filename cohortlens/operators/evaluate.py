@@ -87,7 +87,7 @@ def silhouette_rows(df: DataFrame, cols: Sequence[str], label: str = "cluster",
     a = F.col("sum_own") / (F.col("n_own") - 1).cast("double")
     s = (F.when(F.col("n_own") <= 1, F.lit(0.0))
          .when(F.col("b").isNull(), F.lit(0.0))
-         .otherwise((F.col("b") - a) / F.greatest(a, F.col("b"))))
+         .otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))))
     return per.select(key, label, F.when(F.col("n_own") > 1, a).alias("a"), "b", s.alias("s"))
 
 

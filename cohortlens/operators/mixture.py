@@ -295,6 +295,8 @@ def _classify(cols, params, key):
 
 def classify(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> DataFrame:
     """(key, cluster, uncertainty, log_map): MAP component (1-based) per row."""
+    if fit.failed or fit.sigma is None:
+        raise ValueError(f"{fit.model} with G={fit.g} did not fit (singular covariance)")
     params = _prepare(fit)
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         _classify(list(cols), params, key), f"{key} bigint, cluster bigint, uncertainty double, log_map double")

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import safe_corr
+
 from cohortlens.schema import ID, MEASURES
 
 
@@ -69,7 +71,7 @@ def corr_values(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pearson correlation matrix (d x d) from one aggregation of d(d-1)/2 pairs."""
     d = len(cols)
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
-    row = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first() if pairs else None
+    row = df.agg(*[safe_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first() if pairs else None
     r = np.eye(d)
     for i, j in pairs:
         v = row[f"c{i}_{j}"]
@@ -81,7 +83,7 @@ def corr_long(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame:
     """(var_x, var_y, i, j, r): every ordered pair including the diagonal."""
     d = len(cols)
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
-    stats = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    stats = df.agg(*[safe_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs])
     # The 1-row statistics row is unpivoted into pairs: no join, no cross product.
     exprs = []
     for i in range(d):

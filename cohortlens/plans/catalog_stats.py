@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import safe_corr
+
 from cohortlens.operators import dbscan as db
 from cohortlens.operators import reshape, stats
 from cohortlens.operators.quantile import exact_quantiles
@@ -266,7 +268,7 @@ def _pair_corr_sql():
 def q_pair_corr_by_cluster(spark, d):
     x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
     pairs = [(a, b) for i, a in enumerate(M) for j, b in enumerate(M) if i < j]
-    wide = x.groupBy("cluster").agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = x.groupBy("cluster").agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     exprs = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"{a}__{b}").alias("r"))
              for a, b in pairs]
     return wide.select("cluster", F.explode(F.array(*exprs)).alias("p")).select("cluster", "p.*")
