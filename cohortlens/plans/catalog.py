@@ -267,3 +267,4 @@ def q_corr_lower(spark, d):
 from cohortlens.plans import catalog_models  # noqa: E402,F401
 from cohortlens.plans import catalog_stats  # noqa: E402,F401
 from cohortlens.plans import catalog_mixture  # noqa: E402,F401
+from cohortlens.plans import catalog_io  # noqa: E402,F401

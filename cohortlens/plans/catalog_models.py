@@ -214,9 +214,7 @@ def q_elbow_curve(spark, d):
 
 @query("kmeans_assign")
 def q_kmeans_assign(spark, d):
-    x = P.scaled(spark, d)
-    fit = km.sweep(x, M, [6], nstart=10, max_iter=100, seed=123)
-    return km.assign(x, M, fit.best(6).centres).select(ID, "cluster")
+    return MD.kmeans_labels(spark, d)
 
 
 # ---------------------------------------------------------------- evaluation on given labels

@@ -82,3 +82,12 @@ def chosen_mixture(spark: SparkSession, d: str):
 def lpa_labels(spark: SparkSession, d: str) -> DataFrame:
     from cohortlens.operators import mixture as mx
     return P.stage(spark, d, "lpa", lambda: mx.classify(P.scaled(spark, d), MEASURES, chosen_mixture(spark, d)))
+
+
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    """K-means with 6 centres: best of 10 starts, at most 100 Lloyd iterations."""
+    def build():
+        x = P.scaled(spark, d)
+        fit = km.sweep(x, MEASURES, [6], nstart=10, max_iter=100, seed=123)
+        return km.assign(x, MEASURES, fit.best(6).centres).select(ID, "cluster")
+    return P.stage(spark, d, "kmeans6", build)

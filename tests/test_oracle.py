@@ -15,6 +15,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 def _norm(v):
     if v is None:
         return None
+    if isinstance(v, (list, tuple)) or getattr(v, "ndim", 0) > 0:
+        return tuple(_norm(x) for x in list(v))
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
