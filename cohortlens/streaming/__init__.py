@@ -1,0 +1,4 @@
+"""No streaming operators: the analysed workflow reads finished tables only.
+
+Kept as a package so that the layout stays uniform; see README.
+"""
