@@ -103,3 +103,27 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         for k, key in enumerate(missing):
             result[key] = row[f"q{k}"]
     return result
+
+
+def grouped_quantiles(df: DataFrame, group: str, cols: Sequence[str], probs: Sequence[float]):
+    """{(group value, col, p): quantile}.
+
+    Groups up to EXACT_LIMIT rows use the exact one-pass ``percentile``
+    (buffer bounded by the group size); a larger group -- one cluster may
+    hold a third of all rows -- goes through the distributed two-pass
+    ``exact_quantiles`` on its own rows.
+    """
+    cols, probs = list(cols), list(probs)
+    sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [g for g, n in sizes.items() if n <= EXACT_LIMIT]
+    out = {}
+    if small:
+        exprs = [F.percentile(c, p).alias(f"q{i}_{j}") for i, c in enumerate(cols) for j, p in enumerate(probs)]
+        for r in df.where(F.col(group).isin(small)).groupBy(group).agg(*exprs).collect():
+            for i, c in enumerate(cols):
+                for j, p in enumerate(probs):
+                    out[(r[group], c, p)] = r[f"q{i}_{j}"]
+    for g in (g for g, n in sizes.items() if n > EXACT_LIMIT):
+        for (c, p), v in exact_quantiles(df.where(F.col(group) == g), cols, probs).items():
+            out[(g, c, p)] = v
+    return out

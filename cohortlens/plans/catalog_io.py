@@ -173,3 +173,41 @@ def q_adjusted_rand_kmeans_lpa(spark, d):
     a = MD.kmeans_labels(spark, d).withColumnRenamed("cluster", "a")
     b = MD.lpa_labels(spark, d).select(ID, F.col("cluster").alias("b"))
     return ev.adjusted_rand(a, b)
+
+
+# ---------------------------------------------------------------- cluster plot data (K6) and boxes (D11)
+
+def _projection(spark, d):
+    from cohortlens.operators import stats
+    x = P.scaled(spark, d)
+    fit = stats.PCAFit(x, M)
+    pts = fit.scores(x, (ID,), 2).withColumnRenamed("PC1", "x").withColumnRenamed("PC2", "y")
+    return pts.join(MD.kmeans_labels(spark, d), ID)
+
+
+@query("cluster_projection")
+def q_cluster_projection(spark, d):
+    return _projection(spark, d)
+
+
+@query("cluster_hull")
+def q_cluster_hull(spark, d):
+    from cohortlens.operators.hull import convex_hulls
+    return convex_hulls(_projection(spark, d))
+
+
+BOX_P = [0.0, 0.25, 0.5, 0.75, 1.0]
+BOX_N = ["min", "q1", "median", "q3", "max"]
+
+
+@query("pair_box_by_cluster", SCALED + "," + KM6 + ",\nu AS (" + " UNION ALL ".join(
+    f"SELECT l.cluster, '{c}' AS name, s.{c} AS v FROM scaled s JOIN k6_lab_final l USING (person_id)" for c in M)
+    + ")\nSELECT cluster, name, " + ", ".join(f"round(quantile_cont(v, {p}), 6) AS {n}" for p, n in zip(BOX_P, BOX_N))
+    + " FROM u GROUP BY cluster, name")
+def q_pair_box_by_cluster(spark, d):
+    from cohortlens.operators.quantile import grouped_quantiles
+    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    q = grouped_quantiles(x, "cluster", M, BOX_P)
+    groups = sorted({g for g, _, _ in q})
+    rows = [(g, c, *[q[(g, c, p)] for p in BOX_P]) for g in groups for c in M]
+    return spark.createDataFrame(rows, "cluster bigint, name string, " + ", ".join(f"{n} double" for n in BOX_N))

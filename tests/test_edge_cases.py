@@ -157,3 +157,18 @@ def test_dbscan_matches_brute_force(spark):
     for i in range(len(x)):
         want = comp[i] + 1 if core[i] else (comp[nb[i] & core].min() + 1 if (nb[i] & core).any() else 0)
         assert got[i + 1] == want
+
+
+def test_convex_hull_contains_all_points(spark):
+    from cohortlens.operators.hull import convex_hulls
+    rng = np.random.default_rng(3)
+    pts = rng.normal(size=(400, 2))
+    rows = [(i, i % 2, float(p[0]), float(p[1])) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "person_id bigint, cluster bigint, x double, y double").repartition(4)
+    hull = convex_hulls(df).toPandas()
+    for c in (0, 1):
+        h = hull[hull.cluster == c].sort_values("vertex")[["x", "y"]].to_numpy()
+        sub = pts[np.arange(400) % 2 == c]
+        for p in sub:
+            for a, b in zip(h, np.roll(h, -1, axis=0)):
+                assert (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= -1e-9
