@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID
+from cohortlens.operators.prefix import running_total
 from cohortlens.session import cut_lineage
 
 BLOCK_ROWS = 2048
@@ -192,9 +193,8 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts:
     with_comp = flagged.join(comps.select(F.col("id").alias(key), "comp"), key, "left")
     border = (with_comp.groupBy("_g").applyInPandas(_border_labels(cols, key, eps2), f"{key} bigint, comp bigint")
               .groupBy(key).agg(F.min("comp").alias("bcomp")))
-    numbers = comps.select("comp").distinct()
-    # one row per cluster: numbering the clusters is a bounded window.
-    numbers = numbers.withColumn("cluster", F.row_number().over(Window.orderBy("comp")).cast("bigint"))
+    numbers = running_total(comps.select("comp").distinct().withColumn("_one", F.lit(1)),
+                            [], ["comp"], "_one", out="cluster").select("comp", F.col("cluster").cast("bigint"))
     out = (core.join(comps.select(F.col("id").alias(key), "comp"), key, "left")
            .join(border, key, "left")
            .withColumn("comp", F.coalesce("comp", "bcomp"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import draw_rank, uniform01
+from cohortlens.operators.prefix import running_total
 from cohortlens.schema import ID, ORG
 
 RANK_BUCKETS = 1024
@@ -54,13 +55,15 @@ def value_distribution(df: DataFrame, value: str, group: str | None = None,
     return out.select(*cols)
 
 
-def _cumulative(counts: DataFrame, scope: str, grp) -> DataFrame:
-    """(scope, grp, field, lo, hi, total) with lo/hi cumulative counts by field."""
-    w = Window.partitionBy("grp").orderBy("field")
-    return (counts.select(F.lit(scope).alias("scope"), grp.alias("grp"), "field", "n")
-            .withColumn("hi", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("lo", F.col("hi") - F.col("n"))
-            .withColumn("total", F.sum("n").over(Window.partitionBy("grp"))))
+def _cumulative(counts: DataFrame) -> DataFrame:
+    """(scope, grp, field, lo, hi, total) with lo/hi cumulative counts by field.
+
+    A distributed running total (no window holding a whole distribution);
+    group totals come from an aggregate joined back on the group key.
+    """
+    cum = running_total(counts, ["scope", "grp"], ["field"], "n", out="hi")
+    tot = counts.groupBy("scope", "grp").agg(F.sum("n").alias("total"))
+    return cum.join(tot, ["scope", "grp"]).withColumn("lo", F.col("hi") - F.col("n"))
 
 
 def _bucket(r, total):
@@ -72,7 +75,7 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
     """Fill NULLs in ``value`` by weighted draws; other columns are kept."""
     observed = df.where(F.col(value).isNotNull())
     all_counts = observed.groupBy(F.col(value).alias("field")).agg(F.count(F.lit(1)).alias("n"))
-    cum = _cumulative(all_counts, "all", F.lit(""))
+    counts = all_counts.select(F.lit("all").alias("scope"), F.lit("").alias("grp"), "field", "n")
     overall_total = all_counts.agg(F.sum("n")).first()[0]
     if overall_total is None:  # nothing observed: nothing to draw from
         return df
@@ -80,7 +83,8 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
     if group:
         org_counts = (observed.groupBy(F.col(group).alias("g"), F.col(value).alias("field"))
                       .agg(F.count(F.lit(1)).alias("n")))
-        cum = cum.unionByName(_cumulative(org_counts.withColumnRenamed("g", "grp"), "org", F.col("grp")))
+        counts = counts.unionByName(org_counts.select(F.lit("org").alias("scope"), F.col("g").alias("grp"),
+                                                      "field", "n"))
         org_tot = org_counts.groupBy(F.col("g").alias("_g")).agg(F.sum("n").alias("_gtotal"))
         base = df.join(org_tot, df[group].eqNullSafe(org_tot["_g"]), "left").drop("_g")
         has_org = F.col("_gtotal").isNotNull()
@@ -91,6 +95,7 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
         base = df.withColumn("_gtotal", F.lit(None).cast("bigint"))
         scope, grp, total = F.lit("all"), F.lit(""), F.lit(overall_total)
 
+    cum = _cumulative(counts)
     missing = F.col(value).isNull()
     rank = draw_rank(uniform01(key, salt), total)
     left = base.withColumns({
