@@ -13,8 +13,11 @@ Starts: hard K-means partitions (one K-means sweep over G).  A fit whose
 covariance becomes singular (or a component empties) fails: its BIC is
 NULL and the grid continues.  BIC = 2 logLik - npar log(n) (larger is better).
 
-Models EVE and VVE (common orientation with varying shapes) need an inner
-orientation solver that is not built yet: they report NULL BIC.
+Models EVE and VVE (common orientation, varying shapes) have no closed
+form: their M-step alternates the diagonal parts with a majorisation-
+minimisation update of the common orientation D (minimise
+sum_k tr(W_k D B_k D^T) over orthogonal D: linearise at the current D using
+W_k <= w_k I, then take the orthogonal Procrustes solution by SVD).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from cohortlens.operators import kmeans as km
 from cohortlens.schema import GRID_MODELS, ID
 
 LOG2PI = math.log(2 * math.pi)
-NOT_BUILT = {"EVE", "VVE"}
+NOT_BUILT: set[str] = set()
 
 
 def n_params(model: str, g: int, d: int) -> int:
@@ -54,8 +57,13 @@ def _detroot(m: np.ndarray) -> float:
     return math.exp(logdet / m.shape[0])
 
 
-def m_step(model: str, nk: np.ndarray, w: np.ndarray, inner: int = 50) -> np.ndarray:
-    """Covariances (G x d x d) from component sizes nk and scatter matrices w."""
+def m_step(model: str, nk: np.ndarray, w: np.ndarray, inner: int = 100,
+           prev: np.ndarray | None = None) -> np.ndarray:
+    """Covariances (G x d x d) from component sizes nk and scatter matrices w.
+
+    ``prev`` (the current covariances) warm-starts the iterative models, so
+    each M-step improves on the current parameters (a generalised EM step).
+    """
     g, d = w.shape[0], w.shape[1]
     n = nk.sum()
     wt = w.sum(axis=0)
@@ -104,6 +112,8 @@ def m_step(model: str, nk: np.ndarray, w: np.ndarray, inner: int = 50) -> np.nda
         return np.stack([lam * w[k] / roots[k] for k in range(g)])
     if model == "VVV":
         return np.stack([w[k] / nk[k] for k in range(g)])
+    if model in ("EVE", "VVE"):
+        return _common_orientation(model, nk, w, inner, prev)
     if model in ("EEV", "VEV"):
         vals, vecs = zip(*[np.linalg.eigh(w[k]) for k in range(g)])
         om = [np.clip(v[::-1], 0.0, None) for v in vals]      # descending eigenvalues
@@ -126,6 +136,44 @@ def m_step(model: str, nk: np.ndarray, w: np.ndarray, inner: int = 50) -> np.nda
     raise ValueError(f"covariance model {model} not available")
 
 
+def _common_orientation(model: str, nk: np.ndarray, w: np.ndarray, inner: int,
+                        prev: np.ndarray | None = None) -> np.ndarray:
+    """Sigma_k = D C_k D^T with C_k diagonal: EVE (C_k = lambda A_k, det A_k = 1)
+    or VVE (C_k free).  Alternates C_k given D and an MM step for D."""
+    g, d = w.shape[0], w.shape[1]
+    n = nk.sum()
+    _, dmat = np.linalg.eigh(w.sum(axis=0) if prev is None else prev[0])
+    top = np.array([np.linalg.eigvalsh(w[k])[-1] for k in range(g)])
+
+    def diag_parts(dm):
+        proj = np.stack([np.diag(dm.T @ w[k] @ dm) for k in range(g)])     # g x d
+        if np.any(proj <= 0):
+            raise np.linalg.LinAlgError("degenerate component")
+        if model == "VVE":
+            return proj / nk[:, None]
+        roots = np.exp(np.log(proj).mean(axis=1))
+        shapes = proj / roots[:, None]
+        lam = roots.sum() / n
+        return lam * shapes
+
+    def objective(dm, c):
+        return sum(np.sum(np.diag(dm.T @ w[k] @ dm) / c[k]) for k in range(g))
+
+    c = diag_parts(dmat)
+    prev = objective(dmat, c)
+    for _ in range(inner):
+        b = 1.0 / c
+        gmat = sum(b[k][:, None] * (dmat.T @ w[k]) - top[k] * (b[k][:, None] * dmat.T) for k in range(g))
+        u, _, vt = np.linalg.svd(gmat)
+        dmat = -(vt.T @ u.T)
+        c = diag_parts(dmat)
+        cur = objective(dmat, c)
+        if abs(prev - cur) <= 1e-10 * (1 + abs(cur)):
+            break
+        prev = cur
+    return np.stack([dmat @ np.diag(c[k]) @ dmat.T for k in range(g)])
+
+
 @dataclass
 class Fit:
     model: str
@@ -265,7 +313,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
             fit.n = int(round(nk.sum()))
             try:
                 with np.errstate(all="raise"):
-                    sigma = m_step(fit.model, nk, w)
+                    sigma = m_step(fit.model, nk, w, prev=fit.sigma)
                 if not np.all(np.isfinite(sigma)):
                     raise FloatingPointError("non-finite covariance")
                 fit.pi, fit.mu, fit.sigma = nk / nk.sum(), mu, sigma

@@ -49,7 +49,7 @@ def test_kmeans_cost_and_elbow(spark, scaled):
 
 
 def test_mixture_loglik_monotone_and_g1_closed_form(spark, scaled):
-    fits = mixture.fit_grid(scaled, MEASURES, [1, 3], ["EII", "VVI", "EEE", "VVV", "EEV"], max_iter=60)
+    fits = mixture.fit_grid(scaled, MEASURES, [1, 3], ["EII", "VVI", "EEE", "VVV", "EEV", "EVE", "VVE"], max_iter=60)
     for (g, m), f in fits.items():
         if f.failed:
             continue
