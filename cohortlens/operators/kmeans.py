@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import sq_distance
+from cohortlens.operators.partials import combine
 from cohortlens.operators.sampling import sample_key
 from cohortlens.schema import ID
 
@@ -104,10 +105,9 @@ def _pass(df, cols, centres_by_run):
     schema = "run int, cluster int, n bigint, sse double, " + ", ".join(f"s{j} double" for j in range(d))
     parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         _partial_sums(cols, centres_by_run), schema)
-    rows = parts.groupBy("run", "cluster").agg(
-        F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)]
-    ).collect()
-    return rows
+    per_part = sum(c.shape[0] for c in centres_by_run.values())
+    return combine(parts, ["run", "cluster"], ["n", "sse"] + [f"s{j}" for j in range(d)],
+                   df.rdd.getNumPartitions(), per_part)
 
 
 def lloyd(df: DataFrame, cols: Sequence[str], starts: dict[int, np.ndarray], max_iter: int,
@@ -128,8 +128,8 @@ def lloyd(df: DataFrame, cols: Sequence[str], starts: dict[int, np.ndarray], max
         rows = _pass(df, cols, current)
         stats = {r: (np.zeros(runs[r].k), np.zeros(runs[r].k), np.zeros((runs[r].k, d))) for r in active}
         for row in rows:
-            n, sse, sums = stats[row["run"]]
-            c = row["cluster"]
+            n, sse, sums = stats[int(row["run"])]
+            c = int(row["cluster"])
             n[c], sse[c] = row["n"], row["sse"]
             sums[c] = [row[f"s{j}"] for j in range(d)]
         finished = set()
@@ -164,7 +164,7 @@ def fixed_steps(df: DataFrame, cols: Sequence[str], start: np.ndarray, steps: in
         rows = _pass(df, cols, {0: c})
         new = c.copy()
         for row in rows:
-            new[row["cluster"]] = [row[f"s{j}"] / row["n"] for j in range(d)]
+            new[int(row["cluster"])] = [row[f"s{j}"] / row["n"] for j in range(d)]
         c = new
     return c
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import kmeans as km
+from cohortlens.operators.partials import combine
 from cohortlens.schema import GRID_MODELS, ID
 
 LOG2PI = math.log(2 * math.pi)
@@ -257,14 +258,20 @@ def _pass(df, cols, states):
     schema = ("fit int, k int, nk double, ll double, " + ", ".join(f"s{j} double" for j in range(d)) + ", "
               + ", ".join(f"q{j} double" for j in range(d * d)))
     stat_cols = ["nk", "ll"] + [f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)]
-    rows = (df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states), schema)
-            .groupBy("fit", "k").agg(*[F.sum(c).alias(c) for c in stat_cols]).collect())
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states), schema)
+    per_part = sum(_components(state) for state in states.values())
+    rows = combine(parts, ["fit", "k"], stat_cols, df.rdd.getNumPartitions(), per_part)
     out: dict[int, dict[int, dict]] = {}
     for r in rows:
-        out.setdefault(r["fit"], {})[r["k"]] = r.asDict()
+        out.setdefault(int(r["fit"]), {})[int(r["k"])] = r
     return out
 
 
+def _components(state) -> int:
+    kind, payload = state
+    return payload.shape[0] if kind == "hard" else len(payload[0])
+
+
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
              max_iter: int = 200, tol: float = 1e-5, seed: int = 123) -> dict[tuple[int, str], Fit]:
     """EM for every (G, model) pair; returns fits keyed by (G, model)."""
