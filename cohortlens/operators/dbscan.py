@@ -149,18 +149,19 @@ def _border_labels(cols, key, eps2):
     return fn
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
     """(id, comp): smallest id of each connected component.
 
     Min-label propagation over the edges plus pointer jumping (label of the
-    label), checkpointed each round; rounds grow with log(diameter).
+    label), checkpointed each round, repeated until no label changes (no
+    round cap: the result is always the exact component minimum).
     """
     spark = edges.sparkSession
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) \
         .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     und = cut_lineage(und)
     lab = cut_lineage(nodes.select(F.col(node).alias("id"), F.col(node).alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         prop = (und.join(lab.withColumnRenamed("id", "b").withColumnRenamed("comp", "cb"), "b")
                 .groupBy(F.col("a").alias("id")).agg(F.min("cb").alias("cn")))
         step = lab.join(prop, "id", "left").select("id", F.least("comp", F.coalesce("cn", "comp")).alias("comp"))
