@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID
 from cohortlens.operators.prefix import running_total
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, ship_package
 
 BLOCK_ROWS = 2048
 
@@ -179,6 +179,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS,
            key: str = ID, grid_m: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, cluster, is_core, n_neighbours): cluster 0 is noise."""
+    ship_package(df.sparkSession)
     cols = list(cols)
     eps2 = eps * eps
     dims = grid_dims(df, cols, eps, grid_m)
@@ -232,6 +233,7 @@ def knn_distance(df: DataFrame, cols: Sequence[str], k: int = DBSCAN_MIN_PTS, ke
     only the k smallest distances per row, so a row's candidates number at
     most k x blocks before the final pick.
     """
+    ship_package(df.sparkSession)
     cols = list(cols)
     n = df.count()
     blocks = max(1, math.ceil(n / block_rows))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import sq_distance
 from cohortlens.operators import kmeans as km
 from cohortlens.schema import ID
+from cohortlens.session import ship_package
 
 BLOCK_ROWS = 2048
 
@@ -66,6 +67,7 @@ def silhouette_rows(df: DataFrame, cols: Sequence[str], label: str = "cluster",
 
     s = (b - a) / max(a, b); a row alone in its cluster gets 0.
     """
+    ship_package(df.sparkSession)
     cols = list(cols)
     n = df.count()
     blocks = max(1, math.ceil(n / block_rows))

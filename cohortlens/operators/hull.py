@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cohortlens.session import ship_package
+
 
 def monotone_chain(pts: np.ndarray) -> np.ndarray:
     """Hull vertices in counter-clockwise order (Andrew's monotone chain)."""
@@ -57,6 +59,7 @@ def _final(label, x, y):
 
 def convex_hulls(df: DataFrame, label: str = "cluster", x: str = "x", y: str = "y") -> DataFrame:
     """(label, vertex, x, y): hull vertices per cluster, counter-clockwise."""
+    ship_package(df.sparkSession)
     base = df.select(label, df[x].cast("double").alias(x), df[y].cast("double").alias(y))
     part = base.mapInPandas(_partial(label, x, y), f"{label} bigint, {x} double, {y} double")
     return part.groupBy(label).applyInPandas(_final(label, x, y),

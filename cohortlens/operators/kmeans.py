@@ -29,6 +29,7 @@ from cohortlens.functions.columns import sq_distance
 from cohortlens.operators.partials import combine
 from cohortlens.operators.sampling import sample_key
 from cohortlens.schema import ID
+from cohortlens.session import ship_package
 
 
 @dataclass
@@ -101,6 +102,7 @@ def _partial_sums(cols, centres_by_run):
 
 
 def _pass(df, cols, centres_by_run):
+    ship_package(df.sparkSession)
     d = len(cols)
     schema = "run int, cluster int, n bigint, sse double, " + ", ".join(f"s{j} double" for j in range(d))
     parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import kmeans as km
 from cohortlens.operators.partials import combine
 from cohortlens.schema import GRID_MODELS, ID
+from cohortlens.session import ship_package
 
 LOG2PI = math.log(2 * math.pi)
 NOT_BUILT: set[str] = set()
@@ -254,6 +255,7 @@ def _estep(cols, states):
 
 
 def _pass(df, cols, states):
+    ship_package(df.sparkSession)
     d = len(cols)
     schema = ("fit int, k int, nk double, ll double, " + ", ".join(f"s{j} double" for j in range(d)) + ", "
               + ", ".join(f"q{j} double" for j in range(d * d)))
@@ -352,6 +354,7 @@ def classify(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> Dat
     """(key, cluster, uncertainty, log_map): MAP component (1-based) per row."""
     if fit.failed or fit.sigma is None:
         raise ValueError(f"{fit.model} with G={fit.g} did not fit (singular covariance)")
+    ship_package(df.sparkSession)
     params = _prepare(fit)
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         _classify(list(cols), params, key), f"{key} bigint, cluster bigint, uncertainty double, log_map double")
