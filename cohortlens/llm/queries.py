@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import quality_rules, simhash
+from cohortlens.llm import mixing, quality_rules, sharding, simhash
 from cohortlens.llm.common import read_table
 
 
@@ -12,9 +12,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), cap=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup)}
