@@ -171,3 +171,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tu
     return out.select(id_col, "size", "source", "source_size", "target",
                       (F.col("whole") + F.col("copies")).alias("copies"),
                       ((F.col("whole") + F.col("copies")) * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2),
+              cap: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged.
+
+    Rows are met again by a hash of id and text. Equal rows are
+    interchangeable: they share out the copies of all of them.
+    """
+    from pyspark.sql.window import Window
+
+    row_key = F.xxhash64(F.col(id_col), F.col(text_col))
+    mixed = mix_sources(docs.select(row_key.alias("__row"), "source", F.col(text_col).alias("text")), weights, share, cap, seed, "__row")
+    taken = stage(mixed.groupBy("__row").agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")),
+                  "mix-copies")
+    rn = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return (docs.withColumn("__row", row_key).join(taken.where("__c > 0"), "__row")
+            .withColumn("__rn", rn)
+            .withColumn("__k", F.floor(F.col("__c") / F.col("__n"))
+                        + (F.col("__rn") <= F.col("__c") % F.col("__n")).cast("long"))
+            .where("__k > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

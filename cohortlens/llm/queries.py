@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import mixing, quality_rules, sharding, simhash
+from cohortlens.llm import mixing, pieces, quality_rules, secrets, sharding, simhash
 from cohortlens.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), cap=2)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -28,4 +32,9 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1, variants=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup,
+                                op10_sentencepiece)}
