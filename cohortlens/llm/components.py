@@ -57,4 +57,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new_state == state:
             break
         state = new_state
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
