@@ -21,6 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from cohortlens.llm.common import stage, start
 
@@ -41,7 +43,6 @@ def source_order(sizes: DataFrame) -> DataFrame:
     """
     src = stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
                 .repartitionByRange(F.col("source").asc_nulls_last()), "mix-sources")
-    from pyspark.sql.window import Window
     part = (src.withColumn("part", F.input_file_name()))
     first = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"),
                                      F.min(F.struct(F.col("source").isNull().alias("z"), "source")).alias("lo"))
@@ -121,7 +122,7 @@ def round_copies(rows: DataFrame, seed: int = 0) -> DataFrame:
     decided = rows.where("size = 0 or p <= 0 or p >= 1").withColumn(
         "copies", F.when(F.col("p") >= 1, 1).otherwise(0).cast("long"))
     open_ = rows.where("size > 0 and p > 0 and p < 1")
-    schema = rows.withColumn("copies", F.lit(0).cast("long")).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema] + [StructField("copies", LongType())])
 
     def run(level: int):
         def f(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +181,6 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tupl
     Rows are met again by a hash of id and text. Equal rows are
     interchangeable: they share out the copies of all of them.
     """
-    from pyspark.sql.window import Window
 
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
     mixed = mix_sources(docs.select(row_key.alias("__row"), "source", F.col(text_col).alias("text")), weights, share, cap, seed, "__row")
