@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import mixing, pieces, quality_rules, secrets, sharding, simhash
+from cohortlens.llm import embedding_dedup, mixing, pieces, quality_rules, secrets, sharding, simhash
 from cohortlens.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1, variants=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup,
                                 op10_sentencepiece)}
