@@ -7,6 +7,7 @@ temporary arrays of a task stay bounded; one longer text is a chunk by itself.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -38,11 +39,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage)."""
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage).
+
+    ``release``: have the driver collect its garbage, so that Spark's cleaner
+    drops the shuffle files of the finished stage now and not some time later.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

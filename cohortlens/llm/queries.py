@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import embedding_dedup, mixing, pieces, quality_rules, secrets, sharding, simhash
+from cohortlens.llm import embedding_dedup, mixing, pieces, quality_rules, secrets, sharding, simhash, suffix_dedup
 from cohortlens.llm.common import read_table
 
 
@@ -36,9 +36,13 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_texts(read_table(spark, sf_dir, "documents"), length=100)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1, variants=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op8_simhash_dedup, op9_suffix_dedup,
                                 op10_sentencepiece)}
