@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import embedding_dedup, mixing, pieces, pii, quality_rules, secrets, sharding, simhash, suffix_dedup
+from cohortlens.llm import embedding_dedup, kneser_ney, mixing, pieces, pii, quality_rules, secrets, sharding, simhash, suffix_dedup
 from cohortlens.llm.common import read_table
 
 
@@ -31,6 +31,11 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                               quantile=0.995)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"), min_probability=0.9, train_rows=50_000)
 
@@ -48,5 +53,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1, variants=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op7_pii, op8_simhash_dedup, op9_suffix_dedup,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op6_kneser_ney, op7_pii, op8_simhash_dedup, op9_suffix_dedup,
                                 op10_sentencepiece)}
