@@ -158,7 +158,7 @@ def features(text: str, kind: int, s: int, e: int) -> tuple[list[float], list[bo
         sum(ch.isdigit() for ch in window) / max(1, len(window)),
         sum(ch.isupper() for ch in window) / max(1, len(window)),
         float(num[:1] in "3456" if num else 0), float(num[:1] == "0"),
-    ] + [float(x) for x in around]
+    ] + [float(x) for x in around] + [float(kind == k) for k in range(len(KINDS))]
     return [float(v) for v in values], around
 
 
