@@ -183,13 +183,12 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tupl
     """
 
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    mixed = mix_sources(docs.select(row_key.alias("__row"), "source", F.col(text_col).alias("text")), weights, share, cap, seed, "__row")
-    taken = stage(mixed.groupBy("__row").agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")),
-                  "mix-copies")
-    rn = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return (docs.withColumn("__row", row_key).join(taken.where("__c > 0"), "__row")
-            .withColumn("__rn", rn)
-            .withColumn("__k", F.floor(F.col("__c") / F.col("__n"))
-                        + (F.col("__rn") <= F.col("__c") % F.col("__n")).cast("long"))
-            .where("__k > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    mixed = mix_sources(docs.select(row_key.alias("row"), "source", F.col(text_col).alias("text")), weights, share,
+                        cap, seed, "row")
+    taken = stage(mixed.groupBy("row").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")), "mix-copies")
+    rows = docs.select(row_key.alias("row"), F.struct("*").alias("doc"))           # no column can clash
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return (rows.join(taken.where("c > 0"), "row").withColumn("nth", nth)
+            .withColumn("k", F.floor(F.col("c") / F.col("n")) + (F.col("nth") <= F.col("c") % F.col("n")).cast("long"))
+            .where("k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+            .select("doc.*"))

@@ -150,9 +150,9 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_distance: int = 2,
     """
     groups = simhash_components(docs, shingle, max_distance, seed)
     gone = stage(groups.where("component_id is not null and not (doc_id <=> component_id)")
-                 .select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    left = docs.join(gone, docs.doc_id.eqNullSafe(gone["__gone"]), "left_anti")
-    once = (left.where("doc_id is not null")
-            .withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-            .where("__rn = 1").drop("__rn"))
-    return once.unionByName(left.where("doc_id is null"))
+                 .select(F.col("doc_id").alias("gone")).distinct(), "simhash-gone")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("doc"))   # no column can clash
+    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    once = (left.where("id is not null")
+            .withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("nth = 1"))
+    return once.select("doc.*").unionByName(left.where("id is null").select("doc.*"))
