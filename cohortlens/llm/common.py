@@ -169,6 +169,12 @@ class Rolling:
         h = (self.sum[hi] - self.sum[lo]) * self.inv[lo]
         return mix(h + (hi - lo).astype(np.uint64) * _M2)
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of ``width`` values, as ``range`` gives them."""
+        n = len(self.sum) - width
+        return mix((self.sum[width:] - self.sum[:-width]) * self.inv[:n]
+                   + U64(width * int(_M2) % (1 << 64)))
+
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(found twice or more, found earlier) for each key, in input order."""
