@@ -31,12 +31,14 @@ def lenient_double(col: str | Column) -> Column:
 def uniform01(key: str | Column, salt: str) -> Column:
     """Deterministic uniform draw in [0, 1) from a key and a salt.
 
-    First 32 bits of md5(key || '|' || salt); the same value is reproducible in
-    any SQL engine with md5, so imputed draws can be checked row by row.
+    First 60 bits of md5(key || '|' || salt), enough to reach every rank of a
+    distribution up to the 53 bits of a double; the same value is reproducible
+    in any SQL engine with md5, so imputed draws can be checked row by row.
     """
     k = F.col(key) if isinstance(key, str) else key
-    h = F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit("|" + salt))), 1, 8), 16, 10)
-    return h.cast("bigint") / F.lit(4294967296.0)
+    h = F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit("|" + salt))), 1, 15), 16, 10)
+    # the low bits go first: rounding up to 1.0 is impossible
+    return F.shiftright(h.cast("bigint"), 7).cast("double") / F.lit(float(1 << 53))
 
 
 def draw_rank(u: Column, total: Column) -> Column:

@@ -100,11 +100,17 @@ def _neighbour_counts(cols, key, eps2):
     return fn
 
 
-def _find(parent, i):
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of each of ``n`` nodes along the links (i, j)."""
+    lab = np.arange(n)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        np.minimum.at(new, j, lab[i])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
 
 
 def _core_forest(cols, key, eps2):
@@ -114,25 +120,17 @@ def _core_forest(cols, key, eps2):
         empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
         if q.empty or r.empty:
             return empty
-        within = _dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2
-        qi, ri = np.nonzero(within)
-        ids = np.unique(np.concatenate([q[key].to_numpy(), r[key].to_numpy()]))
-        pos = {v: i for i, v in enumerate(ids)}
-        parent = list(range(len(ids)))
-        qid, rid = q[key].to_numpy(), r[key].to_numpy()
-        src, dst = [], []
-        for a, b in zip(qid[qi], rid[ri]):
-            if a == b:
-                continue
-            ra, rb = _find(parent, pos[a]), _find(parent, pos[b])
-            if ra != rb:
-                parent[ra] = rb
-                src.append(min(a, b))
-                dst.append(max(a, b))
-        return pd.DataFrame({"src": np.array(src, dtype="int64"), "dst": np.array(dst, dtype="int64")})
+        qi, ri = np.nonzero(_dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2)
+        ids, where = np.unique(np.concatenate([q[key].to_numpy(), r[key].to_numpy()]), return_inverse=True)
+        root = _forest(len(ids), where[qi], where[len(q) + ri])
+        tied = root != np.arange(len(ids))
+        return pd.DataFrame({"src": ids[root[tied]], "dst": ids[tied]})
     return fn
 
 
+NO_COMPONENT = np.iinfo(np.int64).max
+
+
 def _border_labels(cols, key, eps2):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf[(pdf["_role"] == 0) & (~pdf["core"])]
@@ -141,11 +139,9 @@ def _border_labels(cols, key, eps2):
         if q.empty or r.empty:
             return empty
         within = _dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2
-        comp = r["comp"].to_numpy().astype(float)
-        masked = np.where(within, comp[None, :], np.inf)
-        best = masked.min(axis=1)
-        ok = np.isfinite(best)
-        return pd.DataFrame({key: q[key].to_numpy()[ok], "comp": best[ok].astype("int64")})
+        best = np.where(within, r["comp"].to_numpy(np.int64)[None, :], NO_COMPONENT).min(axis=1)
+        ok = best < NO_COMPONENT
+        return pd.DataFrame({key: q[key].to_numpy()[ok], "comp": best[ok]})
     return fn
 
 
@@ -156,7 +152,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -
     label), checkpointed each round, repeated until no label changes (no
     round cap: the result is always the exact component minimum).
     """
-    spark = edges.sparkSession
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) \
         .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     und = cut_lineage(und)
@@ -172,7 +167,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -
         lab = new
         if changed == 0:
             break
-    del spark
     return lab
 
 
@@ -192,7 +186,8 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts:
     edges = flagged.groupBy("_g").applyInPandas(_core_forest(cols, key, eps2), "src bigint, dst bigint").distinct()
     comps = connected_components(edges, core.where("is_core").select(key), node=key)
 
-    with_comp = flagged.join(comps.select(F.col("id").alias(key), "comp"), key, "left")
+    with_comp = (flagged.join(comps.select(F.col("id").alias(key), "comp"), key, "left")
+                 .withColumn("comp", F.coalesce("comp", F.lit(int(NO_COMPONENT)))))    # a NULL would turn ids to floats
     border = (with_comp.groupBy("_g").applyInPandas(_border_labels(cols, key, eps2), f"{key} bigint, comp bigint")
               .groupBy(key).agg(F.min("comp").alias("bcomp")))
     numbers = running_total(comps.select("comp").distinct().withColumn("_one", F.lit(1)),

@@ -13,9 +13,8 @@ exploded to the buckets it covers, and rows join on (scope, group, bucket)
 plus ``lo <= r < hi``.  The distribution side is an aggregate (distinct
 values); AQE broadcasts it when small, otherwise both sides shuffle on the
 bucketed key, which spreads even a dominant organisation evenly because
-``u`` is uniform.  Rows that are not missing carry NULL keys and pass
-through the left join untouched, so the big table is never joined back to
-itself.
+``u`` is uniform.  Only rows with a missing value take part; the others are
+united with the filled ones as they are, so no key collects them.
 """
 
 from __future__ import annotations
@@ -96,24 +95,21 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
         scope, grp, total = F.lit("all"), F.lit(""), F.lit(overall_total)
 
     cum = _cumulative(counts)
-    missing = F.col(value).isNull()
-    rank = draw_rank(uniform01(key, salt), total)
-    left = base.withColumns({
-        "_scope": F.when(missing, scope),
-        "_grp": F.when(missing, grp),
-        "_r": F.when(missing, rank),
-    }).withColumn("_b", _bucket(F.col("_r"), total))
+    # only rows with a missing value are joined; the others pass by
+    rank = draw_rank(uniform01(key, salt), F.col("_total"))
+    left = (base.where(F.col(value).isNull())
+            .withColumns({"_scope": scope, "_grp": grp, "_total": total.cast("bigint")})
+            .withColumn("_r", rank).withColumn("_b", _bucket(F.col("_r"), F.col("_total"))))
 
     right = (cum.withColumn("_b", F.explode(F.sequence(_bucket(F.col("lo"), F.col("total")),
                                                       _bucket(F.col("hi") - 1, F.col("total")))))
              .select(F.col("scope").alias("_rs"), F.col("grp").alias("_rg"), F.col("_b").alias("_rb"),
                      F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("field").alias("_drawn")))
 
-    cond = ((left["_scope"] == right["_rs"]) & (left["_grp"] == right["_rg"])
+    cond = (left["_scope"].eqNullSafe(right["_rs"]) & left["_grp"].eqNullSafe(right["_rg"])
             & (left["_b"] == right["_rb"]) & (left["_r"] >= right["_lo"]) & (left["_r"] < right["_hi"]))
-    out = left.join(right, cond, "left")
-    return (out.withColumn(value, F.coalesce(F.col(value), F.col("_drawn")))
-            .select(*df.columns))
+    drawn = left.join(right, cond, "left").withColumn(value, F.col("_drawn")).select(*df.columns)
+    return observed.select(*df.columns).unionByName(drawn)
 
 
 def impute_measures(reduced: DataFrame) -> DataFrame:

@@ -18,11 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import sq_distance
@@ -56,14 +55,35 @@ class KMeansSweep:
 
 def start_rows(df: DataFrame, cols: Sequence[str], seeds: Sequence[int], k_max: int,
                key: str = ID) -> dict[int, np.ndarray]:
-    """Per seed, the k_max rows with the smallest md5 key (ordered)."""
-    parts = [df.select(F.lit(s).alias("_seed"), sample_key(key, s).alias("_k"), F.col(key).alias("_id"),
-                       *[F.col(c).cast("double").alias(c) for c in cols])
-             .orderBy("_k", "_id").limit(k_max) for s in seeds]
-    rows = reduce(lambda a, b: a.unionByName(b), parts).collect()
+    """Per seed, the k_max rows with the smallest md5 key (ordered).
+
+    One scan for all seeds: a bounded ``min_by``-style top-k per seed, kept
+    as a sorted array of at most k_max rows in each partial aggregate.
+    """
+    ship_package(df.sparkSession)
+    cols, seeds = list(cols), list(seeds)
+    d = len(cols)
+    src = df.select(F.col(key).cast("bigint").alias("_id"), *[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(cols)],
+                    *[sample_key(key, s).alias(f"k{i}") for i, s in enumerate(seeds)])
+    out_cols = ["_seed", "_k", "_id"] + [f"c{j}" for j in range(d)]
+
+    def top(it):
+        best = {i: None for i in range(len(seeds))}
+        for pdf in it:
+            for i in best:
+                part = pdf[[f"k{i}", "_id"] + [f"c{j}" for j in range(d)]].rename(columns={f"k{i}": "_k"})
+                part = part if best[i] is None else pd.concat([best[i], part])
+                best[i] = part.sort_values(["_k", "_id"]).head(k_max)
+        for i, part in best.items():
+            if part is not None:
+                yield part.assign(_seed=seeds[i])[out_cols]
+
+    schema = "_seed int, _k bigint, _id bigint, " + ", ".join(f"c{j} double" for j in range(d))
+    w = Window.partitionBy("_seed").orderBy("_k", "_id")     # tasks x k_max rows per seed
+    rows = (src.mapInPandas(top, schema).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k_max).collect())
     out: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["_seed"], r["_k"], r["_id"])):
-        out.setdefault(r["_seed"], []).append([r[c] for c in cols])
+    for r in sorted(rows, key=lambda r: (r["_seed"], r["_rn"])):
+        out.setdefault(r["_seed"], []).append([r[f"c{j}"] for j in range(d)])
     return {s: np.array(v, dtype=float) for s, v in out.items()}
 
 
@@ -80,44 +100,50 @@ def _partial_sums(cols, centres_by_run):
     d = len(cols)
 
     def fn(it):
+        total = {run: [np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros((len(c), d))]
+                 for run, c in centres_by_run.items()}
         for pdf in it:
             x = pdf[cols].to_numpy(dtype=float)
-            frames = []
+            if not len(x):
+                continue
             for run, c in centres_by_run.items():
                 d2 = _sqdist(x, c)
                 lab = np.argmin(d2, axis=1)
-                best = d2[np.arange(len(x)), lab]
                 k = c.shape[0]
-                cnt = np.bincount(lab, minlength=k)
-                sse = np.bincount(lab, weights=best, minlength=k)
-                sums = np.stack([np.bincount(lab, weights=x[:, j], minlength=k) for j in range(d)], axis=1) \
-                    if len(x) else np.zeros((k, d))
-                f = pd.DataFrame({"run": run, "cluster": np.arange(k), "n": cnt.astype("int64"), "sse": sse})
+                cnt, sse, sums = total[run]
+                cnt += np.bincount(lab, minlength=k)
+                sse += np.bincount(lab, weights=d2[np.arange(len(x)), lab], minlength=k)
                 for j in range(d):
-                    f[f"s{j}"] = sums[:, j]
-                frames.append(f[f["n"] > 0])
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                    sums[:, j] += np.bincount(lab, weights=x[:, j], minlength=k)
+        frames = []
+        for run, (cnt, sse, sums) in total.items():
+            f = pd.DataFrame({"run": run, "cluster": np.arange(len(cnt)), "n": cnt, "sse": sse})
+            for j in range(d):
+                f[f"s{j}"] = sums[:, j]
+            frames.append(f[f["n"] > 0])
+        yield pd.concat(frames, ignore_index=True)
     return fn
 
 
-def _pass(df, cols, centres_by_run):
+def _partials(df, cols, centres_by_run) -> DataFrame:
+    """Tasks x components rows of sums."""
     ship_package(df.sparkSession)
-    d = len(cols)
-    schema = "run int, cluster int, n bigint, sse double, " + ", ".join(f"s{j} double" for j in range(d))
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
+    schema = "run int, cluster int, n bigint, sse double, " + ", ".join(f"s{j} double" for j in range(len(cols)))
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         _partial_sums(cols, centres_by_run), schema)
-    per_part = sum(c.shape[0] for c in centres_by_run.values())
-    return combine(parts, ["run", "cluster"], ["n", "sse"] + [f"s{j}" for j in range(d)],
-                   df.rdd.getNumPartitions(), per_part)
+
+
+def _pass(df, cols, centres_by_run):
+    return combine(_partials(df, cols, centres_by_run), ["run", "cluster"],
+                   ["n", "sse"] + [f"s{j}" for j in range(len(cols))])
 
 
 def lloyd(df: DataFrame, cols: Sequence[str], starts: dict[int, np.ndarray], max_iter: int,
-          tol: float = 0.0) -> dict[int, KMeansRun]:
+          tol: float = 1e-12) -> dict[int, KMeansRun]:
     """Run Lloyd iterations for several runs at once.
 
     ``starts`` maps run id -> initial centres (k x d).  A run stops when its
-    centres no longer move (or after ``max_iter`` updates); the reported cost,
+    centres no longer move beyond rounding (or after ``max_iter`` updates); the reported cost,
     sizes and withinss are those of the final centres.
     """
     cols = list(cols)
@@ -148,7 +174,7 @@ def lloyd(df: DataFrame, cols: Sequence[str], starts: dict[int, np.ndarray], max
             moved = np.max(np.abs(new - run.centres)) if len(new) else 0.0
             run.centres = new
             run.iterations = it + 1
-            if moved <= tol:
+            if moved <= tol * (1.0 + np.max(np.abs(new), initial=0.0)):
                 run.converged = True
                 finished.add(r)
         active -= finished

@@ -37,7 +37,6 @@ from cohortlens.schema import GRID_MODELS, ID
 from cohortlens.session import ship_package
 
 LOG2PI = math.log(2 * math.pi)
-NOT_BUILT: set[str] = set()
 
 
 def n_params(model: str, g: int, d: int) -> int:
@@ -187,6 +186,7 @@ class Fit:
     prev: float | None = None
     iterations: int = 0
     failed: bool = False
+    reason: str | None = None
     converged: bool = False
     n: int = 0
     init_centres: np.ndarray | None = None
@@ -235,25 +235,39 @@ def _estep(cols, states):
     d = len(cols)
 
     def fn(it):
+        total: dict[int, list] = {}
         for pdf in it:
             x = pdf[cols].to_numpy(dtype=float)
-            frames = []
+            if not len(x):
+                continue
             for fid, state in states.items():
                 r, ll = _responsibilities(x, state)
-                nk = r.sum(axis=0)
-                sx = r.T @ x
-                g = r.shape[1]
-                sxx = np.stack([(x * r[:, k, None]).T @ x for k in range(g)]).reshape(g, d * d)
-                f = pd.DataFrame({"fit": fid, "k": np.arange(g), "nk": nk,
-                                  "ll": np.where(np.arange(g) == 0, ll, 0.0)})
-                stats = pd.DataFrame(np.hstack([sx, sxx]),
-                                     columns=[f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)])
-                frames.append(pd.concat([f, stats], axis=1))
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                shift = _shift(state)
+                stats = [r.sum(axis=0), ll, r.T @ x,
+                         np.stack([((x - shift[k]) * r[:, k, None]).T @ (x - shift[k]) for k in range(r.shape[1])])]
+                if fid in total:
+                    for i, v in enumerate(stats):
+                        total[fid][i] = total[fid][i] + v
+                else:
+                    total[fid] = stats
+        frames = []
+        for fid, (nk, ll, sx, sxx) in total.items():
+            g = len(nk)
+            f = pd.DataFrame({"fit": fid, "k": np.arange(g), "nk": nk, "ll": np.where(np.arange(g) == 0, ll, 0.0)})
+            stats = pd.DataFrame(np.hstack([sx, sxx.reshape(g, d * d)]),
+                                 columns=[f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)])
+            frames.append(pd.concat([f, stats], axis=1))
+        if frames:
+            yield pd.concat(frames, ignore_index=True)
     return fn
 
 
+def _shift(state) -> np.ndarray:
+    """Scatter is summed around these points (the previous means), which keeps it from cancelling."""
+    kind, payload = state
+    return payload if kind == "hard" else payload[1]
+
+
 def _pass(df, cols, states):
     ship_package(df.sparkSession)
     d = len(cols)
@@ -261,22 +275,19 @@ def _pass(df, cols, states):
               + ", ".join(f"q{j} double" for j in range(d * d)))
     stat_cols = ["nk", "ll"] + [f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)]
     parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states), schema)
-    per_part = sum(_components(state) for state in states.values())
-    rows = combine(parts, ["fit", "k"], stat_cols, df.rdd.getNumPartitions(), per_part)
     out: dict[int, dict[int, dict]] = {}
-    for r in rows:
+    for r in combine(parts, ["fit", "k"], stat_cols):
         out.setdefault(int(r["fit"]), {})[int(r["k"])] = r
     return out
 
 
-def _components(state) -> int:
-    kind, payload = state
-    return payload.shape[0] if kind == "hard" else len(payload[0])
-
-
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
-             max_iter: int = 200, tol: float = 1e-5, seed: int = 123) -> dict[tuple[int, str], Fit]:
-    """EM for every (G, model) pair; returns fits keyed by (G, model)."""
+             tol: float = 1e-5, seed: int = 123) -> dict[tuple[int, str], Fit]:
+    """EM for every (G, model) pair until the likelihood settles; fits keyed by (G, model).
+
+    EM never lowers the likelihood, so every fit ends by ``tol`` or fails with
+    a ``reason``; there is no cap on its iterations.
+    """
     cols = list(cols)
     d = len(cols)
     starts = km.sweep(df, cols, list(groups), nstart=1, max_iter=20, seed=seed)
@@ -286,11 +297,10 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
     for g in groups:
         centres = starts.best(g).centres
         for m in models:
-            fits[fid] = Fit(model=m, g=g, init_centres=centres, failed=m in NOT_BUILT)
+            fits[fid] = Fit(model=m, g=g, init_centres=centres, failed=False)
             keys[fid] = (g, m)
             fid += 1
     states = {f: ("hard", fit.init_centres) for f, fit in fits.items() if not fit.failed}
-    it = 0
     while states:
         stats = _pass(df, cols, states)
         nxt = {}
@@ -302,36 +312,34 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
             if state[0] == "soft":
                 lls = [comp[k]["ll"] for k in comp]
                 if any(v is None or not math.isfinite(v) for v in lls):
-                    fit.failed = True
+                    fit.failed, fit.reason = True, "likelihood not finite"
                     continue
                 fit.prev, fit.loglik = fit.loglik, float(sum(lls))
                 fit.history.append(fit.loglik)
                 if fit.prev is not None and abs(fit.loglik - fit.prev) <= tol * (1 + abs(fit.loglik)):
                     fit.converged = True
                     continue
-                if it >= max_iter:
-                    continue
             if np.any(nk <= 1e-8):
-                fit.failed = True
+                fit.failed, fit.reason = True, "empty component"
                 continue
             sx = np.array([[comp[k][f"s{j}"] for j in range(d)] for k in range(g)])
             sxx = np.array([[comp[k][f"q{j}"] for j in range(d * d)] for k in range(g)]).reshape(g, d, d)
             mu = sx / nk[:, None]
-            w = sxx - nk[:, None, None] * np.einsum("ki,kj->kij", mu, mu)
+            off = mu - _shift(state)
+            w = sxx - nk[:, None, None] * np.einsum("ki,kj->kij", off, off)
             w = (w + np.transpose(w, (0, 2, 1))) / 2
             fit.n = int(round(nk.sum()))
             try:
-                with np.errstate(all="raise"):
+                with np.errstate(divide="raise", invalid="raise", over="raise"):
                     sigma = m_step(fit.model, nk, w, prev=fit.sigma)
                 if not np.all(np.isfinite(sigma)):
                     raise FloatingPointError("non-finite covariance")
                 fit.pi, fit.mu, fit.sigma = nk / nk.sum(), mu, sigma
                 nxt[f] = ("soft", _prepare(fit))
                 fit.iterations += 1
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError, OverflowError):
-                fit.failed = True
+            except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError, OverflowError) as e:
+                fit.failed, fit.reason = True, str(e)[:80] or type(e).__name__
         states = nxt
-        it += 1
     return {keys[f]: fit for f, fit in fits.items()}
 
 

@@ -1,11 +1,9 @@
 """Combining per-task partial sums of the iterative fits.
 
-Each task of a K-means / EM pass emits one row per (fit, component).  When
-partitions x rows-per-partition is small (bounded below DRIVER_ROWS) the
-partials are fetched as Arrow batches and summed on the driver, like a tree
-aggregate -- one stage per iteration instead of two.  Beyond the bound they
-are summed by a Spark ``groupBy`` so the driver never receives more than
-the final per-component rows.
+Each task of a K-means / EM pass adds up over all its batches and emits one
+row per (fit, component) when it ends, so a pass makes tasks x components rows.
+They are summed by a Spark ``groupBy``; the driver receives the final
+per-component rows only.
 """
 
 from __future__ import annotations
@@ -15,16 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DRIVER_ROWS = 200_000
 
-
-def combine(partials: DataFrame, keys: Sequence[str], values: Sequence[str], n_partitions: int,
-            rows_per_partition: int) -> list[dict]:
-    keys, values = list(keys), list(values)
-    if n_partitions * rows_per_partition <= DRIVER_ROWS:
-        pdf = partials.toPandas()
-        if pdf.empty:
-            return []
-        return pdf.groupby(keys, as_index=False)[values].sum(min_count=1).to_dict("records")
+def combine(partials: DataFrame, keys: Sequence[str], values: Sequence[str]) -> list[dict]:
     rows = partials.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]).collect()
     return [r.asDict() for r in rows]

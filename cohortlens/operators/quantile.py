@@ -1,18 +1,19 @@
-"""Exact quantiles (R type 7 / linear interpolation) that scale.
+"""Exact quantiles (R type 7 / linear interpolation) with bounded state.
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer, which does not survive a continuous measure over
-billions of rows.  This does it in two passes with bounded state:
+billions of rows. This takes two passes, the same at every size:
 
 1. ``percentile_approx`` brackets each wanted order statistic between two
-   data values ``L <= x <= U`` (rank error at most n/accuracy each side);
+   data values ``L <= x <= U`` (rank error at most n/accuracy each side), all
+   columns, probabilities and groups in one aggregation;
 2. one aggregation counts the values below ``L`` and the count per distinct
    value inside ``[L, U]`` (a window of about 4n/accuracy values), then a
    running count over that small window picks the exact order statistics.
 
-Only the chosen values (two per column and probability) reach the driver.
-Should a bracket miss (the sketch guarantee makes this unexpected), that
-column falls back to the exact one-pass ``percentile``.
+Only the chosen values (two per group, column and probability) reach the
+driver. Should a bracket miss, it is widened and the second pass repeated for
+what is missing; the widest bracket holds all values.
 """
 
 from __future__ import annotations
@@ -24,106 +25,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100000
-# Up to this many non-NULL values per column the exact one-pass
-# ``percentile`` is used directly: its buffer is bounded by the row count.
-EXACT_LIMIT = 2_000_000
 
 
 def _interp(lo: float, hi: float, frac: float) -> float:
     return lo + (hi - lo) * frac if frac else lo
 
 
+def _quantiles(df: DataFrame, group: str | None, cols: list[str], probs: list[float], accuracy: int) -> dict:
+    """{(group value, col, p): quantile}; group value None without a group."""
+    spark = df.sparkSession
+    g_type = df.schema[group].dataType.simpleString() if group else "int"
+    base = df.select((F.col(group) if group else F.lit(None).cast("int")).alias("_g"),
+                     *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    names = [f"c{i}" for i in range(len(cols))]
+    long = base.unpivot(["_g"], names, "name", "v").where(F.col("v").isNotNull())
+    result: dict = {}
+    todo = {(i, p) for i in range(len(cols)) for p in probs}
+    todo_groups = None                                   # all groups at first
+    eps = 2.0 / accuracy
+    while todo:
+        ps = sorted({p for _, p in todo})
+        brackets = [b for p in ps for b in (max(0.0, p - eps), min(1.0, p + eps))]
+        aggs = [F.count(c).alias(f"n_{c}") for c in names]
+        aggs += [F.percentile_approx(c, brackets, accuracy).alias(f"b_{c}") for c in names]
+        want = []
+        for r in base.groupBy("_g").agg(*aggs).collect():
+            for i, p in todo:
+                if todo_groups is not None and (r["_g"], i, p) not in todo_groups:
+                    continue
+                n = r[f"n_c{i}"]
+                if not n:
+                    result[(r["_g"], cols[i], p)] = None
+                    continue
+                h = (n - 1) * p
+                b, j = r[f"b_c{i}"], ps.index(p)
+                want.append((r["_g"], f"c{i}", float(p), float(b[2 * j]), float(b[2 * j + 1]),
+                             math.floor(h), math.ceil(h), h - math.floor(h)))
+        if not want:
+            break
+        # one row per group, column and probability
+        bounds = spark.createDataFrame([w[:7] for w in want], f"_bg {g_type}, bname string, p double, L double, "
+                                                              "U double, lo_r bigint, hi_r bigint")
+        j = long.join(bounds, long["_g"].eqNullSafe(bounds["_bg"]) & (long["name"] == bounds["bname"])
+                      & (long["v"] <= bounds["U"]))
+        cells = (j.groupBy("_g", "name", "p", "lo_r", "hi_r",
+                           F.when(F.col("v") >= F.col("L"), F.col("v")).alias("val"))
+                 .agg(F.count(F.lit(1)).alias("cnt")))
+        w = Window.partitionBy("_g", "name", "p").orderBy(F.col("val").asc_nulls_first())
+        cum = cells.withColumn("hi_c", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+                   .withColumn("lo_c", F.col("hi_c") - F.col("cnt"))
+        picks = (cum.where(F.col("val").isNotNull()
+                           & (((F.col("lo_c") <= F.col("lo_r")) & (F.col("lo_r") < F.col("hi_c")))
+                              | ((F.col("lo_c") <= F.col("hi_r")) & (F.col("hi_r") < F.col("hi_c")))))
+                 .select("_g", "name", "p", "val", "lo_c", "hi_c", "lo_r", "hi_r").collect())
+        found: dict = {}
+        for r in picks:
+            d = found.setdefault((r["_g"], r["name"], r["p"]), {})
+            if r["lo_c"] <= r["lo_r"] < r["hi_c"]:
+                d["lo"] = r["val"]
+            if r["lo_c"] <= r["hi_r"] < r["hi_c"]:
+                d["hi"] = r["val"]
+        missing = set()
+        for g, name, p, *_, frac in want:
+            d = found.get((g, name, p), {})
+            i = int(name[1:])
+            if "lo" in d and "hi" in d:
+                result[(g, cols[i], p)] = _interp(d["lo"], d["hi"], frac)
+            else:
+                missing.add((g, i, p))
+        todo, todo_groups = {(i, p) for _, i, p in missing}, missing
+        eps *= 16
+    return result
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int = ACCURACY) -> dict[tuple[str, float], float | None]:
     """{(col, p): quantile} over the non-NULL values of each column."""
     cols, probs = list(cols), list(probs)
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if max(counts) <= EXACT_LIMIT:
-        exprs = [F.percentile(c, p).alias(f"q{i}_{j}") for i, c in enumerate(cols) for j, p in enumerate(probs)]
-        row = df.agg(*exprs).first()
-        return {(c, p): row[f"q{i}_{j}"] for i, c in enumerate(cols) for j, p in enumerate(probs)}
-    eps = 2.0 / accuracy
-    aggs = [F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]
-    brackets = []
-    for p in probs:
-        brackets += [max(0.0, p - eps), min(1.0, p + eps)]
-    aggs += [F.percentile_approx(c, brackets, accuracy).alias(f"b{i}") for i, c in enumerate(cols)]
-    first = df.agg(*aggs).first()
+    got = _quantiles(df, None, cols, probs, accuracy)
+    return {(c, p): got.get((None, c, p)) for c in cols for p in probs}
 
-    spark = df.sparkSession
-    want = []        # (name, p, L, U, lo_rank, hi_rank, frac)
-    result: dict[tuple[str, float], float | None] = {}
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        for j, p in enumerate(probs):
-            if not n:
-                result[(c, p)] = None
-                continue
-            h = (n - 1) * p
-            lo_r, hi_r = math.floor(h), math.ceil(h)
-            b = first[f"b{i}"]
-            want.append((c, float(p), float(b[2 * j]), float(b[2 * j + 1]), lo_r, hi_r, h - lo_r))
-    if not want:
-        return result
 
-    bounds = spark.createDataFrame(
-        [(w[0], w[1], w[2], w[3], w[4], w[5]) for w in want],
-        "name string, p double, L double, U double, lo_r bigint, hi_r bigint")
-    long = df.unpivot([], cols, "name", "v").where(F.col("v").isNotNull())
-    # Bounds table: one row per (column, probability); a handful of rows.
-    j = long.join(F.broadcast(bounds), "name").where(F.col("v") <= F.col("U"))
-    cells = (j.groupBy("name", "p", "lo_r", "hi_r",
-                       F.when(F.col("v") >= F.col("L"), F.col("v")).alias("val"))
-             .agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("name", "p").orderBy(F.col("val").asc_nulls_first())
-    cum = cells.withColumn("hi_c", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-               .withColumn("lo_c", F.col("hi_c") - F.col("cnt"))
-    picks = (cum.where(F.col("val").isNotNull()
-                       & (((F.col("lo_c") <= F.col("lo_r")) & (F.col("lo_r") < F.col("hi_c")))
-                          | ((F.col("lo_c") <= F.col("hi_r")) & (F.col("hi_r") < F.col("hi_c")))))
-             .select("name", "p", "val", "lo_c", "hi_c", "lo_r", "hi_r").collect())
-
-    found: dict[tuple[str, float], dict[str, float]] = {}
-    for r in picks:
-        d = found.setdefault((r["name"], r["p"]), {})
-        if r["lo_c"] <= r["lo_r"] < r["hi_c"]:
-            d["lo"] = r["val"]
-        if r["lo_c"] <= r["hi_r"] < r["hi_c"]:
-            d["hi"] = r["val"]
-    missing = []
-    for c, p, _L, _U, _lo, _hi, frac in want:
-        d = found.get((c, p), {})
-        if "lo" in d and "hi" in d:
-            result[(c, p)] = _interp(d["lo"], d["hi"], frac)
-        else:
-            missing.append((c, p))
-    if missing:  # bracket missed: exact single-pass percentile for those columns
-        exprs = [F.percentile(c, p).alias(f"q{k}") for k, (c, p) in enumerate(missing)]
-        row = df.agg(*exprs).first()
-        for k, key in enumerate(missing):
-            result[key] = row[f"q{k}"]
-    return result
-
-
-def grouped_quantiles(df: DataFrame, group: str, cols: Sequence[str], probs: Sequence[float]):
-    """{(group value, col, p): quantile}.
-
-    Groups up to EXACT_LIMIT rows use the exact one-pass ``percentile``
-    (buffer bounded by the group size); a larger group -- one cluster may
-    hold a third of all rows -- goes through the distributed two-pass
-    ``exact_quantiles`` on its own rows.
-    """
-    cols, probs = list(cols), list(probs)
-    sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [g for g, n in sizes.items() if n <= EXACT_LIMIT]
-    out = {}
-    if small:
-        exprs = [F.percentile(c, p).alias(f"q{i}_{j}") for i, c in enumerate(cols) for j, p in enumerate(probs)]
-        for r in df.where(F.col(group).isin(small)).groupBy(group).agg(*exprs).collect():
-            for i, c in enumerate(cols):
-                for j, p in enumerate(probs):
-                    out[(r[group], c, p)] = r[f"q{i}_{j}"]
-    for g in (g for g, n in sizes.items() if n > EXACT_LIMIT):
-        for (c, p), v in exact_quantiles(df.where(F.col(group) == g), cols, probs).items():
-            out[(g, c, p)] = v
-    return out
+def grouped_quantiles(df: DataFrame, group: str, cols: Sequence[str], probs: Sequence[float],
+                      accuracy: int = ACCURACY):
+    """{(group value, col, p): quantile}, all groups in the same two passes."""
+    return _quantiles(df, group, list(cols), list(probs), accuracy)

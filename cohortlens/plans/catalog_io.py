@@ -95,8 +95,8 @@ u AS (SELECT name, v FROM ({u}) WHERE v IS NOT NULL),
 st AS (SELECT name, count(*) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx,
               quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM u GROUP BY name),
 bw AS (SELECT name, n, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34)
-                                  WHEN sd > 0 THEN sd ELSE 1.0 END * pow(n, -0.2) AS bw, mn, mx FROM st),
-gp AS (SELECT name, n, bw, mn - 3.0 * bw AS lo, ((mx + 3.0 * bw) - (mn - 3.0 * bw)) / 511 AS step FROM bw),
+                                  WHEN sd > 0 THEN sd WHEN mn <> 0 THEN abs(mn) ELSE 1.0 END * pow(n, -0.2) AS bw, mn, mx FROM st),
+gp AS (SELECT name, n, bw, mn AS lo, CASE WHEN mx > mn THEN (mx - mn) / 511 ELSE 1.0 END AS step FROM bw),
 pos AS (SELECT u.name, (u.v - g.lo) / g.step AS p FROM u JOIN gp g ON g.name = u.name),
 ix AS (SELECT name, CAST(least(floor(p), 510) AS INTEGER) AS i, p - least(floor(p), 510) AS f FROM pos),
 bins AS (SELECT name, i, sum(w) AS w FROM (

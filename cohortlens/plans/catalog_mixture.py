@@ -27,7 +27,11 @@ def _grid_rows(spark, d):
 
 @query("bic_grid")
 def q_bic_grid(spark, d):
-    return spark.createDataFrame(_grid_rows(spark, d), "n_profiles int, model string, bic double")
+    grid = MD.mixture_grid(spark, d)
+    rows = [(g, m, bic, grid[(g, m)].converged, grid[(g, m)].iterations, grid[(g, m)].reason)
+            for g, m, bic in _grid_rows(spark, d)]
+    return spark.createDataFrame(rows, "n_profiles int, model string, bic double, converged boolean, "
+                                       "iterations int, reason string")
 
 
 @query("bic_long")
@@ -59,7 +63,7 @@ SELECT 1, 'VVI', round(2 * (-{n} / 2.0 * ({lv}) - {n} * {D} / 2.0) - {2 * D} * l
 
 @query("bic_g1", _g1_sql())
 def q_bic_g1(spark, d):
-    fits = mx.fit_grid(P.scaled(spark, d), M, [1], ["EII", "VVI"], max_iter=10)
+    fits = mx.fit_grid(P.scaled(spark, d), M, [1], ["EII", "VVI"])
     rows = [(1, m, round(fits[(1, m)].bic(D), 3)) for m in ["EII", "VVI"]]
     return spark.createDataFrame(rows, "n_profiles int, model string, bic double")
 

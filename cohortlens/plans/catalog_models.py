@@ -341,27 +341,30 @@ def q_optimum_model(spark, d):
 
 # ---------------------------------------------------------------- embeddings (known classes)
 
-EMB = MD.EMB_COLS
+EMB = [f"e{i}" for i in range(64)]    # the twins spell out the columns; the queries take them from the data
 EMB_SRC = "emb AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS BIGINT) AS label, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(MD.EMB_DIM)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(len(EMB))) + " FROM embeddings)"
 
 
 @query("silhouette_embeddings", "WITH " + EMB_SRC + ",\n" + _sil_sql("emb", EMB, "vec_id", "label")
        + "\nSELECT round(avg(s), 6) AS silhouette_score FROM sil")
 def q_silhouette_embeddings(spark, d):
-    return ev.silhouette(MD.embeddings(spark, d), EMB, "label", "vec_id")
+    e = MD.embeddings(spark, d)
+    return ev.silhouette(e, MD.emb_cols(e), "label", "vec_id")
 
 
 @query("davies_bouldin_embeddings", "WITH " + EMB_SRC + ",\n" + _db_sql("emb", EMB, "label")
        + "\nSELECT round(avg(r), 6) AS db_index FROM rr")
 def q_davies_bouldin_embeddings(spark, d):
-    return ev.davies_bouldin(MD.embeddings(spark, d), EMB, "label")
+    e = MD.embeddings(spark, d)
+    return ev.davies_bouldin(e, MD.emb_cols(e), "label")
 
 
 @query("wcss_embeddings", "WITH " + EMB_SRC + ",\n" + _wcss_sql("emb", EMB, "label")
        + "\nSELECT round(sum(withinss), 6) AS wcss FROM wss")
 def q_wcss_embeddings(spark, d):
-    return ev.wcss_labels(MD.embeddings(spark, d), EMB, "label")
+    e = MD.embeddings(spark, d)
+    return ev.wcss_labels(e, MD.emb_cols(e), "label")
 
 
 def _emb_lloyd():
@@ -374,7 +377,8 @@ def _emb_lloyd():
        + ARI_SQL.format(A="lab", B="em_lab_final", k="vec_id"))
 def q_adjusted_rand_embeddings(spark, d):
     e = MD.embeddings(spark, d)
-    start = km.start_rows(e, EMB, [123], 10, key="vec_id")[123]
-    c = km.fixed_steps(e, EMB, start, MD.LLOYD_STEPS)
-    fitted = km.assign(e, EMB, c, "b").select("vec_id", "b")
+    cols = MD.emb_cols(e)
+    start = km.start_rows(e, cols, [123], 10, key="vec_id")[123]
+    c = km.fixed_steps(e, cols, start, MD.LLOYD_STEPS)
+    fitted = km.assign(e, cols, c, "b").select("vec_id", "b")
     return ev.adjusted_rand(e.select("vec_id", F.col("label").alias("a")), fitted, key="vec_id")

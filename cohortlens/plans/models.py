@@ -11,7 +11,6 @@ from cohortlens.plans import prepare as P
 from cohortlens.schema import EVAL_FRACTION, EVAL_SEED, ID, MEASURES
 
 LLOYD_STEPS = 3
-EMB_DIM = 64
 
 
 def lloyd_labels(spark: SparkSession, d: str, k: int = 6, seed: int = 123) -> DataFrame:
@@ -37,16 +36,20 @@ def eval_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """(vec_id, label, e0..e63) with the embedding as double columns."""
+    """(vec_id, label, e0, e1, ...) with the embedding as double columns, as wide as the vectors are."""
     from cohortlens.sources.tables import read_table
     def build():
         e = read_table(spark, d, "embeddings")
+        low, width = e.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        if low != width:
+            raise ValueError(f"vectors of {low} to {width} components")
         return e.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"),
-                        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)])
+                        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
     return P.stage(spark, d, "embeddings", build)
 
 
-EMB_COLS = [f"e{i}" for i in range(EMB_DIM)]
+def emb_cols(e: DataFrame) -> list[str]:
+    return [c for c in e.columns if c not in ("vec_id", "label")]
 
 
 def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +67,7 @@ def mixture_grid(spark: SparkSession, d: str):
     from cohortlens.schema import GRID_MODELS, MIXTURE_GROUPS
     key = (spark.sparkContext.applicationId, d, "grid")
     if key not in _FITS:
-        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS, max_iter=100)
+        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS)
     return _FITS[key]
 
 
@@ -75,7 +78,7 @@ def chosen_mixture(spark: SparkSession, d: str):
     model, g = CHOSEN_MIXTURE
     key = (spark.sparkContext.applicationId, d, "chosen")
     if key not in _FITS:
-        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model], max_iter=200)[(g, model)]
+        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model])[(g, model)]
     return _FITS[key]
 
 
@@ -85,9 +88,9 @@ def lpa_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    """K-means with 6 centres: best of 10 starts, at most 100 Lloyd iterations."""
+    """K-means with 6 centres by the study's stated setting for them: 10 starts, at most 1000 iterations."""
     def build():
         x = P.scaled(spark, d)
-        fit = km.sweep(x, MEASURES, [6], nstart=10, max_iter=100, seed=123)
+        fit = km.sweep(x, MEASURES, [6], nstart=10, max_iter=1000, seed=123)
         return km.assign(x, MEASURES, fit.best(6).centres).select(ID, "cluster")
     return P.stage(spark, d, "kmeans6", build)

@@ -15,7 +15,7 @@ M = MEASURES
 
 
 def u_sql(key: str, salt: str) -> str:
-    return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{salt}'), 1, 8) AS BIGINT) / 4294967296.0)"
+    return f"((CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{salt}'), 1, 15) AS BIGINT) >> 7) / 9007199254740992.0)"
 
 
 REDUCED = """

@@ -1,13 +1,11 @@
 """Preparation plan: raw extract -> clean -> impute -> trim -> standardise.
 
 Each stage is a function of the previous stage's DataFrame so that queries
-can stop anywhere; ``prepared`` runs the whole chain.
+can stop anywhere.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.operators.clean import reduce_raw
@@ -15,27 +13,26 @@ from cohortlens.operators.impute import impute_measures
 from cohortlens.operators.outliers import remove_outliers
 from cohortlens.operators.stats import zscore
 from cohortlens.schema import ID, MEASURES, ORG
-from cohortlens.session import cut_lineage
+from cohortlens.session import data_version, write_stage
 from cohortlens.sources.measures import key_measures_raw
 
 
-_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+_MEMO: dict[tuple, DataFrame] = {}
 
 
 def stage(spark: SparkSession, data_dir: str, name: str, build) -> DataFrame:
-    """Build a stage once per session and checkpoint it.
+    """Build a stage once per session and version of the data, as Parquet in the shared folder.
 
     Every later stage reads its input several times (statistics pass, then
     the row pass), so without a cut each stage would carry -- and re-plan --
-    the whole chain below it.  ``checkpoint()`` writes the stage to the
-    cluster's shared checkpoint folder (``spark.checkpoint.dir``), so the
-    next stage starts from a short plan and a lost executor costs a re-read,
-    not a recomputation of the chain.
+    the whole chain below it.  The next stage starts from a short plan and
+    reads the columns it needs; a lost executor costs a re-read, not a
+    recomputation of the chain. ``session.drop_stages`` removes the files.
     """
-    key = (spark.sparkContext.applicationId, data_dir, name)
+    key = (spark.sparkContext.applicationId, data_dir, data_version(spark, data_dir), name)
     df = _MEMO.get(key)
     if df is None:
-        df = cut_lineage(build())
+        df = write_stage(build(), name)
         _MEMO[key] = df
     return df
 
@@ -62,14 +59,3 @@ def scaled(spark: SparkSession, data_dir: str) -> DataFrame:
     """Trimmed measures as z-scores (mean 0, sd 1): the clustering input."""
     return stage(spark, data_dir, "scaled",
                  lambda: zscore(trimmed(spark, data_dir), MEASURES).select(ID, *MEASURES))
-
-
-@dataclass
-class Prepared:
-    imputed: DataFrame
-    trimmed: DataFrame
-    scaled: DataFrame
-
-
-def prepared(spark: SparkSession, data_dir: str) -> Prepared:
-    return Prepared(imputed(spark, data_dir), trimmed(spark, data_dir), scaled(spark, data_dir))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -36,8 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Uses ``spark.checkpoint.dir`` / the context's checkpoint dir when the
-    cluster names one; only a session without one (a local test) gets a
-    fresh scratch folder.
+    cluster names one; only a local session without one (a test) gets a fresh
+    scratch folder. A cluster without one is an error: its executors share no
+    local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return conf
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
@@ -58,6 +63,40 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stage_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/cohortlens-{spark.sparkContext.applicationId}"
+
+
+def write_stage(df, name: str):
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Like a checkpoint it cuts the lineage; unlike one it is columnar, so later
+    steps read the columns they need and the planner knows sizes.
+    """
+    path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all stage folders of this application."""
+    p, fs = _file_system(spark, stage_root(spark))
+    fs.delete(p, True)
+
+
+def data_version(spark: SparkSession, data_dir: str) -> tuple:
+    """Name, size and time of what lies in ``data_dir``; changes when a table is replaced."""
+    p, fs = _file_system(spark, data_dir)
+    if not fs.exists(p):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 _SHIPPED: set[str] = set()
 
 
