@@ -12,10 +12,14 @@ few) and the number of tables follows ``k``: it is set by simulating pairs at
 exactly the threshold, so that a link is missed with probability ``miss`` at
 most; closer pairs are missed far less often.
 
-Equal vectors are one class with a multiplicity. Buckets are cut into blocks
-of bounded size and every pair of blocks is compared on its own; a task emits
-per vector one sum of links and one edge of a spanning forest, never pairs. A
-pair that meets in several buckets is counted in the smallest common code only.
+Equal vectors are one class with a multiplicity. Tight groups are settled
+without looking at their pairs: a vector within half the threshold's angle of
+the first member of one of its own buckets joins that member's clique, and any
+two of a clique are linked by the triangle inequality. Only pairs across
+cliques are verified one by one. Buckets are cut into blocks of bounded size
+and every pair of blocks is compared on its own; a task emits per vector one
+sum of links and one edge of a spanning forest, never pairs. A pair that meets
+in several buckets is counted in the smallest common code only.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length do not link;
@@ -63,8 +67,10 @@ def choices(x: np.ndarray, seed: int, index: int) -> np.ndarray:
     return np.pad(out, ((0, 0), (0, 3 - top)), mode="edge").astype(np.uint64)
 
 
-def codes(x: np.ndarray, dim: int, k: int, tables: int, seed: int) -> np.ndarray:
-    """Sorted bucket codes of unit rows: (rows, tables * (1 + 2 k)); equal codes only in one table."""
+def codes(x: np.ndarray, dim: int, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket codes of unit rows: all, sorted (rows, tables * (1 + 2 k)), and the own ones (rows, tables).
+
+    A code belongs to one table."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
     out = []
@@ -79,7 +85,8 @@ def codes(x: np.ndarray, dim: int, k: int, tables: int, seed: int) -> np.ndarray
             for v in p:
                 code = mix(code * U64(0x9E3779B97F4A7C15) + v)
             out.append(code.view(np.int64))
-    return np.sort(np.stack(out, axis=1), axis=1)
+    every = np.stack(out, axis=1)
+    return np.sort(every, axis=1), every[:, :: 1 + 2 * k].copy()
 
 
 def plan(n: int, dim: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -95,7 +102,7 @@ def plan(n: int, dim: int, threshold: float, miss: float) -> tuple[int, int]:
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * z
-    a, b = codes(x, dim, k, 1, 99), codes(y, dim, k, 1, 99)
+    a, b = codes(x, dim, k, 1, 99)[0], codes(y, dim, k, 1, 99)[0]
     met = np.zeros(len(a), bool)
     for i in range(a.shape[1]):
         met |= (b == a[:, i: i + 1]).any(1)
@@ -124,16 +131,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _compare(code: np.ndarray, cid: np.ndarray, side: np.ndarray, off_diagonal: bool, x: np.ndarray,
-             every: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links per row, smallest reachable row) within one pair of blocks of one bucket."""
-    n = len(cid)
+def _compare(code: int, side: np.ndarray, off_diagonal: bool, x: np.ndarray, every: np.ndarray, weight: np.ndarray,
+             clique: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links per row, smallest reachable row) across cliques, within one pair of blocks of one bucket."""
+    n = len(weight)
     links, ii, jj = np.zeros(n, np.int64), [], []
-    for s in range(0, n, 512):
-        sim = x[s: s + 512] @ x.T
-        i, j = np.nonzero(sim >= threshold - 1e-9)
-        i = i + s
-        ok = i < j
+    names, number = np.unique(clique, return_inverse=True)
+    if len(names) == 1:
+        return links, np.arange(n)
+    largest = np.argmax(np.bincount(number))
+    some = np.flatnonzero(number != largest)               # the largest clique has no pairs of its own
+    for s in range(0, len(some), 512):
+        rows = some[s: s + 512]
+        i, j = np.nonzero(x[rows] @ x.T >= threshold - 1e-9)
+        i = rows[i]
+        ok = (number[i] != number[j]) & ((i < j) | (number[j] == largest))
         if off_diagonal:
             ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
@@ -141,19 +153,43 @@ def _compare(code: np.ndarray, cid: np.ndarray, side: np.ndarray, off_diagonal:
         i, j = i[exact], j[exact]
         for at in range(0, len(i), 20_000):
             a, b = i[at: at + 20_000], j[at: at + 20_000]
-            small = np.full(len(a), np.iinfo(np.int64).max)
-            for c in range(every.shape[1]):                # smallest code that both hold
-                mine = every[a, c]
-                hit = (every[b] == mine[:, None]).any(1)
-                small = np.where(hit & (mine < small), mine, small)
-            first = small == code
-            np.add.at(links, a[first], weight[b[first]])
-            np.add.at(links, b[first], weight[a[first]])
+            smaller = np.zeros(len(a), bool)               # both hold a smaller code: counted there
+            for c in range(every.shape[1]):
+                live = np.flatnonzero(~smaller & (every[a, c] < code))
+                if not len(live):
+                    break
+                smaller[live] = (every[b[live]] == every[a[live], c][:, None]).any(1)
+            np.add.at(links, a[~smaller], weight[b[~smaller]])
+            np.add.at(links, b[~smaller], weight[a[~smaller]])
         ii.append(i)
         jj.append(j)
     return links, forest(n, np.concatenate(ii), np.concatenate(jj))
 
 
+def cliques(classes: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+    """(cid, clique) for the classes that join the clique of a bucket's first member."""
+    close = math.cos(math.acos(threshold) / 2) + 1e-9      # half the angle, on the safe side
+    own = coded.select("cid", F.explode(F.array_distinct("own")).alias("code"))
+    first = own.groupBy("code").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pair = own.join(first.select("code", "lead"), "code").where("cid != lead").select("cid", "lead").distinct()
+    vec = classes.select("cid", "embedding")
+    both = pair.join(vec, "cid").join(vec.select(F.col("cid").alias("lead"), F.col("embedding").alias("other")), "lead")
+
+    def check(batches):
+        for batch in batches:
+            n = batch.num_rows
+            dims = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            ok = np.zeros(n, bool)
+            for dim in np.unique(dims).tolist():           # a bucket holds one length only
+                sel = np.flatnonzero(dims == dim)
+                a, b = (unit_rows(batch.column(c).take(pa.array(sel))) for c in (2, 3))
+                ok[sel] = np.einsum("ij,ij->i", a, b) >= close
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return (both.select("cid", "lead", "embedding", "other").mapInArrow(check, "cid long, lead long")
+            .groupBy("cid").agg(F.min("lead").alias("clique")))
+
+
 def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed: int) -> DataFrame:
     """(cid, root, links): partial sums of links and forest edges from every bucket block."""
     spark = start(classes)
@@ -166,13 +202,15 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
                 part = batch.filter(pa.array(dims == dim))
                 for s in range(0, part.num_rows, 2000):
                     p = part.slice(s, 2000)
-                    c = codes(unit_rows(p.column(1)), dim, k, tables, seed)
-                    yield pa.RecordBatch.from_arrays(
-                        [p.column(0), pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(c) + 1) * width, pa.int32()), pa.array(c.ravel()))],
-                        names=["cid", "codes"])
-
-    coded = stage(classes.select("cid", "embedding").mapInArrow(hashed, "cid long, codes array<long>"), "cp-codes")
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * c.shape[1], pa.int32()),
+                                                      pa.array(c.ravel()))
+                             for c in codes(unit_rows(p.column(1)), dim, k, tables, seed)]
+                    yield pa.RecordBatch.from_arrays([p.column(0), *lists], names=["cid", "codes", "own"])
+
+    coded = stage(classes.select("cid", "embedding").mapInArrow(hashed, "cid long, codes array<long>, own array<long>"),
+                  "cp-codes")
+    found = cliques(classes, coded, threshold)
+    classes = stage(classes.join(found, "cid", "left").withColumn("clique", F.coalesce("clique", "cid")), "cp-cliques")
     rows = coded.select("cid", F.explode(F.array_distinct("codes")).alias("code"))
     buckets = (rows.groupBy("code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
                .withColumn("nb", F.ceil(F.col("m") / BLOCK)))
@@ -181,7 +219,7 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
               .withColumn("blk", F.pmod(F.xxhash64("cid", "code"), F.col("nb")))
               .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
               .select("cid", "code", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk"))
-    full = member.join(classes.select("cid", "embedding", "n").join(coded, "cid"), "cid")
+    full = member.join(classes.select("cid", "embedding", "n", "clique").join(coded.select("cid", "codes"), "cid"), "cid")
     full = full.repartition(F.col("code"), F.col("bi"), F.col("bj")).sortWithinPartitions("code", "bi", "bj", "cid")
 
     def compare(batches):
@@ -191,7 +229,7 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
             t = pa.Table.from_batches(held).combine_chunks()
             key = np.stack([t.column(c).to_numpy() for c in ("code", "bi", "bj")], 1)
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            cid, blk, w = (t.column(c).to_numpy() for c in ("cid", "blk", "n"))
+            cid, blk, w, cl = (t.column(c).to_numpy() for c in ("cid", "blk", "n", "clique"))
             dims = t.column("embedding").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
             every = t.column("codes").combine_chunks().flatten().to_numpy().reshape(len(cid), width)
             size = np.diff(np.append(cut, len(cid)))
@@ -205,8 +243,8 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
                     if m < 2 or dims[s] != dim:
                         continue
                     e = s + m
-                    links, lab = _compare(key[s, 0], cid[s:e], blk[s:e], key[s, 1] != key[s, 2], x[s:e],
-                                          every[s:e], w[s:e], threshold)
+                    links, lab = _compare(key[s, 0], blk[s:e], key[s, 1] != key[s, 2], x[s:e], every[s:e], w[s:e],
+                                          cl[s:e], threshold)
                     some = np.flatnonzero((links > 0) | (lab != np.arange(m)))
                     if len(some):
                         outs.append((cid[s:e][some], cid[s:e][lab[some]], links[some]))
@@ -235,8 +273,11 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
         if held:
             yield flush()
 
-    return full.select("cid", "code", "bi", "bj", "blk", "embedding", "n", "codes").mapInArrow(
+    across = full.select("cid", "code", "bi", "bj", "blk", "embedding", "n", "codes", "clique").mapInArrow(
         compare, "cid long, root long, links long")
+    size = classes.groupBy("clique").agg(F.sum("n").alias("all"))
+    within = classes.join(size, "clique").select("cid", F.col("clique").alias("root"), (F.col("all") - F.col("n")).alias("links"))
+    return across.unionByName(within)
 
 
 def embedding_components(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4, seed: int = 7,

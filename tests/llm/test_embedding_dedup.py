@@ -59,6 +59,6 @@ def test_recall_at_the_threshold():
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = E.codes(x, 64, k, tables, 7), E.codes(0.9 * x + np.sqrt(0.19) * z, 64, k, tables, 7)
+    a, b = E.codes(x, 64, k, tables, 7)[0], E.codes(0.9 * x + np.sqrt(0.19) * z, 64, k, tables, 7)[0]
     met = np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)])
     assert met.mean() >= 0.998
