@@ -1,10 +1,10 @@
 """Convex hull per cluster of 2-D projected points.
 
-The hull of a union is the hull of the parts' hulls, so each task first
-reduces its rows to the hull vertices of every cluster it holds
-(``mapInPandas``), and only those partial hulls are grouped by cluster for
-the final hull (``applyInPandas``).  A cluster holding a third of all rows
-still reaches the final step as a few hundred vertices.
+The hull of a union is the hull of the parts' hulls. Each task keeps, over all
+its batches, the hull vertices of every cluster it holds and emits them once;
+the partial hulls are then reduced in a tree, ``FANIN`` of them at a time, until
+one is left per cluster. So a group never holds more than ``FANIN`` hulls,
+however many tasks and rows there are.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cohortlens.session import ship_package
+from cohortlens.session import ship_package, write_stage
 
 
 def monotone_chain(pts: np.ndarray) -> np.ndarray:
@@ -37,15 +38,25 @@ def monotone_chain(pts: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+FANIN = 32
+
+
 def _partial(label, x, y):
     def fn(it):
+        hulls: dict = {}
         for pdf in it:
-            out = []
             for c, g in pdf.groupby(label):
-                h = monotone_chain(g[[x, y]].to_numpy(float))
-                out.append(pd.DataFrame({label: c, x: h[:, 0], y: h[:, 1]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                pts = g[[x, y]].to_numpy(float)
+                hulls[c] = monotone_chain(np.concatenate([hulls[c], pts]) if c in hulls else pts)
+        for c, h in hulls.items():
+            yield pd.DataFrame({label: c, x: h[:, 0], y: h[:, 1]})
+    return fn
+
+
+def _merge(label, x, y):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = monotone_chain(pdf[[x, y]].to_numpy(float))
+        return pd.DataFrame({label: pdf[label].iloc[0], x: h[:, 0], y: h[:, 1], "_part": pdf["_part"].iloc[0] // FANIN})
     return fn
 
 
@@ -62,5 +73,11 @@ def convex_hulls(df: DataFrame, label: str = "cluster", x: str = "x", y: str = "
     ship_package(df.sparkSession)
     base = df.select(label, df[x].cast("double").alias(x), df[y].cast("double").alias(y))
     part = base.mapInPandas(_partial(label, x, y), f"{label} bigint, {x} double, {y} double")
-    return part.groupBy(label).applyInPandas(_final(label, x, y),
+    part = write_stage(part.withColumn("_part", F.spark_partition_id().cast("bigint")), "hull")
+    most = part.agg(F.max("_part")).first()[0] or 0
+    while most >= FANIN:
+        part = write_stage(part.groupBy(label, F.floor(F.col("_part") / FANIN)).applyInPandas(
+            _merge(label, x, y), f"{label} bigint, {x} double, {y} double, _part bigint"), "hull")
+        most //= FANIN
+    return part.drop("_part").groupBy(label).applyInPandas(_final(label, x, y),
                                              f"{label} bigint, vertex bigint, {x} double, {y} double")

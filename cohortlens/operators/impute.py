@@ -80,12 +80,13 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
         return df
 
     if group:
-        org_counts = (observed.groupBy(F.col(group).alias("g"), F.col(value).alias("field"))
+        # rows without an organisation draw from the overall distribution
+        org_counts = (observed.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("field"))
                       .agg(F.count(F.lit(1)).alias("n")))
         counts = counts.unionByName(org_counts.select(F.lit("org").alias("scope"), F.col("g").alias("grp"),
                                                       "field", "n"))
         org_tot = org_counts.groupBy(F.col("g").alias("_g")).agg(F.sum("n").alias("_gtotal"))
-        base = df.join(org_tot, df[group].eqNullSafe(org_tot["_g"]), "left").drop("_g")
+        base = df.join(org_tot, df[group] == org_tot["_g"], "left").drop("_g")
         has_org = F.col("_gtotal").isNotNull()
         scope = F.when(has_org, F.lit("org")).otherwise(F.lit("all"))
         grp = F.when(has_org, F.col(group)).otherwise(F.lit(""))
@@ -106,7 +107,7 @@ def impute_draw(df: DataFrame, value: str, salt: str, group: str | None = None,
              .select(F.col("scope").alias("_rs"), F.col("grp").alias("_rg"), F.col("_b").alias("_rb"),
                      F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("field").alias("_drawn")))
 
-    cond = (left["_scope"].eqNullSafe(right["_rs"]) & left["_grp"].eqNullSafe(right["_rg"])
+    cond = ((left["_scope"] == right["_rs"]) & (left["_grp"] == right["_rg"])
             & (left["_b"] == right["_rb"]) & (left["_r"] >= right["_lo"]) & (left["_r"] < right["_hi"]))
     drawn = left.join(right, cond, "left").withColumn(value, F.col("_drawn")).select(*df.columns)
     return observed.select(*df.columns).unionByName(drawn)

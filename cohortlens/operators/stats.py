@@ -188,11 +188,15 @@ def vif(df: DataFrame, response: str, predictors: Sequence[str]) -> list[tuple[s
     """Variance inflation factor per predictor: diagonal of the inverse
     correlation matrix of the predictors (= 1 / (1 - R^2_j))."""
     r = corr_values(df, predictors)
-    try:
-        inv = np.linalg.inv(r)
-        return [(p, float(inv[i, i])) for i, p in enumerate(predictors)]
-    except np.linalg.LinAlgError:
-        return [(p, float("inf")) for p in predictors]
+    value, vec = np.linalg.eigh(np.nan_to_num(r, nan=0.0))
+    low = value < 1e-10 * max(1.0, value[-1])
+    # predictors within an exact linear dependency have no finite factor; the others keep theirs
+    tied = (np.abs(vec[:, low]) > 1e-6).any(axis=1)
+    inverse = (vec[:, ~low] / value[~low]) @ vec[:, ~low].T
+    constant = len(r) > 1 and np.isnan(r).sum(axis=1) == len(r) - 1
+    constant = np.broadcast_to(constant, len(r))
+    return [(p, float("nan") if constant[i] else float("inf") if tied[i] else float(inverse[i, i]))
+            for i, p in enumerate(predictors)]
 
 
 def vif_table(df: DataFrame, response: str = "care_contacts",
@@ -204,8 +208,9 @@ def vif_table(df: DataFrame, response: str = "care_contacts",
 
 
 def vif_band(v):
-    """1: none; 1-5: moderate; above 5: problematic."""
-    return (F.when(v <= 1.0, F.lit("none"))
+    """1 (within rounding): none; up to 5: moderate; above: problematic; NULL without a value."""
+    return (F.when(F.isnan(v), F.lit(None).cast("string"))
+            .when(v <= 1.000001, F.lit("none"))
             .when(v <= 5.0, F.lit("moderate"))
             .otherwise(F.lit("problematic")))
 

@@ -17,7 +17,7 @@ from cohortlens.operators import clean, impute, outliers, reshape, stats
 from cohortlens.plans import oracle as O
 from cohortlens.plans import prepare as P
 from cohortlens.schema import ID, MEASURES, ORG
-from cohortlens.sources.lookups import measure_lookup, model_lookup
+from cohortlens.sources.lookups import measure_lookup
 from cohortlens.sources.measures import key_measures_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,16 +55,6 @@ def q_key_measures_raw(spark, d):
     return df.withColumns({c: F.col(c).cast("string") for c in ["first_contact", "last_contact", "care_mid_date"]})
 
 
-@query("lookup_labels", f"SELECT variable, variable_clean FROM {O.LOOKUP_LABELS}")
-def q_lookup_labels(spark, d):
-    return measure_lookup(spark)
-
-
-@query("lookup_models", f"SELECT model, model_name FROM {O.LOOKUP_MODELS}")
-def q_lookup_models(spark, d):
-    return model_lookup(spark)
-
-
 # ---------------------------------------------------------------- cleaning
 
 @query("cast_measures", O.chain("raw") + """
@@ -268,3 +258,4 @@ from cohortlens.plans import catalog_models  # noqa: E402,F401
 from cohortlens.plans import catalog_stats  # noqa: E402,F401
 from cohortlens.plans import catalog_mixture  # noqa: E402,F401
 from cohortlens.plans import catalog_io  # noqa: E402,F401
+from cohortlens.plans import catalog_more  # noqa: E402,F401

@@ -146,3 +146,10 @@ def test_quantiles_of_groups_and_widened_brackets(spark):
                 for p in (0.1, 0.5, 0.99):
                     want = r[f"{c}_{p}"]
                     assert got[(r["g"], c, p)] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_vif_of_a_singular_set(spark):
+    df = spark.range(400).selectExpr("cast(id % 37 as double) as a", "cast(2 * (id % 37) as double) as b",
+                                     "cast(id * 7 % 53 as double) as c", "cast(id * id % 29 as double) as e", "5.0D as k")
+    got = dict(stats.vif(df, "y", ["a", "b", "c", "e", "k"]))
+    assert got["a"] == got["b"] == math.inf and 1.0 <= got["c"] < 1.2 and 1.0 <= got["e"] < 1.2 and math.isnan(got["k"])
