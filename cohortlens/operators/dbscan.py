@@ -5,10 +5,11 @@ Exact DBSCAN without a pair table:
 1. Grid: rows fall into cells of width eps on the ``grid_dims`` widest
    measures (|x_i - y_i| <= eps on any subset of coordinates is necessary
    for distance <= eps, so candidates are exact).  Cells with many rows are
-   split into sub-blocks of at most ``block_rows`` rows by hash, so no group
-   is ever larger than two blocks, however dense a region is.
+   split into sub-blocks of about ``block_rows`` rows by hash: what a task
+   holds twice.  Copies of a row grow with the rows of its neighbouring cells
+   over ``block_rows``; they are shuffled, never stored.
 2. Every (query block, neighbouring reference block) pair is one group of
-   an ``applyInPandas``; numpy computes its distance matrix and emits only
+   an ``applyInPandas``; numpy goes through its distances in tiles and emits only
    per-row results: neighbour counts (core flag), a spanning forest of the
    core-core links of the group (at most rows - 1 edges, via union-find),
    and for border rows the smallest reachable core label.
@@ -23,7 +24,6 @@ Exact DBSCAN without a pair table:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID
+from cohortlens.operators.evaluate import block_count
 from cohortlens.operators.prefix import running_total
 from cohortlens.session import cut_lineage, ship_package
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 50_000
+TILE = 1024
 
 
 def _dist2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,13 +92,24 @@ def block_groups(df: DataFrame, cols: Sequence[str], eps: float, dims: Sequence[
     return q.select(*cols_out).unionByName(r.select(*cols_out))
 
 
+def _tiles(xq: np.ndarray, xr: np.ndarray):
+    """(query rows, reference rows, squared distances) in tiles."""
+    for a in range(0, len(xq), TILE):
+        for b in range(0, len(xr), TILE):
+            s, t = slice(a, a + TILE), slice(b, b + TILE)
+            yield s, t, _dist2(xq[s], xr[t])
+
+
 def _neighbour_counts(cols, key, eps2):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[pdf["_role"] == 0], pdf[pdf["_role"] == 1]
         if q.empty or r.empty:
             return pd.DataFrame({key: pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        within = _dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2
-        return pd.DataFrame({key: q[key].to_numpy(), "n": within.sum(axis=1).astype("int64")})
+        xq, xr = q[cols].to_numpy(float), r[cols].to_numpy(float)
+        n = np.zeros(len(xq), np.int64)
+        for s, t, d2 in _tiles(xq, xr):
+            n[s] += (d2 <= eps2).sum(axis=1)
+        return pd.DataFrame({key: q[key].to_numpy(), "n": n})
     return fn
 
 
@@ -120,9 +133,14 @@ def _core_forest(cols, key, eps2):
         empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
         if q.empty or r.empty:
             return empty
-        qi, ri = np.nonzero(_dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2)
         ids, where = np.unique(np.concatenate([q[key].to_numpy(), r[key].to_numpy()]), return_inverse=True)
-        root = _forest(len(ids), where[qi], where[len(q) + ri])
+        root = np.arange(len(ids))
+        for s, t, d2 in _tiles(q[cols].to_numpy(float), r[cols].to_numpy(float)):
+            qi, ri = np.nonzero(d2 <= eps2)
+            i, j = where[s.start + qi], where[len(q) + t.start + ri]
+            new = root[i] != root[j]
+            if new.any():                                  # the forest so far and the new links
+                root = _forest(len(ids), np.concatenate([np.arange(len(ids)), i[new]]), np.concatenate([root, j[new]]))
         tied = root != np.arange(len(ids))
         return pd.DataFrame({"src": ids[root[tied]], "dst": ids[tied]})
     return fn
@@ -138,8 +156,9 @@ def _border_labels(cols, key, eps2):
         empty = pd.DataFrame({key: pd.Series([], dtype="int64"), "comp": pd.Series([], dtype="int64")})
         if q.empty or r.empty:
             return empty
-        within = _dist2(q[cols].to_numpy(float), r[cols].to_numpy(float)) <= eps2
-        best = np.where(within, r["comp"].to_numpy(np.int64)[None, :], NO_COMPONENT).min(axis=1)
+        comp, best = r["comp"].to_numpy(np.int64), np.full(len(q), NO_COMPONENT)
+        for s, t, d2 in _tiles(q[cols].to_numpy(float), r[cols].to_numpy(float)):
+            best[s] = np.minimum(best[s], np.where(d2 <= eps2, comp[None, t], NO_COMPONENT).min(axis=1))
         ok = best < NO_COMPONENT
         return pd.DataFrame({key: q[key].to_numpy()[ok], "comp": best[ok]})
     return fn
@@ -177,7 +196,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts:
     cols = list(cols)
     eps2 = eps * eps
     dims = grid_dims(df, cols, eps, grid_m)
-    groups = cut_lineage(block_groups(df, cols, eps, dims, key, block_rows))
+    groups = block_groups(df, cols, eps, dims, key, block_rows)
     counts = (groups.groupBy("_g").applyInPandas(_neighbour_counts(cols, key, eps2), f"{key} bigint, n bigint")
               .groupBy(key).agg(F.sum("n").alias("n_neighbours")))
     core = cut_lineage(counts.withColumn("is_core", F.col("n_neighbours") >= min_pts))
@@ -208,11 +227,12 @@ def _knn_partial(cols, key, k):
         q, r = pdf[pdf["_role"] == 0], pdf[pdf["_role"] == 1]
         if q.empty or r.empty:
             return pd.DataFrame({key: pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64")})
-        d2 = _dist2(q[cols].to_numpy(float), r[cols].to_numpy(float))
-        same = q[key].to_numpy()[:, None] == r[key].to_numpy()[None, :]
-        d2 = np.where(same, np.inf, d2)
-        kk = min(k, d2.shape[1])
-        part = np.sort(np.partition(d2, kk - 1, axis=1)[:, :kk], axis=1) if kk < d2.shape[1] else np.sort(d2, axis=1)
+        qid, rid = q[key].to_numpy(), r[key].to_numpy()
+        part = np.full((len(q), k), np.inf)
+        for s, t, d2 in _tiles(q[cols].to_numpy(float), r[cols].to_numpy(float)):
+            d2 = np.where(qid[s, None] == rid[None, t], np.inf, d2)
+            part[s] = np.partition(np.hstack([part[s], d2]), k - 1, axis=1)[:, :k]
+        part.sort(axis=1)
         ids = np.repeat(q[key].to_numpy(), part.shape[1])
         vals = np.sqrt(part.reshape(-1))
         ok = np.isfinite(vals)
@@ -224,14 +244,13 @@ def knn_distance(df: DataFrame, cols: Sequence[str], k: int = DBSCAN_MIN_PTS, ke
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, knn_dist): distance to the k-th nearest other row.
 
-    All block pairs (the radius is unknown in advance); each group keeps
-    only the k smallest distances per row, so a row's candidates number at
-    most k x blocks before the final pick.
+    All block pairs (the radius is unknown in advance, so the distance work
+    is quadratic); a row is copied 2 x blocks times, and each group keeps its
+    k smallest distances per row.
     """
     ship_package(df.sparkSession)
     cols = list(cols)
-    n = df.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    blocks = block_count(df.sparkSession, df.count(), block_rows)
     base = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
     blk = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

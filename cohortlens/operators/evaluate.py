@@ -1,11 +1,11 @@
 """Internal cluster-quality indices and model choice.
 
 * silhouette: exact Euclidean silhouette over all pairs of the evaluated
-  rows.  The pairs are cut into blocks: rows hash into B blocks and every
-  (query block, reference block) pair is one group of an ``applyInPandas``
-  that computes the block's distance matrix with numpy and emits only sums
-  per (row, reference cluster).  Group size is bounded by the block size,
-  there is no pair table, and the work is spread over B^2 tasks.
+  rows (the distance work is quadratic by definition).  Rows hash into g
+  blocks and every (query block, reference block) pair is one group of an
+  ``applyInPandas``, which goes through its distance matrix in small tiles and
+  emits one sum per (row, reference cluster).  A row is copied 2 g times, with
+  g the larger of the square root of the cores and rows / ``BLOCK_ROWS``.
 * Davies-Bouldin: centroids and spreads in one grouped aggregation; the
   k x k centroid comparison (k = number of clusters) runs on the driver.
 * within-cluster sum of squares: join to the centroids (an aggregate of k
@@ -27,9 +27,15 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import sq_distance
 from cohortlens.operators import kmeans as km
 from cohortlens.schema import ID
-from cohortlens.session import ship_package
+from cohortlens.session import ship_package, write_stage
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 100_000        # rows of a block: what a task holds twice
+TILE = 1024                 # rows of a distance matrix at a time
+
+
+def block_count(spark, n: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks per side: enough for all cores, and for blocks that fit a task."""
+    return max(1, math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)), math.ceil(n / block_rows))
 
 
 def _pair_sums(cols, key, label):
@@ -40,16 +46,19 @@ def _pair_sums(cols, key, label):
             return pd.DataFrame({key: [], label: [], "ref_cluster": [], "sum_d": [], "n": []})
         xq = q[cols].to_numpy(dtype=float)
         xr = r[cols].to_numpy(dtype=float)
-        d2 = np.zeros((len(xq), len(xr)))
-        for j in range(xq.shape[1]):
-            diff = xq[:, j, None] - xr[None, :, j]
-            d2 += diff * diff
-        dist = np.sqrt(d2)
         codes, uniq = pd.factorize(r[label].to_numpy())
-        onehot = np.zeros((len(xr), len(uniq)))
-        onehot[np.arange(len(xr)), codes] = 1.0
-        sums = dist @ onehot
-        counts = onehot.sum(axis=0)
+        counts = np.bincount(codes, minlength=len(uniq))
+        sums = np.zeros((len(xq), len(uniq)))
+        for s in range(0, len(xq), TILE):
+            for t in range(0, len(xr), TILE):
+                a, b = xq[s:s + TILE], xr[t:t + TILE]
+                d2 = np.zeros((len(a), len(b)))
+                for j in range(a.shape[1]):
+                    diff = a[:, j, None] - b[None, :, j]
+                    d2 += diff * diff
+                onehot = np.zeros((len(b), len(uniq)))
+                onehot[np.arange(len(b)), codes[t:t + TILE]] = 1.0
+                sums[s:s + TILE] += np.sqrt(d2) @ onehot
         out = pd.DataFrame({
             key: np.repeat(q[key].to_numpy(), len(uniq)),
             label: np.repeat(q[label].to_numpy(), len(uniq)),
@@ -69,8 +78,7 @@ def silhouette_rows(df: DataFrame, cols: Sequence[str], label: str = "cluster",
     """
     ship_package(df.sparkSession)
     cols = list(cols)
-    n = df.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    blocks = block_count(df.sparkSession, df.count(), block_rows)
     base = df.select(F.col(key), F.col(label).cast("bigint").alias(label),
                      *[F.col(c).cast("double").alias(c) for c in cols])
     blk = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
@@ -165,14 +173,15 @@ def contingency(a: DataFrame, b: DataFrame, key: str = ID, la: str = "a", lb: st
 
 def adjusted_rand(a: DataFrame, b: DataFrame, key: str = ID, la: str = "a", lb: str = "b") -> DataFrame:
     """Adjusted Rand index of two labelings (1 when identical; 0/0 defined as 1)."""
-    t = contingency(a, b, key, la, lb)
+    t = write_stage(contingency(a, b, key, la, lb), "contingency")
     c2 = lambda x: x * (x - 1) / 2.0
-    cells = t.agg(F.sum(c2(F.col("n"))).alias("sij"), F.sum("n").alias("n"))
-    rows_ = t.groupBy("a").agg(F.sum("n").alias("m")).agg(F.sum(c2(F.col("m"))).alias("sa"))
-    cols_ = t.groupBy("b").agg(F.sum("n").alias("m")).agg(F.sum(c2(F.col("m"))).alias("sb"))
-    r = cells.first(), rows_.first(), cols_.first()
-    sij, n = r[0]["sij"] or 0.0, r[0]["n"] or 0
-    sa, sb = r[1]["sa"] or 0.0, r[2]["sb"] or 0.0
+    # cells, row sums and column sums of the contingency table in one pass
+    sums = t.rollup("a", "b").agg(F.sum("n").alias("m"), F.grouping_id().alias("g")).where("g < 3")
+    cols_ = t.groupBy("b").agg(F.sum("n").alias("m")).withColumn("g", F.lit(2))
+    parts = sums.select("m", F.col("g").cast("int").alias("g")).unionByName(cols_.select("m", "g"))
+    got = {r["g"]: r for r in parts.groupBy("g").agg(F.sum(c2(F.col("m"))).alias("s"), F.sum("m").alias("n")).collect()}
+    sij, n = (got[0]["s"] or 0.0, got[0]["n"] or 0) if got else (0.0, 0)
+    sa, sb = (got[1]["s"] or 0.0, got[2]["s"] or 0.0) if got else (0.0, 0.0)
     total = c2(n)
     expected = sa * sb / total if total else 0.0
     maximum = (sa + sb) / 2.0
