@@ -42,12 +42,13 @@ def q_csv_roundtrip(spark, d):
 def q_table_roundtrip(spark, d):
     """Save the scaled table as a catalog table in its own schema, read it by name."""
     root = io.results_root(spark)
+    before = spark.catalog.currentDatabase()
     io.use_schema(spark, "cohortlens_results")
     try:
         io.write_table(P.scaled(spark, d), "cohortlens_results.key_measures_scaled_wide", root + "/scaled_wide")
-        return spark.table("cohortlens_results.key_measures_scaled_wide")
+        return spark.table("spark_catalog.cohortlens_results.key_measures_scaled_wide")
     finally:
-        spark.catalog.setCurrentDatabase("default")
+        spark.catalog.setCurrentDatabase(before)
 
 
 @query("saved_results", SCALED + "," + KM6 + "\nSELECT person_id, cluster FROM k6_lab_final")
@@ -206,7 +207,7 @@ BOX_N = ["min", "q1", "median", "q3", "max"]
     + " FROM u GROUP BY cluster, name")
 def q_pair_box_by_cluster(spark, d):
     from cohortlens.operators.quantile import grouped_quantiles
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     q = grouped_quantiles(x, "cluster", M, BOX_P)
     groups = sorted({g for g, _, _ in q})
     rows = [(g, c, *[q[(g, c, p)] for p in BOX_P]) for g in groups for c in M]

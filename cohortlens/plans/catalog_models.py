@@ -124,7 +124,7 @@ def q_kmeans_centres_lloyd3(spark, d):
 @query("withinss_by_cluster", SCALED + "," + KM6 + ",\nlab AS (SELECT s.*, l.cluster FROM scaled s JOIN k6_lab_final l USING (person_id)),\n"
        + _wcss_sql("lab") + "\nSELECT cluster, CAST(size AS BIGINT) AS size, round(withinss, 6) AS withinss FROM wss")
 def q_withinss_by_cluster(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     return ev.withinss(x, M).withColumn("size", F.col("size").cast("bigint"))
 
 
@@ -136,7 +136,7 @@ def _profile_sql():
 
 
 def _profile_means(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     means = x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
     # a few rows (one per cluster): numbering them in one window is bounded.
     rank = F.row_number().over(Window.orderBy("cluster"))
@@ -165,14 +165,14 @@ def _means_sql(source="scaled"):
 @query("cluster_means", SCALED + "," + KM6 + _means_sql() + "SELECT cluster, "
        + ", ".join(f"round({c}, 6) AS {c}" for c in M) + " FROM means")
 def q_cluster_means(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     return x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
 
 
 @query("cluster_means_long", SCALED + "," + KM6 + _means_sql() + "SELECT cluster, variable, round(value, 6) AS value FROM ("
        + " UNION ALL ".join(f"SELECT cluster, '{c}' AS variable, {c} AS value FROM means" for c in M) + ")")
 def q_cluster_means_long(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     means = x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
     return reshape.unpivot_measures(means, ["cluster"], M, "variable", "value")
 
@@ -181,7 +181,7 @@ def q_cluster_means_long(spark, d):
   round((value - avg(value) OVER (PARTITION BY variable)) / stddev_samp(value) OVER (PARTITION BY variable), 6) AS value_scaled
 FROM (""" + " UNION ALL ".join(f"SELECT cluster, '{c}' AS variable, {c} AS value FROM means" for c in M) + ")")
 def q_cluster_means_scaled(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     means = x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
     long = reshape.unpivot_measures(means, ["cluster"], M, "variable", "value")
     return stats.group_zscore(long, "variable", "value", "value_scaled").select("cluster", "variable", "value_scaled")

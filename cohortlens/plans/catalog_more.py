@@ -211,6 +211,6 @@ def q_view_readback(spark, d):
 @query("saved_profiles", _profile_sql() + "SELECT * FROM prof")
 def q_saved_profiles(spark, d):
     """Save the profile table and the scaled means in one bundle, load the profiles back."""
-    means = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
+    means = MD.lloyd_labelled(spark, d).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
     path = io.save_bundle({"profiles": _profile_means(spark, d), "cluster_means": means}, io.results_root(spark) + "/profiles")
     return io.load_bundle(spark, path, ["profiles"])["profiles"]

@@ -266,7 +266,7 @@ def _pair_corr_sql():
 
 @query("pair_corr_by_cluster", _pair_corr_sql())
 def q_pair_corr_by_cluster(spark, d):
-    x = P.scaled(spark, d).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
     pairs = [(a, b) for i, a in enumerate(M) for j, b in enumerate(M) if i < j]
     wide = x.groupBy("cluster").agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     exprs = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"{a}__{b}").alias("r"))

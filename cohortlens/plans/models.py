@@ -13,16 +13,22 @@ from cohortlens.schema import EVAL_FRACTION, EVAL_SEED, ID, MEASURES
 LLOYD_STEPS = 3
 
 
-def lloyd_labels(spark: SparkSession, d: str, k: int = 6, seed: int = 123) -> DataFrame:
-    """Labels after a fixed number of Lloyd updates from md5-chosen start rows."""
+def lloyd_labelled(spark: SparkSession, d: str, k: int = 6, seed: int = 123) -> DataFrame:
+    """The scaled table with its label after a fixed number of Lloyd updates from md5-chosen start rows.
+
+    Labels come from the very rows, so they are stored beside the measures and
+    no later step joins them back.
+    """
     def build():
         x = P.scaled(spark, d)
-        start = km.start_rows(x, MEASURES, [seed], k)[seed]
-        c = km.fixed_steps(x, MEASURES, start, LLOYD_STEPS)
-        return km.assign(x, MEASURES, c).select(ID, "cluster")
+        return km.assign(x, MEASURES, lloyd_centres(spark, d, k, seed)).select(ID, "cluster", *MEASURES)
     return P.stage(spark, d, f"lloyd_{k}_{seed}", build)
 
 
+def lloyd_labels(spark: SparkSession, d: str, k: int = 6, seed: int = 123) -> DataFrame:
+    return lloyd_labelled(spark, d, k, seed).select(ID, "cluster")
+
+
 def lloyd_centres(spark: SparkSession, d: str, k: int = 6, seed: int = 123):
     x = P.scaled(spark, d)
     start = km.start_rows(x, MEASURES, [seed], k)[seed]
