@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.session import checkpoint_dir, ship_package
+from cohortlens.session import ship_package, stage_root
 
 CHUNK_BYTES = 1 << 20
 
@@ -35,8 +35,8 @@ def start(df: DataFrame) -> SparkSession:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written stage below the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the cluster's shared checkpoint folder; ``session.drop_stages`` removes them all."""
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
@@ -51,7 +51,15 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Remove the files of stages that nothing reads any more."""
+    for df in stages:
+        stages_dropper(df.sparkSession)(df.stage_path)
 
 
 def stages_dropper(spark: SparkSession):
