@@ -211,11 +211,13 @@ def class_links(classes: DataFrame, threshold: float, k: int, tables: int, seed:
                   "cp-codes")
     found = cliques(classes, coded, threshold)
     classes = stage(classes.join(found, "cid", "left").withColumn("clique", F.coalesce("clique", "cid")), "cp-cliques")
-    rows = coded.select("cid", F.explode(F.array_distinct("codes")).alias("code"))
-    buckets = (rows.groupBy("code").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-               .withColumn("nb", F.ceil(F.col("m") / BLOCK)))
+    rows = (coded.join(classes.select("cid", "clique"), "cid")
+            .select("cid", "clique", F.explode(F.array_distinct("codes")).alias("code")))
+    # a bucket of one clique has nothing to compare
+    buckets = (rows.groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.min("clique").alias("a"), F.max("clique").alias("b"))
+               .where("a != b").select("code", F.ceil(F.col("m") / BLOCK).alias("nb")))
     # each member goes to the pairs of blocks that hold its own block
-    member = (rows.join(buckets, "code")
+    member = (rows.drop("clique").join(buckets, "code")
               .withColumn("blk", F.pmod(F.xxhash64("cid", "code"), F.col("nb")))
               .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
               .select("cid", "code", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk"))
