@@ -227,6 +227,20 @@ def assign(df: DataFrame, cols: Sequence[str], centres: np.ndarray, out: str = "
     return df.withColumn(out, F.array_min(F.array(*cands))["label"].cast("bigint"))
 
 
+def assign_all(df: DataFrame, cols: Sequence[str], centres: dict[str, np.ndarray], key: str = ID) -> DataFrame:
+    """(key, label of every named fit): many fits at once, which would be too long as one expression."""
+    ship_package(df.sparkSession)
+    cols = list(cols)
+
+    def fn(it):
+        for pdf in it:
+            x = pdf[cols].to_numpy(dtype=float)
+            yield pd.DataFrame({key: pdf[key]} | {n: np.argmin(_sqdist(x, c), axis=1) + 1 for n, c in centres.items()})
+
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
+        fn, f"{key} bigint, " + ", ".join(f"{n} bigint" for n in centres))
+
+
 def centres_table(spark, cols: Sequence[str], centres: np.ndarray) -> DataFrame:
     rows = [(i + 1, *map(float, c)) for i, c in enumerate(centres)]
     return spark.createDataFrame(rows, "cluster bigint, " + ", ".join(f"{c} double" for c in cols))

@@ -110,10 +110,8 @@ def _sweep(spark, d):
        + " FROM scaled s " + " ".join(f"JOIN k{k}_lab_final ON k{k}_lab_final.person_id = s.person_id" for k in KMEANS_KS))
 def q_kmeans_labels_all_k(spark, d):
     """Labels of the fits for every k, side by side: no join, all from the same rows."""
-    fit, x = _sweep(spark, d), P.scaled(spark, d)
-    for k in KMEANS_KS:
-        x = km.assign(x, M, fit.best(k).centres, f"clusters_{k}")
-    return x.select(ID, *[f"clusters_{k}" for k in KMEANS_KS])
+    fit = _sweep(spark, d)
+    return km.assign_all(P.scaled(spark, d), M, {f"clusters_{k}": fit.best(k).centres for k in KMEANS_KS})
 
 
 @query("kmeans_sizes_all_k", LLOYD_ALL + "\nSELECT 'clusters_' || k AS id, cluster, CAST(size AS BIGINT) AS size, round(withinss, 6) AS withinss FROM ("
