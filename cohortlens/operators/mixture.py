@@ -282,11 +282,12 @@ def _pass(df, cols, states):
 
 
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
-             tol: float = 1e-5, seed: int = 123) -> dict[tuple[int, str], Fit]:
+             tol: float = 1e-5, seed: int = 123, max_iter: int | None = None) -> dict[tuple[int, str], Fit]:
     """EM for every (G, model) pair until the likelihood settles; fits keyed by (G, model).
 
     EM never lowers the likelihood, so every fit ends by ``tol`` or fails with
-    a ``reason``; there is no cap on its iterations.
+    a ``reason``. With ``max_iter`` a fit may stop before; it then is not
+    ``converged`` and its reason says so.
     """
     cols = list(cols)
     d = len(cols)
@@ -319,6 +320,9 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
                 if fit.prev is not None and abs(fit.loglik - fit.prev) <= tol * (1 + abs(fit.loglik)):
                     fit.converged = True
                     continue
+                if max_iter is not None and fit.iterations > max_iter:
+                    fit.reason = "iteration limit"
+                    continue
             if np.any(nk <= 1e-8):
                 fit.failed, fit.reason = True, "empty component"
                 continue

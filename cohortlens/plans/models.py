@@ -73,7 +73,7 @@ def mixture_grid(spark: SparkSession, d: str):
     from cohortlens.schema import GRID_MODELS, MIXTURE_GROUPS
     key = (spark.sparkContext.applicationId, d, "grid")
     if key not in _FITS:
-        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS)
+        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS, max_iter=200)
     return _FITS[key]
 
 
