@@ -143,16 +143,25 @@ def hex_fingerprint(fp="fp"):
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, max_distance: int = 2, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; columns unchanged.
+    """One row of each component; columns unchanged.
 
-    Rows that share an id count as one document: one of them stays. Rows
-    without an id stay when their component holds no id at all.
+    It is the row with the smallest id, a row without an id only where the
+    component holds no id; ties go by a hash of the row, equal rows count once.
+    An id on texts of two components is a row of each of them.
     """
-    groups = simhash_components(docs, shingle, max_distance, seed)
-    gone = stage(groups.where("component_id is not null and not (doc_id <=> component_id)")
-                 .select(F.col("doc_id").alias("gone")).distinct(), "simhash-gone")
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("doc"))   # no column can clash
-    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
-    once = (left.where("id is not null")
-            .withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("nth = 1"))
-    return once.select("doc.*").unionByName(left.where("id is null").select("doc.*"))
+    # nulls do not change a hash, so each column goes in with its null sign; maps cannot be hashed
+    cols = ["doc_id", "text"] + [f.name for f in docs.schema if f.name not in ("doc_id", "text")
+                                 and "map<" not in f.dataType.simpleString()]
+    parts = [x for c in cols for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"),
+                                F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")).alias("row"),
+                       F.col("text").alias("body"), F.struct("*").alias("doc"))        # no column can clash
+    fp = fingerprints(rows, shingle, seed, "row", "body")
+    nodes = stage(fp.groupBy("fp").agg(F.min("row").alias("first")), "simhash-nodes")
+    comp = connected_components(ball_links(nodes.select("fp"), max_distance))
+    stay = stage(nodes.join(comp, nodes.fp == comp.node, "left")
+                 .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("row"))
+                 .select("row.h1", "row.h2"), "simhash-stay")
+    # equal rows are dropped in each task before the shuffle, so none gathers them
+    once = rows.select("row.h1", "row.h2", "doc").dropDuplicates(["h1", "h2"])
+    return once.join(stay, ["h1", "h2"], "left_semi").select("doc.*")

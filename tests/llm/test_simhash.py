@@ -70,3 +70,16 @@ def test_one_of_each_group_stays(awkward, clashing, empty):
     want = {str(r.component_id) for r in simhash_components(awkward).collect()}
     assert set(got) == want | ({"None"} if "None" in got else set()) and len(got) == len(set(got))
     assert keep_one_per_group(empty).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_kept_apart(spark):
+    one, two, three = ("the first of three quite different texts here", "some other words that stand for themselves",
+                       "a last line which nobody has copied so far")
+    rows = [(1, one, "a"), (None, one.upper(), "b"), (None, two, "c"), (None, two, "c"),      # a copy without id
+            (3, three, "d"), (5, three.title(), "e"), (5, two + " and then " + one, "f"),     # an id on two texts
+            (7, three + " x y z " + two, "g"), (7, three + " x y z " + two, "g"), (7, three + " x y z " + two, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(1, one), (None, two), (3, three), (5, rows[6][1]), (7, rows[7][1])}
+    for d in (docs, docs.repartition(7)):
+        got = [(r.doc_id, r.text) for r in keep_one_per_group(d).collect()]
+        assert len(got) == len(want) and set(got) == want
