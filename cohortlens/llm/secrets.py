@@ -81,15 +81,16 @@ def literal_score(value: str) -> float:
     return (bits >= 2.5) * 0.5 + (bits >= 3.5) * 0.5 + (kinds >= 2) * 0.5 + (n >= 16) * 0.5
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(target name, spans of the literals it is bound to) in order; constants propagated.
+def bindings(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
+    """(target name, what it is bound to) in order: spans of literals, and numbers of earlier bindings.
 
-    A name on the right-hand side stands for the literals it was last bound to
-    in this text, so a literal is listed for every name that it reaches.
+    A name on the right-hand side stands for the binding that it had last in
+    this text. It is listed by number and once, so the list stays as short as
+    the text however often constants are doubled or handed on.
     """
     toks = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
-    out: list[tuple[str, list[tuple[int, int]]]] = []
-    bound: dict[str, list[tuple[int, int]]] = {}
+    out: list[tuple[str, list[tuple[int, int] | int]]] = []
+    bound: dict[str, int] = {}
     n = len(toks)
 
     def word(i: int) -> str:
@@ -111,15 +112,15 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
         k = j + 1
         if word(j) == ":" and k + 1 < n and toks[k][0] == "name" and word(k + 1) == "=":
             k += 2                                       # name: type = ...
-        spans: list[tuple[int, int]] = []
+        found: dict[tuple[int, int] | int, None] = {}       # in order, each once
         first = k
         while k < n:
             kd, s, e = toks[k]
             if kd == "str":
                 if e - s > 2:
-                    spans.append((s + 1, e - 1))
+                    found[(s + 1, e - 1)] = None
             elif kd == "name" and text[s:e] in bound:
-                spans += bound[text[s:e]]
+                found[bound[text[s:e]]] = None
             elif kd in ("name", "other") and k == first:
                 # a bare word is a literal in configuration syntax: it runs to the next blank
                 stop = e
@@ -128,9 +129,9 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                     k += 1
                     stop = toks[k][2]
                 if k + 1 < n and word(k + 1) == "(":
-                    spans = []                           # a call, not a literal
+                    found = {}                           # a call, not a literal
                 else:
-                    spans.append((s, stop))
+                    found[(s, stop)] = None
             else:
                 break
             if k + 1 < n and word(k + 1) == "+" and k + 2 < n:
@@ -139,28 +140,33 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                 continue
             k += 1
             break
-        if spans:
-            spans = spans[:64]
-            out.append((target, spans))
-            bound[target] = spans
+        if found:
+            bound[target] = len(out)
+            out.append((target, list(found)))
         i = max(i + 1, first if first > 0 else i + 1)
         # the right-hand side may itself be a target (a = b = "x", {"a": {"b": "x"}})
     return out
 
 
 def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int]]:
-    found: dict[tuple[int, int], float] = {}
-    for name, spans in pairs(text):
-        by_name = name_score(name)
-        if by_name <= 0:
+    every = bindings(text)
+    reach = [name_score(name) for name, _ in every]      # the best name that a binding reaches
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(every) - 1, -1, -1):              # bindings only name earlier ones
+        if reach[i] <= 0:
             continue
-        for s, e in spans:
-            shape = literal_score(text[s:e])
-            if text[s - 1: s] not in ('"', "'", "`") and shape < 1.0:
-                continue                                 # a bare word must look like a key by itself
-            score = by_name + shape
-            if score >= min_score:
-                found[(s, e)] = max(score, found.get((s, e), 0.0))
+        for x in every[i][1]:
+            if isinstance(x, int):
+                reach[x] = max(reach[x], reach[i])
+            else:
+                best[x] = max(best.get(x, 0.0), reach[i])
+    found = []
+    for (s, e), by_name in best.items():
+        shape = literal_score(text[s:e])
+        if text[s - 1: s] not in ('"', "'", "`") and shape < 1.0:
+            continue                                     # a bare word must look like a key by itself
+        if by_name + shape >= min_score:
+            found.append((s, e))
     return sorted(found)
 
 

@@ -50,6 +50,19 @@ def test_lexer_finds_and_leaves_alone():
     assert len(found("x = y\n" * 5000 + 'api_key = "aB3dE5fG7hI9x"')) == 1
 
 
+def test_every_literal_of_a_binding_counts():
+    parts = [f"k{i}Zq{i * 7919 % 9973:04d}" for i in range(300)]
+    found = lambda t: [t[s:e] for s, e in secrets.literal_spans(t)]
+    line = " + ".join(f'"{p}"' for p in parts)
+    assert found(f"api_secret = {line}") == parts
+    assert found(f"a = {line}\nb = a\nclient_secret = b + a") == parts
+    steps = "".join(f'a{i + 1} = a{i} + "{p}"\n' for i, p in enumerate(parts))
+    assert found(f'a0 = "q7Rr5Tt9"\n{steps}db_password = a{len(parts)}') == ["q7Rr5Tt9", *parts]
+    doubled = 'a = "q7Rr5Tt9"\n' + "a = a + a\n" * 20_000 + "password = a + a"
+    assert found(doubled) == ["q7Rr5Tt9"]
+    assert found('a = "q7Rr5Tt9"\nb = a\na = "none here"\npassword = a') == []
+
+
 def test_secret_rows(awkward, clashing, empty):
     want = sorted((str(r.doc_id), hashlib.sha256(secrets.join_spans(plain_secrets(r.text or ""), secrets.KINDS).encode()).hexdigest())
                   for r in awkward.collect())
