@@ -153,3 +153,17 @@ def test_vif_of_a_singular_set(spark):
                                      "cast(id * 7 % 53 as double) as c", "cast(id * id % 29 as double) as e", "5.0D as k")
     got = dict(stats.vif(df, "y", ["a", "b", "c", "e", "k"]))
     assert got["a"] == got["b"] == math.inf and 1.0 <= got["c"] < 1.2 and 1.0 <= got["e"] < 1.2 and math.isnan(got["k"])
+
+
+def test_grid_fits_run_until_they_settle(spark, monkeypatch):
+    from cohortlens.operators import mixture
+    from cohortlens.plans import models
+    asked = {}
+
+    def fit_grid(df, cols, groups, names, **more):
+        asked.update(more, groups=groups, models=names)
+        return {}
+    monkeypatch.setattr(mixture, "fit_grid", fit_grid)
+    monkeypatch.setattr(models, "_FITS", {})
+    models.mixture_grid(spark, SMALL)
+    assert asked.get("max_iter") is None and len(asked["groups"]) * len(asked["models"]) == 168
