@@ -2,19 +2,19 @@
 
 The vocabulary file gives the pieces and merge priorities. A text is encoded
 by the usual agenda: take the best candidate merge (leftmost on ties), unless
-a keyed hash of (seed, variant, segment, position, merged piece) says to skip
-it. Skipping a merge leads to another segmentation of the same characters, so
+a keyed hash of (seed, row id, copy, segment and its place, position, merged
+piece) says to skip it. Skipping a merge leads to another segmentation of the same characters, so
 decoding gives the text back exactly whatever was skipped.
 
 No piece spans a change from text to blanks, so texts fall into independent
-segments (a run of blanks and the word behind it). Each occurrence of a
-segment is dealt one of ``variants`` keys by a hash of the row's id and its
-place in the text; equal segments with equal keys are encoded once per batch
-run. The agenda runs in numpy for all new segments at once, one merge per
-segment and round; segments of over ``LONG`` characters use a heap.
+segments (a run of blanks and the word behind it). What a segment becomes
+without skips, and the merges that lead there, are kept for each distinct one;
+every occurrence has a key of its own, and the agenda is run again for those
+that skip one of these merges. It runs in numpy for many segments at once, one
+merge per segment and round; segments of over ``LONG`` characters use a heap.
 
 Defined results: a null text has null ids; an empty text has no ids; repeated
-rows get equal ids; characters outside the vocabulary, and U+2581 itself, are
+rows get equal ids unless they are numbered as copies; characters outside the vocabulary, and U+2581 itself, are
 written as byte pieces, so every text decodes losslessly.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from cohortlens.llm.common import Rolling, U64, chunks, mix, start
 
@@ -131,8 +132,11 @@ def skipped1(key: int, place: int, piece: int, limit: int) -> bool:
     return _mix1(key ^ _mix1((place * 0x9E3779B97F4A7C15 + piece) & MASK64)) >> 11 < limit
 
 
-def merge_one(p: Pieces, ids: list[int], key: int, limit: int) -> list[int]:
-    """The agenda for one segment with a heap: (priority, place) first, skipped merges dropped."""
+def merge_one(p: Pieces, ids: list[int], key: int, limit: int, log: list | None = None) -> list[int]:
+    """The agenda for one segment with a heap: (priority, place) first, skipped merges dropped.
+
+    ``log`` takes the (place, piece) of each merge.
+    """
     n = len(ids)
     ids, right, left = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int, int]] = []
@@ -151,6 +155,8 @@ def merge_one(p: Pieces, ids: list[int], key: int, limit: int) -> list[int]:
         j = right[i]
         if ids[i] != a or j >= n or ids[j] != b or skipped1(key, i, new, limit):
             continue
+        if log is not None:
+            log.append((i, new))
         ids[i], ids[j] = new, -1
         right[i] = right[j]
         if right[i] < n:
@@ -160,12 +166,13 @@ def merge_one(p: Pieces, ids: list[int], key: int, limit: int) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, keys: np.ndarray, limit: int
-              ) -> tuple[np.ndarray, np.ndarray]:
+def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, keys: np.ndarray, limit: int,
+              log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The agenda for many segments, one merge per segment and round.
 
     ``sym``: character pieces, ``seg``: their segment (ascending); returns the
-    final pieces and their segments.
+    final pieces and their segments. ``log`` takes (segments, places, pieces)
+    of the merges of each round.
     """
     count = np.bincount(seg)
     place = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
@@ -197,6 +204,8 @@ def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, keys: np.ndarray, lim
             if not len(sym):
                 break
         hit = np.flatnonzero(prio == np.repeat(best, count))   # one per segment: places differ
+        if log is not None:
+            log.append((seg[hit], place[hit], made[hit]))
         sym[hit] = made[hit]
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
@@ -216,8 +225,9 @@ def merge_all(p: Pieces, sym: np.ndarray, seg: np.ndarray, keys: np.ndarray, lim
 class Encoder:
     """Encodes chunks of texts; keeps the segments it has met (forgotten when there are many)."""
 
-    def __init__(self, p: Pieces, seed: int, dropout: float, variants: int):
-        self.p, self.variants = p, variants if dropout > 0 else 1
+    def __init__(self, p: Pieces, seed: int, dropout: float, variants: int | None = None):
+        """``variants`` is taken for older callers only: every occurrence has a key of its own."""
+        self.p = p
         self.limit = int(dropout * (1 << 53))
         self.seed = mix(np.array([seed + 1], np.uint64))[0]
         self.forget()
@@ -225,9 +235,13 @@ class Encoder:
     def forget(self) -> None:
         self.key = np.zeros(0, np.uint64)       # sorted
         self.check = np.zeros(0, np.uint64)
-        self.lo = np.zeros(0, np.int64)
+        self.lo = np.zeros(0, np.int64)         # tokens without skips
         self.n = np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
+        self.at = np.zeros(0, np.int64)         # the merges that lead there
+        self.merges = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int64)
+        self.piece = np.zeros(0, np.int32)
 
     def encode(self, b: np.ndarray, off: np.ndarray, row_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, offsets) of the texts of a chunk."""
@@ -254,12 +268,7 @@ class Encoder:
         values = mix(cp.astype(np.uint64) + U64(1))
         h = Rolling(values).range(lo, hi)
         check = Rolling(values, 0xD6E8FEB86659FD93 | 1).range(lo, hi)
-        if self.variants > 1:
-            dealt = mix(row_key[doc] ^ mix(nth.astype(np.uint64) ^ self.seed)) % U64(self.variants)
-        else:
-            dealt = np.zeros(len(lo), np.uint64)
-        key = mix(h ^ mix(dealt + U64(1) + self.seed))
-        uniq, where, back = np.unique(key, return_index=True, return_inverse=True)
+        uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.key) > CACHE_SEGMENTS:
             self.forget()
         at = np.searchsorted(self.key, uniq)
@@ -268,15 +277,29 @@ class Encoder:
         self._learn(uniq[~known], check[where[~known]], cp, lo[where[~known]], hi[where[~known]])
         at = np.searchsorted(self.key, uniq)
         n, src = self.n[at][back], self.lo[at][back]
+        tokens = self.tokens
+        if self.limit:
+            key = mix(h ^ mix(row_key[doc] ^ mix(nth.astype(np.uint64) ^ self.seed)))
+            # the agenda goes another way only where one of the merges without skips is skipped
+            m = self.merges[at][back]
+            ends = np.cumsum(m)
+            flat = np.arange(int(ends[-1])) + np.repeat(self.at[at][back] - (ends - m), m)
+            owner = np.repeat(np.arange(len(lo)), m)
+            off_way = owner[skipped(key[owner], self.place[flat], self.piece[flat], self.limit)]
+            again = off_way[np.concatenate([[True], off_way[1:] != off_way[:-1]])] if len(off_way) else off_way
+            if len(again):
+                got, begin, count, _ = self._merge(key[again], cp, lo[again], hi[again], self.limit)
+                src[again], n[again] = begin + len(tokens), count
+                tokens = np.concatenate([tokens, got])
         stop = np.cumsum(n)
         total = int(stop[-1])
-        flat = self.tokens[np.arange(total) + np.repeat(src - (stop - n), n)]
+        flat = tokens[np.arange(total) + np.repeat(src - (stop - n), n)]
         per_doc = np.searchsorted(doc, np.arange(texts + 1))
         return flat, np.concatenate([[0], stop])[per_doc]
 
-    def _learn(self, key: np.ndarray, check: np.ndarray, cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        if not len(key):
-            return
+    def _merge(self, key: np.ndarray, cp: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int, logged: bool = False
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """(tokens, begin, count, (segment, place, piece) of the merges) of the segments cp[lo:hi]."""
         p, size = self.p, hi - lo
         short = np.flatnonzero(size <= LONG)
         n = size[short]
@@ -285,7 +308,9 @@ class Encoder:
         char = cp[lo[short][seg] + pos]
         sym = p.char_id[char]
         other = sym < 0                                        # single characters without a piece
-        got, owner = merge_all(p, np.where(other, p.n, sym).astype(np.int32), seg, key[short], self.limit)
+        log: list = []
+        got, owner = merge_all(p, np.where(other, p.n, sym).astype(np.int32), seg, key[short], limit,
+                               log if logged else None)
         tokens: list[np.ndarray] = []
         made = np.bincount(owner, minlength=len(short))
         if other.any():
@@ -306,13 +331,31 @@ class Encoder:
         count[short] = made
         begin[short] = np.cumsum(made) - made
         total = len(got)
+        log = [(short[s], at, new) for s, at, new in log]
         for s in np.flatnonzero(size > LONG).tolist():
-            ids = merge_one(p, p.char_id[cp[lo[s]: hi[s]]].tolist(), int(key[s]), self.limit)
+            steps: list = []
+            ids = merge_one(p, p.char_id[cp[lo[s]: hi[s]]].tolist(), int(key[s]), limit, steps if logged else None)
             begin[s], count[s] = total, len(ids)
             total += len(ids)
             tokens.append(np.array(ids, np.int32))
+            if steps:
+                at, new = np.array(steps, np.int64).T
+                log.append((np.full(len(steps), s), at, new.astype(np.int32)))
+        merges = tuple(np.concatenate(x) for x in zip(*log)) if log else (
+            np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return np.concatenate(tokens), begin, count, merges
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        if not len(key):
+            return
+        got, begin, count, (seg, place, piece) = self._merge(key, cp, lo, hi, 0, True)
+        order = np.argsort(seg, kind="stable")
+        merges = np.bincount(seg, minlength=len(key))
+        at = np.cumsum(merges) - merges + len(self.place)
+        self.place = np.concatenate([self.place, place[order]])
+        self.piece = np.concatenate([self.piece, piece[order]])
         begin += len(self.tokens)
-        self.tokens = np.concatenate([self.tokens, *tokens])
+        self.tokens = np.concatenate([self.tokens, got])
         # a key met again with another check value replaces the old entry
         old = ~np.isin(self.key, key)
         order = np.argsort(np.concatenate([self.key[old], key]), kind="stable")
@@ -320,6 +363,8 @@ class Encoder:
         self.check = np.concatenate([self.check[old], check])[order]
         self.lo = np.concatenate([self.lo[old], begin])[order]
         self.n = np.concatenate([self.n[old], count])[order]
+        self.at = np.concatenate([self.at[old], at])[order]
+        self.merges = np.concatenate([self.merges[old], merges])[order]
 
 
 def decode_flat(p: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,23 +391,30 @@ def _row_keys(ids: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(x)) for x in ids.to_pylist()], np.uint64)
 
 
-def encode_documents(docs: DataFrame, seed: int = 0, dropout: float = 0.1, variants: int = 4,
-                     model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, n_tokens, n_bytes, lossless) for every row; ``lossless``: the ids decode to the text."""
+def encode_documents(docs: DataFrame, seed: int = 0, dropout: float = 0.1,
+                     model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text",
+                     copies: bool = False) -> DataFrame:
+    """(id, ids, n_tokens, n_bytes, lossless) for every row; ``lossless``: the ids decode to the text.
+
+    ``copies``: rows of equal id and text are numbered, and each number skips merges of its own.
+    """
     start(docs)
     model = docs.sparkSession.sparkContext.broadcast(_model(model_path))   # a fixed file of 0.5 MB
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("id", F.xxhash64("text")).orderBy("id")) - 1
+    src = src.withColumn("copy", (nth if copies else F.lit(0)).cast("long"))
     id_type = src.schema["id"].dataType.simpleString()
 
     def run(batches):
         p = _pieces(model.value)
-        enc = Encoder(p, seed, dropout, variants)
+        enc = Encoder(p, seed, dropout)
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             null = text.is_null().to_numpy(zero_copy_only=False)
             for rows, b, off in chunks(batch, "text"):
                 keys = ids.slice(rows.start, rows.stop - rows.start)
-                flat, at = enc.encode(b, off, _row_keys(keys))
+                copy = batch.column(2).to_numpy()[rows].astype(np.uint64)
+                flat, at = enc.encode(b, off, _row_keys(keys) ^ mix(copy))
                 raw, stops = decode_flat(p, flat, at)
                 same = np.diff(stops) == np.diff(off)
                 if same.all():

@@ -50,7 +50,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1, variants=4)
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op6_kneser_ney, op7_pii, op8_simhash_dedup, op9_suffix_dedup,

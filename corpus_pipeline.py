@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix: (doc_id, ids, n_tokens, n_bytes, lossless)."""
-    return pieces.encode_documents(docs, seed=0, dropout=0.1)
+    """Token ids of every row of the mix: (doc_id, ids, n_tokens, n_bytes, lossless); each copy skips merges of its own."""
+    return pieces.encode_documents(docs, seed=0, dropout=0.1, copies=True)
 
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan),

@@ -46,3 +46,23 @@ def test_rows(awkward, clashing, empty):
     assert sorted((str(r.doc_id), r.text) for r in rows if r.text is not None) == want
     assert [r.ids for r in rows if r.doc_id == 50] == [None] and [r.ids for r in rows if r.doc_id == 51] == [[]]
     assert P.encode_documents(empty).count() == 0
+
+
+def test_every_occurrence_skips_merges_of_its_own(spark, monkeypatch):
+    texts = ["internationalisation"] * 600 + ["x internationalisation " * 20]
+    got = encode(texts, 0.1, 1)
+    assert len({tuple(x) for x in got[:600]}) > 20
+    p = P.Pieces(P._model(P.MODEL))
+    # kept merges and repeated agenda give what the agenda alone gives
+    enc = P.Encoder(p, 1, 0.1)
+    lo, cp = 0, np.array([P.BLANK] + [ord(c) for c in texts[0]], np.uint32)
+    h = P.Rolling(mix(cp.astype(np.uint64) + P.U64(1))).range(np.array([0]), np.array([len(cp)]))
+    for i in range(600):
+        row = mix(np.array([i], np.uint64))
+        key = mix(h ^ mix(row ^ mix(np.array([0], np.uint64) ^ enc.seed)))
+        assert got[i] == P.merge_one(p, p.char_id[cp].tolist(), int(key[0]), enc.limit)
+    docs = spark.createDataFrame([(1, texts[-1])] * 3 + [(2, texts[-1])], "doc_id long, text string")
+    rows = P.encode_documents(docs, copies=True).collect()
+    assert len({tuple(r.ids) for r in rows}) == 4 and all(r.lossless for r in rows)
+    assert sorted(r.ids for r in P.encode_documents(docs.repartition(3), copies=True).collect()) == sorted(r.ids for r in rows)
+    assert len({tuple(r.ids) for r in P.encode_documents(docs).collect()}) == 2
