@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import embedding_dedup, kneser_ney, mixing, pieces, pii, quality_rules, secrets, sharding, simhash, suffix_dedup
+from cohortlens.llm import (embedding_dedup, kneser_ney, language_id, lexical_search, mixing, periodic_runs, pieces, pii,
+                            quality_rules, secrets, sharding, simhash, suffix_dedup)
 from cohortlens.llm.common import read_table
 
 
@@ -53,5 +54,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), seed=0, dropout=0.1)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.plant_runs(read_table(spark, sf_dir, "documents"))
+    found = periodic_runs.collapse_runs(docs, min_length=24, min_repeats=3)
+    best = periodic_runs.most_repeated(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_secret_scan, op4_source_mixing, op5_virtual_slots, op6_kneser_ney, op7_pii, op8_simhash_dedup, op9_suffix_dedup,
-                                op10_sentencepiece)}
+                                op10_sentencepiece, op11_lexical_search, op12_language_id, op13_periodic_runs)}

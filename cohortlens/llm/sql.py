@@ -1,8 +1,8 @@
 """DuckDB twins of the queries that SQL can express.
 
 Left out, and held against brute force in ``tests/llm`` instead: keyed
-rounding, greedy placement, seeded merges, boosted trees, lexing and
-fingerprints (XXH64) are not SQL.
+rounding, greedy placement, seeded merges, boosted trees, lexing, hashed
+n-gram models, maximal periodic runs and fingerprints (XXH64) are not SQL.
 """
 
 from __future__ import annotations
@@ -87,4 +87,23 @@ _OP9 = """
            coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
     FROM d LEFT JOIN text USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_quality_rules": _op1(), "op2_embedding_dedup": _OP2, "op9_suffix_dedup": _OP9}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_OP11 = f"""
+    WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    d AS (SELECT doc_id, unnest(regexp_extract_all(t, '{TERM}')) AS term FROM low),
+    p AS MATERIALIZED (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY doc_id, term),
+    len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+    total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len),
+    m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM len, total),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+          FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _op1(), "op2_embedding_dedup": _OP2, "op9_suffix_dedup": _OP9,
+                       "op11_lexical_search": _OP11}
