@@ -189,6 +189,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -
     return lab
 
 
+def neighbour_counts(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS,
+                     key: str = ID, grid_m: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, n_neighbours, is_core): the exact number of rows within eps of each row, itself included."""
+    ship_package(df.sparkSession)
+    cols = list(cols)
+    groups = block_groups(df, cols, eps, grid_dims(df, cols, eps, grid_m), key, block_rows)
+    return (groups.groupBy("_g").applyInPandas(_neighbour_counts(cols, key, eps * eps), f"{key} bigint, n bigint")
+            .groupBy(key).agg(F.sum("n").cast("bigint").alias("n_neighbours"))
+            .withColumn("is_core", F.col("n_neighbours") >= min_pts))
+
+
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS,
            key: str = ID, grid_m: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, cluster, is_core, n_neighbours): cluster 0 is noise."""

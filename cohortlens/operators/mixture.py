@@ -370,3 +370,20 @@ def classify(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> Dat
     params = _prepare(fit)
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         _classify(list(cols), params, key), f"{key} bigint, cluster bigint, uncertainty double, log_map double")
+
+
+def responsibilities(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> DataFrame:
+    """(key, cluster, probability): each row's share of every component (1-based); they add up to 1."""
+    if fit.failed or fit.sigma is None:
+        raise ValueError(f"{fit.model} with G={fit.g} did not fit (singular covariance)")
+    ship_package(df.sparkSession)
+    cols, params = list(cols), _prepare(fit)
+
+    def fn(it):
+        for pdf in it:
+            r, _ = _responsibilities(pdf[cols].to_numpy(dtype=float), ("soft", params))
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), fit.g), "cluster": np.tile(np.arange(1, fit.g + 1), len(r)),
+                                "probability": r.reshape(-1)})
+
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
+        fn, f"{key} bigint, cluster bigint, probability double")

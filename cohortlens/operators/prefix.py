@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import cut_lineage
+from cohortlens.session import write_stage
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
@@ -29,7 +29,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_pid", F.spark_partition_id())
     local = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # materialise once so the totals and the rows come from the same range split
-    ranged = cut_lineage(ranged.withColumn("_local", F.sum(value).over(local)))
+    ranged = write_stage(ranged.withColumn("_local", F.sum(value).over(local)), "ranged")
     totals = ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))

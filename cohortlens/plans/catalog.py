@@ -259,3 +259,4 @@ from cohortlens.plans import catalog_stats  # noqa: E402,F401
 from cohortlens.plans import catalog_mixture  # noqa: E402,F401
 from cohortlens.plans import catalog_io  # noqa: E402,F401
 from cohortlens.plans import catalog_more  # noqa: E402,F401
+from cohortlens.plans import catalog_scale  # noqa: E402,F401

@@ -23,7 +23,6 @@ from cohortlens.plans.catalog import SQL, _cols6, _corr_sql, query
 from cohortlens.plans.catalog_models import KMEANS_KS, SCALED, _means_sql, _profile_means, _profile_sql, dist2_sql, lloyd_sql
 from cohortlens.plans.catalog_models import KM6
 from cohortlens.plans.catalog_stats import PAIRS, _db_means
-from cohortlens.operators import dbscan as db
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID, MEASURES
 from cohortlens.sources import io
 from cohortlens.sources.lookups import measure_lookup
@@ -75,7 +74,7 @@ SELECT CAST(row_number() OVER (ORDER BY d, id) AS BIGINT) AS rank, id AS person_
 WHERE rn = {DBSCAN_MIN_PTS}""")
 def q_knn_curve(spark, d):
     """The sorted k-nearest-neighbour curve: ranks by a distributed running count."""
-    knn = db.knn_distance(P.scaled(spark, d), M, DBSCAN_MIN_PTS).withColumn("one", F.lit(1))
+    knn = MD.knn(spark, d).select(ID, "knn_dist").withColumn("one", F.lit(1))
     return (running_total(knn, [], ["knn_dist", ID], "one", out="rank")
             .select(F.col("rank").cast("bigint").alias("rank"), ID, "knn_dist"))
 

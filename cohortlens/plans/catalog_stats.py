@@ -32,7 +32,7 @@ SELECT id AS person_id, round(d, 6) AS knn_dist FROM (
   SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS rn FROM pairs WHERE id <> other)
 WHERE rn = {DBSCAN_MIN_PTS}""")
 def q_knn_dist(spark, d):
-    return db.knn_distance(P.scaled(spark, d), M, DBSCAN_MIN_PTS)
+    return MD.knn(spark, d).select(ID, "knn_dist")
 
 
 @query("dbscan_core", PAIRS + f"""
@@ -40,7 +40,7 @@ SELECT id AS person_id, CAST(count_if(d <= {DBSCAN_EPS}) AS BIGINT) AS n_neighbo
        count_if(d <= {DBSCAN_EPS}) >= {DBSCAN_MIN_PTS} AS is_core
 FROM pairs GROUP BY id""")
 def q_dbscan_core(spark, d):
-    return MD.dbscan_labels(spark, d).select(ID, "n_neighbours", "is_core")
+    return db.neighbour_counts(P.scaled(spark, d), M)
 
 
 @query("dbscan_assign")

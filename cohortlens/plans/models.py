@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import kmeans as km
+from cohortlens.operators import kmeans_many as kk
 from cohortlens.operators.sampling import exact_sample
 from cohortlens.plans import prepare as P
-from cohortlens.schema import EVAL_FRACTION, EVAL_SEED, ID, MEASURES
+from cohortlens.schema import DBSCAN_MIN_PTS, EVAL_FRACTION, EVAL_SEED, ID, KMEANS_SETTINGS, MEASURES
+from cohortlens.session import data_version
 
 LLOYD_STEPS = 3
 
@@ -58,23 +60,58 @@ def emb_cols(e: DataFrame) -> list[str]:
     return [c for c in e.columns if c not in ("vec_id", "label")]
 
 
+_FITS: dict = {}
+
+
+def _fitted(spark: SparkSession, d: str, name: str, build):
+    """A fit made once per session and version of the data."""
+    key = (spark.sparkContext.applicationId, d, data_version(spark, d), name)
+    if key not in _FITS:
+        _FITS[key] = build()
+    return _FITS[key]
+
+
+def leaves(spark: SparkSession, d: str):
+    """The scaled table dealt to bounded leaves."""
+    from cohortlens.operators import leaves as lv
+    return _fitted(spark, d, "leaves", lambda: lv.grow(P.scaled(spark, d), MEASURES))
+
+
+def knn(spark: SparkSession, d: str) -> DataFrame:
+    """(person_id, knn_dist, visits) on the scaled table."""
+    from cohortlens.operators import density_scan as ds
+    return P.stage(spark, d, "knn", lambda: ds.knn_leaves(P.scaled(spark, d), MEASURES, DBSCAN_MIN_PTS, tree=leaves(spark, d)))
+
+
+def dbscan_fit(spark: SparkSession, d: str):
+    """DBSCAN on the scaled table, over leaves."""
+    from cohortlens.operators import density_scan as ds
+    return _fitted(spark, d, "dbscan", lambda: ds.dbscan_leaves(P.scaled(spark, d), MEASURES, tree=leaves(spark, d)))
+
+
 def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
-    """(person_id, cluster, is_core, n_neighbours) of DBSCAN on the scaled table."""
-    from cohortlens.operators import dbscan as db
-    return P.stage(spark, d, "dbscan", lambda: db.dbscan(P.scaled(spark, d), MEASURES))
+    """(person_id, cluster, is_core) of DBSCAN on the scaled table."""
+    return dbscan_fit(spark, d).labels
 
 
-_FITS: dict = {}
+def stated_sweep(spark: SparkSession, d: str) -> km.KMeansSweep:
+    """K-means of every k with the study's own starts and limits."""
+    return _fitted(spark, d, "stated", lambda: kk.fit_many(P.scaled(spark, d), MEASURES, KMEANS_SETTINGS, seed=123))
+
+
+def hartigan_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The scaled table with its label of k = 6 after Lloyd (stated setting) and transfers."""
+    def build():
+        starts, most = KMEANS_SETTINGS[6]
+        return kk.hartigan(P.scaled(spark, d), MEASURES, 6, starts, most).rows
+    return P.stage(spark, d, "hartigan6", build)
 
 
 def mixture_grid(spark: SparkSession, d: str):
     """BIC grid: G = 1..12 x 14 covariance models on the scaled table."""
     from cohortlens.operators import mixture as mx
     from cohortlens.schema import GRID_MODELS, MIXTURE_GROUPS
-    key = (spark.sparkContext.applicationId, d, "grid")
-    if key not in _FITS:
-        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS)
-    return _FITS[key]
+    return _fitted(spark, d, "grid", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS))
 
 
 def chosen_mixture(spark: SparkSession, d: str):
@@ -82,10 +119,7 @@ def chosen_mixture(spark: SparkSession, d: str):
     from cohortlens.operators import mixture as mx
     from cohortlens.schema import CHOSEN_MIXTURE
     model, g = CHOSEN_MIXTURE
-    key = (spark.sparkContext.applicationId, d, "chosen")
-    if key not in _FITS:
-        _FITS[key] = mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model])[(g, model)]
-    return _FITS[key]
+    return _fitted(spark, d, "chosen", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model])[(g, model)])
 
 
 def lpa_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -80,6 +80,9 @@ DBSCAN_MIN_PTS = 5
 EVAL_FRACTION = 0.25
 EVAL_SEED = 123
 KMEANS_KS = list(range(4, 13))
+# starts and greatest number of updates of the final fit of each k
+KMEANS_SETTINGS = {4: (100, 100), 5: (100, 100), 6: (10, 1000), 7: (100, 1000), 8: (100, 100), 9: (100, 100),
+                   10: (100, 100), 11: (100, 100), 12: (100, 100)}
 ELBOW_MAX_K = 10
 ELBOW_SEED = 1234
 MIXTURE_GROUPS = list(range(1, 13))
