@@ -14,7 +14,11 @@ candidates, chosen by a hash; every candidate is scored.
 Positions are code points, end exclusive. Defined results: a null or empty
 text has no spans; matches never cross texts; repeated rows are judged row by
 row; with fewer than ``MIN_TRAIN`` labelled candidates of either label no
-spans are added to the plain ones.
+spans are added to the plain ones; of added candidates that overlap the more
+probable one stays, among equal ones the longer, then the earlier kind, then
+the earlier start; a text of any length is read whole, in time linear in it but
+for sorting its spans; an empty table has no rows; of the input only the id and
+the text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -172,14 +176,15 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     for kind, pattern in GENERATORS:
         proposed += [(kind, m.start(), m.end(), None) for m in pattern.finditer(text)]
     ends = sorted(spans)
-    starts = [s for s, _ in ends]
+    starts = np.array([s for s, _ in ends], np.int64)
+    reach = np.maximum.accumulate(np.array([e for _, e in ends], np.int64))    # how far the spans so far go
     for kind, s, e, passed in proposed:
         f, around = features(text, kind, s, e)
         if passed is not None:
             label = int(passed)
         else:
             i = int(np.searchsorted(starts, e)) - 1
-            touching = any(a < e and s < b for a, b in ends[max(0, i - 3): i + 1])
+            touching = i >= 0 and int(reach[i]) > s
             label = weak_label(kind, text[s:e], around, touching)
         out.append((kind, s, e, label, f))
     return base, out
@@ -187,14 +192,17 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
 
 _MARK = np.isin(np.arange(256), list(b"0123456789@[{("))
 _AT = re.compile(rb"(?i) at ")
+_HEX_OR_COLON = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF:"))
 
 
 def suspects(b: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts with a digit, an at sign, a bracket or a written "at"."""
+    """Texts with a digit, an at sign, a bracket, a written "at", or a colon between hex digits or colons."""
     seen = np.zeros(len(b) + 1, np.int64)
     np.cumsum(_MARK[b], out=seen[1:])
     out = seen[off[1:]] > seen[off[:-1]]
     hits = np.array([m.start() for m in _AT.finditer(b.tobytes())], np.int64)
+    colon = np.flatnonzero(b[1:-1] == 58) + 1
+    hits = np.concatenate([hits, colon[_HEX_OR_COLON[b[colon - 1]] & _HEX_OR_COLON[b[colon + 1]]]])
     out[np.searchsorted(off, hits, side="right") - 1] = True
     return out
 
@@ -245,6 +253,19 @@ def score(cands: DataFrame, train_rows: int, seed: int) -> DataFrame | None:
     return shape.transform(scored.select("row", "kind", "s", "e", margin.alias("score")))
 
 
+def free_spans(base: list[tuple[int, int, int]], added: list) -> list[tuple[int, int, int]]:
+    """The added spans that touch no base span and no better added one; equal ones by length, kind and start."""
+    taken = bytearray(max([e for _, _, e in base] + [x["e"] for x in added], default=0))
+    for _, s, e in base:
+        taken[s:e] = b"\1" * (e - s)
+    out = []
+    for x in sorted(added, key=lambda x: (-x["p"], x["s"] - x["e"], x["kind"], x["s"])):
+        if taken.find(1, x["s"], x["e"]) < 0:
+            taken[x["s"]: x["e"]] = b"\1" * (x["e"] - x["s"])
+            out.append((x["kind"], x["s"], x["e"]))
+    return out
+
+
 def join_spans(kinds_starts_ends) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in kinds_starts_ends)
 
@@ -272,12 +293,7 @@ def find_pii(docs: DataFrame, min_probability: float = 0.9, train_rows: int = 50
             digest, spans = [], []
             for base, added in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 base = [(x["kind"], x["s"], x["e"]) for x in base]
-                taken = [(s, e) for _, s, e in base]
-                more = []
-                for x in sorted(added or [], key=lambda x: (-x["p"], x["s"] - x["e"], x["kind"], x["s"])):
-                    if not any(a < x["e"] and x["s"] < b for a, b in taken):
-                        taken.append((x["s"], x["e"]))
-                        more.append((x["kind"], x["s"], x["e"]))
+                more = free_spans(base, added or [])
                 for k in range(4):
                     n[k].append(sum(b[0] == k for b in base))
                 n[4].append(len(more))

@@ -3,15 +3,21 @@
 Three plain formats (keyword assignment, access key, long hex run) are always
 reported. Beside them, texts with assignment syntax are lexed into names,
 literals and operators; name-literal pairs are read from source code and from
-configuration syntax (``name = "x"``, ``name: str = 'x'``, ``"name": "x"``,
-``NAME=x``, ``name: x``, ``call(name="x")``), constants are propagated through
-names and ``+``, and each literal is scored by the names it reaches, its own
+configuration syntax (``name = "x"``, ``name: Optional[str] = 'x'``, ``"name": "x"``,
+``NAME=x``, ``name: x``, ``call(name="x")``, ``name = b"x"``, ``name = ("x")``,
+``names = ["x", "y"]``, ``name = call("key", "x")``), constants are propagated through
+names, ``+`` and adjacent literals, over line breaks after ``+``, a backslash or
+inside brackets, and each literal is scored by the names it reaches, its own
 shape and signs of a placeholder. Literals that score high enough become
 ``literal`` spans.
 
 Positions are code points, end exclusive. Defined results: a null or empty
 text has no spans; matches never cross texts; repeated rows are scanned row by
-row; a quote that is not closed on its line is plain text.
+row; a quote that is not closed on its line is plain text; a call's first
+argument is a key or a prompt, the literals after it are values; a text of any
+length is read whole, in time linear in its length but for sorting; an empty
+table has no rows; of the input only the id and the text are read, so further
+columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -35,11 +41,14 @@ KINDS = ("assign", "access", "hex", "literal")
 MIN_SCORE = 3.0
 
 TOKEN = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<quote>["'`])"""
     r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*)"""
     r"""|(?P<op>:=|=>|==|!=|<=|>=|->|[=:+,;(){}\[\]])"""
     r"""|(?P<nl>\n)"""
-    r"""|(?P<other>[^\s"'`=:+,;(){}\[\]]+|["'`])""")
+    r"""|(?P<other>[^\s"'`=:+,;(){}\[\]]+)""")
+QUOTE = re.compile("[\"'`]")
+STRING_PREFIX = {"b", "r", "f", "u", "br", "rb", "fr", "rf"}
+PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 # Parts of a name and their weight for a literal assigned to it.
 SENSITIVE = {
@@ -62,7 +71,7 @@ def name_score(name: str) -> float:
     parts = [p.lower() for p in NAME_PART.findall(name)]
     if parts and parts[-1] in HARMLESS:
         return 0.0
-    best = sum(SENSITIVE.get(p, 0.0) for p in set(parts))
+    best = sum(SENSITIVE.get(p, SENSITIVE.get(p.removesuffix("s"), 0.0)) for p in set(parts))
     return min(best, 3.0)
 
 
@@ -81,6 +90,145 @@ def literal_score(value: str) -> float:
     return (bits >= 2.5) * 0.5 + (bits >= 3.5) * 0.5 + (kinds >= 2) * 0.5 + (n >= 16) * 0.5
 
 
+def closing_quotes(text: str) -> dict[int, int]:
+    """Opening quote -> closing quote of the same kind on the same line, for every quote that could open.
+
+    A quote closes if an even number of backslashes stands before it (a back
+    quote always does), wherever the literal began; so all are found once, from
+    the end of the text.
+    """
+    out: dict[int, int] = {}
+    nearest: dict[str, int] = {}
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    for m in reversed(list(QUOTE.finditer(text))):
+        i, q = m.start(), m.group()
+        if breaks and breaks[-1] > i:                    # another line
+            nearest = {}
+            while breaks and breaks[-1] > i:
+                breaks.pop()
+        if q in nearest:
+            out[i] = nearest[q]
+        k = i
+        while q != "`" and k and text[k - 1] == "\\":
+            k -= 1
+        if (i - k) % 2 == 0:
+            nearest[q] = i
+    return out
+
+
+def tokens(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end): quoted literals are ``str``; a quote that does not close is ``other``."""
+    closing, out, free = closing_quotes(text), [], 0
+    for m in TOKEN.finditer(text):
+        s = m.start()
+        if s < free:
+            continue                                     # inside a literal
+        kind, e = m.lastgroup, m.end()
+        if kind == "quote":
+            kind, e = ("str", closing[s] + 1) if s in closing else ("other", e)
+            free = e
+        out.append((kind, s, e))
+    return out
+
+
+class _Reader:
+    """Right-hand sides over the tokens of one text; every bracket's own elements are read once."""
+
+    def __init__(self, text: str):
+        self.text, self.toks = text, tokens(text)
+        self.words = [text[s:e] if k != "str" else "" for k, s, e in self.toks]
+        n = len(self.toks)
+        self.match: dict[int, int] = {}                  # opening bracket -> closing one
+        held: list[int] = []
+        for i, w in enumerate(self.words):
+            if w in PAIRS:
+                held.append(i)
+            elif w in (")", "]", "}") and held and PAIRS[self.words[held[-1]]] == w:
+                self.match[held.pop()] = i
+        # a bare word runs on to the next blank or separator
+        self.run = list(range(n))
+        for i in range(n - 2, -1, -1):
+            if self.toks[i + 1][1] == self.toks[i][2] and self.toks[i + 1][0] in ("name", "other", "op") \
+                    and self.words[i + 1] not in (",", ";", "(", ")", "{", "}", "[", "]"):
+                self.run[i] = self.run[i + 1]
+
+    def word(self, i: int) -> str:
+        return self.words[i] if i < len(self.words) else ""
+
+    def over_breaks(self, i: int, inside: bool) -> int:
+        """The next token behind line breaks that do not end the expression."""
+        while i < len(self.toks):
+            if self.toks[i][0] == "nl" and inside:
+                i += 1
+            elif self.word(i) == "\\" and self.word(i + 1) == "\n":
+                i += 2
+            else:
+                break
+        return i
+
+    def operand(self, i: int, bound: dict[str, int], found: dict, bare: bool) -> int | None:
+        """Add what the operand at ``i`` is bound to; the place behind it, or None if there is none."""
+        if i >= len(self.toks):
+            return None
+        kind, s, e = self.toks[i]
+        word = self.words[i]
+        if kind == "name" and i + 1 < len(self.toks) and self.toks[i + 1][0] == "str" and self.toks[i + 1][1] == e \
+                and word.lower() in STRING_PREFIX:
+            i += 1
+            kind, s, e = self.toks[i]
+        if kind == "str":
+            if e - s > 2:
+                found[(s + 1, e - 1)] = None
+            return i + 1
+        if word in ("(", "[") and i in self.match:
+            self.elements(i, bound, found, call=False)
+            return self.match[i] + 1
+        if kind == "name" and word in bound:
+            found[bound[word]] = None
+            return i + 1
+        if kind == "name" and self.word(i + 1) == "(" and i + 1 in self.match:
+            self.elements(i + 1, bound, found, call=True)
+            return self.match[i + 1] + 1
+        if kind in ("name", "other") and bare:
+            stop = self.run[i]
+            if self.word(stop + 1) != "(":               # a call, not a literal
+                found[(s, self.toks[stop][2])] = None
+            return stop + 1
+        return None
+
+    def elements(self, i: int, bound: dict[str, int], found: dict, call: bool) -> None:
+        """The literals and known names inside the bracket at ``i``, lists in lists included; of a call, those after the first.
+
+        Brackets of calls, of tables and of other targets are passed over: each is read by its owner only.
+        """
+        end, k, nth = self.match[i], i + 1, 0
+        while k < end:
+            kind, word = self.toks[k][0], self.words[k]
+            if word == ",":
+                nth += 1
+            if k in self.match:
+                plain = word in ("(", "[") and not call and self.word(k - 1) in ("", ",", "(", "[", "+", "\n")
+                k = k + 1 if plain else self.match[k] + 1
+            elif kind == "str" or (kind == "name" and self.word(k + 1) != "(" and (word in bound or word.lower() in STRING_PREFIX)):
+                k = self.operand(k, bound, {} if call and not nth else found, False) or k + 1
+            else:
+                k += 1
+
+    def value(self, k: int, bound: dict[str, int]) -> list[tuple[int, int] | int]:
+        """What the right-hand side from token ``k`` on is bound to."""
+        found: dict[tuple[int, int] | int, None] = {}   # in order, each once
+        bare = True
+        k = self.over_breaks(k, False)
+        while (after := self.operand(k, bound, found, bare)) is not None:
+            bare = False
+            k = self.over_breaks(after, False)
+            if self.word(k) == "+":
+                k = self.over_breaks(k + 1, True)
+            elif not (k < len(self.toks) and self.toks[k][0] == "str" and self.toks[after - 1][0] == "str"):
+                break                                    # neither a sum nor adjacent literals
+        return list(found)
+
+
 def bindings(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
     """(target name, what it is bound to) in order: spans of literals, and numbers of earlier bindings.
 
@@ -88,63 +236,30 @@ def bindings(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
     this text. It is listed by number and once, so the list stays as short as
     the text however often constants are doubled or handed on.
     """
-    toks = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    r = _Reader(text)
     out: list[tuple[str, list[tuple[int, int] | int]]] = []
     bound: dict[str, int] = {}
-    n = len(toks)
-
-    def word(i: int) -> str:
-        return text[toks[i][1]: toks[i][2]]
-
-    i = 0
-    while i < n:
-        kind = toks[i][0]
+    for i, (kind, s, e) in enumerate(r.toks):
         if kind not in ("name", "str"):
-            i += 1
             continue
         j = i + 1
-        if j < n and word(j) == "]":                     # table["name"] = ...
+        if r.word(j) == "]":                             # table["name"] = ...
             j += 1
-        if j >= n or word(j) not in ("=", ":", ":=", "=>"):
-            i += 1
+        sign = r.word(j)
+        if sign not in ("=", ":", ":=", "=>"):
             continue
-        target = word(i) if kind == "name" else text[toks[i][1] + 1: toks[i][2] - 1]
         k = j + 1
-        if word(j) == ":" and k + 1 < n and toks[k][0] == "name" and word(k + 1) == "=":
-            k += 2                                       # name: type = ...
-        found: dict[tuple[int, int] | int, None] = {}       # in order, each once
-        first = k
-        while k < n:
-            kd, s, e = toks[k]
-            if kd == "str":
-                if e - s > 2:
-                    found[(s + 1, e - 1)] = None
-            elif kd == "name" and text[s:e] in bound:
-                found[bound[text[s:e]]] = None
-            elif kd in ("name", "other") and k == first:
-                # a bare word is a literal in configuration syntax: it runs to the next blank
-                stop = e
-                while k + 1 < n and toks[k + 1][1] == stop and toks[k + 1][0] in ("name", "other", "op") \
-                        and word(k + 1) not in (",", ";", "(", ")", "{", "}", "[", "]"):
-                    k += 1
-                    stop = toks[k][2]
-                if k + 1 < n and word(k + 1) == "(":
-                    found = {}                           # a call, not a literal
-                else:
-                    found[(s, stop)] = None
-            else:
-                break
-            if k + 1 < n and word(k + 1) == "+" and k + 2 < n:
-                k += 2
-                first = -1
-                continue
-            k += 1
-            break
+        if sign == ":" and k < len(r.toks) and r.toks[k][0] == "name":
+            # name: type = ..., name: type[of, these] = ...
+            behind = r.match[k + 1] + 1 if r.word(k + 1) == "[" and k + 1 in r.match else k + 1
+            if r.word(behind) == "=":
+                k = behind + 1
+        found = r.value(k, bound)
         if found:
+            target = text[s:e] if kind == "name" else text[s + 1: e - 1]
             bound[target] = len(out)
-            out.append((target, list(found)))
-        i = max(i + 1, first if first > 0 else i + 1)
-        # the right-hand side may itself be a target (a = b = "x", {"a": {"b": "x"}})
+            out.append((target, found))
+        # the right-hand side may itself hold a target (a = b = "x", {"a": {"b": "x"}})
     return out
 
 

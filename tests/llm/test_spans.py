@@ -99,3 +99,70 @@ def test_pii_learns_from_context(spark, awkward, clashing, empty):
     want = sorted((str(x.doc_id), hashlib.sha256(pii.join_spans(plain_pii(x.text or "")).encode()).hexdigest()) for x in awkward.collect())
     assert sorted((str(x.doc_id), x.base_sha256) for x in pii.find_pii(clashing).collect()) == want
     assert pii.find_pii(empty).count() == 0
+
+
+def literals(text):
+    return [text[a:b] for a, b in secrets.literal_spans(text)]
+
+
+def test_forms_of_the_right_hand_side():
+    one = ["hunter22x!"]
+    for text in ('password = b"hunter22x!"', 'password = ("hunter22x!")', 'password = [["hunter22x!"]]',
+                 'password = os.environ.get("X", "hunter22x!")', 'password: Optional[str] = "hunter22x!"',
+                 'password: Dict[str, int] = "hunter22x!"', '{"a": {"password": "hunter22x!"}}',
+                 'def f(password="hunter22x!"): pass', 'x = "hunter22x!"\npassword = (x)'):
+        assert literals(text) == one, text
+    assert literals('passwords = ["hunter22x!",\n "zebra99Q!"]') == ["hunter22x!", "zebra99Q!"]
+    assert literals('password = "hunter" + \\\n "22x!abc"') == ["hunter", "22x!abc"]
+    assert literals('password = (\n "hunter22"\n "x9!Qabc")') == ["hunter22", "x9!Qabc"]
+    assert literals('password = getpass("Enter it please99")') == []      # a prompt
+    assert literals(r'password = "a\"b99Xyz!"') == [r'a\"b99Xyz!']
+
+
+def test_tokens_match_a_scanning_pattern():
+    """Closing quotes looked up from the end are those that a scan from each opening quote finds."""
+    strings = re.compile(r'''"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|["'`]''')
+    for text in noise("\"'`\\\n =ab", 300, 7):
+        want = [(m.start(), m.end()) for m in strings.finditer(text)]
+        got = [(s, e) for k, s, e in secrets.tokens(text) if k == "str" or (k == "other" and text[s] in "\"'`")]
+        assert got == want, text
+
+
+def test_long_lines_take_linear_time():
+    import time
+    for text in ('password = ' + '\\"' * 150_000, "k:" * 150_000, "a = [" * 60_000, "a = [" * 30_000 + "]" * 30_000,
+                 "\\" * 300_000 + ' = "x', "a = f(" * 30_000 + ")" * 30_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20          # minutes where each quote or bracket looks along the line
+    text = " ".join(f"+1 555 {i:07d}" for i in range(20_000))
+    began = time.time()
+    base, cands = pii.candidates(text)
+    kept = pii.free_spans([], [{"p": 0.9, "kind": k, "s": s, "e": e} for k, s, e, _, _ in cands])
+    assert time.time() - began < 40 and len(base) == 20_000 == len(kept)
+
+
+def test_free_spans_match_all_comparisons():
+    r = random.Random(4)
+    for _ in range(200):
+        base = sorted((0, s, s + r.randint(1, 9)) for s in (r.randrange(80) for _ in range(4)))
+        added = [{"p": r.choice([.9, .95, 1.0]), "kind": r.randint(4, 9), "s": s, "e": s + r.randint(1, 12)}
+                 for s in (r.randrange(80) for _ in range(12))]
+        taken, want = [(s, e) for _, s, e in base], []
+        for x in sorted(added, key=lambda x: (-x["p"], x["s"] - x["e"], x["kind"], x["s"])):
+            if not any(a < x["e"] and x["s"] < b for a, b in taken):
+                taken.append((x["s"], x["e"]))
+                want.append((x["kind"], x["s"], x["e"]))
+        assert pii.free_spans(base, added) == want
+
+
+def test_letters_only_addresses_and_far_reaching_spans(monkeypatch):
+    import numpy as np
+    b = np.frombuffer("dead:beef::cafe see".encode(), np.uint8)
+    assert pii.suspects(b, np.array([0, len(b)])).tolist() == [True]
+    # a candidate touches a base span, however many shorter ones begin after that
+    monkeypatch.setattr(pii, "weak_label", lambda kind, span, around, touching: int(touching))
+    for text in noise("+1.2 3-4567890", 300, 3) + ["+1 2.3.4.5 1.2.3.4 1.1.1.1 2.2.2.2 3.3.3.3 555-123-4567"]:
+        base, cands = pii.candidates(text)
+        for kind, s, e, label, _ in cands[len(pii.base_matches(text)):]:
+            assert label == any(a < e and s < z for _, a, z in base)
