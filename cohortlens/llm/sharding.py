@@ -7,11 +7,14 @@ slots first to the lightest shard, and *edited* when loads or the number of
 shards change: an edit moves only the slots it must, as a new version.
 
 The law kept is ``bytes``: shards hold nearly equal bytes. Records are hashed
-one by one (id, text checksum and size), so a large group of equal texts is
-spread over all slots and cannot overload one.
-
-Defined results: a null text counts as empty, size 1; repeated rows share a
-virtual slot and get positions of their own; an empty table gives no rows.
+one by one (id, text checksum, size, and which of equal records it is), so
+neither a large group of equal texts nor one row repeated overloads a slot.
+
+Defined results: a null text counts as empty, size 1; repeated rows are spread
+and get positions of their own; within a slot records stand by id (none first),
+checksum, size and copy; a text of any length is one record; an empty table
+gives no rows; of the input only id and text are read, so further columns of
+any name do no harm.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql.window import Window
 from cohortlens.llm.common import stage, stage_path
 
 SLOTS = 8192
+COPY_RUN = 65_536           # equal records that one task makes anew at a time
+PART_ROWS = 1_000_000       # records that are numbered together
 
 
 @dataclass(frozen=True)
@@ -98,11 +103,21 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, vslot) of every row; the text itself goes no further."""
+    """(id, size, text_crc32, copy, vslot) of every row; the text itself goes no further.
+
+    Rows equal in all of these are counted and numbered by ``copy``, which is
+    hashed with the rest: repeated rows are spread like any others, and the
+    result does not depend on how the input is cut.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return (docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"),
-                        F.crc32(text).alias("text_crc32"))
-            .withColumn("vslot", F.pmod(F.xxhash64(id_col, "text_crc32", "size"), F.lit(slots)).cast("int")))
+    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    key = [id_col, "size", "text_crc32"]
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    # many copies are made anew in runs, so that no task makes them all
+    runs = counted.select(*key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPY_RUN).cast("long"))).alias("_at"))
+    runs = runs.repartition(*key, "_at")
+    each = runs.select(*key, F.explode(F.sequence("_at", F.least(F.col("_n"), F.col("_at") + COPY_RUN) - 1)).alias("copy"))
+    return each.withColumn("vslot", F.pmod(F.xxhash64(id_col, "text_crc32", "size", "copy"), F.lit(slots)).cast("int"))
 
 
 def slot_loads(recs: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -116,20 +131,27 @@ def slot_loads(recs: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
 def place(recs: DataFrame, m: SlotMap, rows: list[int], id_col: str = "doc_id") -> DataFrame:
     """Add ``shard`` and ``slot``: the record's position in its shard, gapless from 0.
 
-    Positions run through a shard's virtual slots in order; a slot's first
-    position comes from the row counts, so only rows of one virtual slot are
-    numbered together.
+    Positions run through a shard's virtual slots in order, and through the
+    parts of a slot, of about ``PART_ROWS`` rows each. A part's first position
+    comes from the row counts, so only rows of one part are numbered together;
+    within it they stand by id, checksum, size and copy.
     """
     spark = recs.sparkSession
+    parts = max(1, -(-max(rows, default=0) // PART_ROWS))
+    recs = recs.withColumn("part", F.pmod(F.xxhash64(F.lit(3), id_col, "text_crc32", "size", "copy"), F.lit(parts)).cast("int"))
+    sizes = {(v, 0): n for v, n in enumerate(rows)} if parts == 1 else {
+        (r["vslot"], r["part"]): r["n"] for r in recs.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     at: dict[int, int] = {}
     first = []
     for v, s in enumerate(m.shard):
-        first.append((v, s, at.get(s, 0)))
-        at[s] = at.get(s, 0) + rows[v]
-    where = F.broadcast(spark.createDataFrame(first, "vslot int, shard int, first long"))   # one row per slot
-    number = F.row_number().over(Window.partitionBy("vslot").orderBy(id_col, "text_crc32", "size"))
-    return (recs.withColumn("n", number).join(where, "vslot")
-            .withColumn("slot", F.col("first") + F.col("n") - 1).drop("n", "first"))
+        for p in range(parts):
+            first.append((v, p, s, at.get(s, 0)))
+            at[s] = at.get(s, 0) + sizes.get((v, p), 0)
+    # a row for each slot and part: 8,192, or rows / PART_ROWS x the unevenness of the slots
+    where = F.broadcast(spark.createDataFrame(first, "vslot int, part int, shard int, first long"))
+    number = F.row_number().over(Window.partitionBy("vslot", "part").orderBy(id_col, "text_crc32", "size", "copy"))
+    return (recs.withColumn("n", number).join(where, ["vslot", "part"])
+            .withColumn("slot", F.col("first") + F.col("n") - 1).drop("n", "first", "part", "copy"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id") -> DataFrame:

@@ -116,3 +116,24 @@ def test_slot_map_versions(spark, tmp_path):
         write_map(spark, x, path)
     assert read_map(spark, path) == grown and read_map(spark, path, 1) == m
     assert edit_map(SlotMap(1, (0,) * 8), [5] * 8, 2).shard.count(1) == 4
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    """A quarter of the table is one row repeated: shards stay even, and the result does not depend on the partitions."""
+    from pyspark.sql import functions as F
+    from cohortlens.llm import sharding
+    monkeypatch.setattr(sharding, "COPY_RUN", 700)
+    monkeypatch.setattr(sharding, "PART_ROWS", 3)
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 4 == 0, F.repeat(F.lit("hot "), 20)).otherwise(F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("text"))
+    got = shard_documents(rows, shards=16).collect()
+    assert len(got) == 20_000 and sum(r.doc_id == -1 for r in got) == 5000
+    load = np.bincount([r.shard for r in got], weights=[r["size"] for r in got], minlength=16)
+    assert load.max() - load.min() <= 81                         # one row's bytes
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    again = shard_documents(rows.repartition(7), shards=16).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
