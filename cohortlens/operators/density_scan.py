@@ -235,7 +235,7 @@ def _guests(tree: lv.Leaves, rows: DataFrame, eps: float, own: bool, most: int |
 
 def dbscan_leaves(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS,
                   key: str = ID, leaf_rows: int | None = None, tree: lv.Leaves | None = None) -> DensityFit:
-    """Fit DBSCAN; ``labels`` of the result: (key, cluster, is_core) for every row of ``df``.
+    """Fit DBSCAN; ``labels`` of the result: (key, measures, cluster, is_core) for every row of ``df``.
 
     ``tree``: the leaves of ``df`` if they stand already.
     """
@@ -297,10 +297,11 @@ def dbscan_leaves(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, m
         ("envoys", sent, first), ("parts not yet tied", rest, second)])
     lone = flagged.where(~F.col("is_core")).select(key, *cols, "leaf")
     edge = _reached(fit, lone)
-    no = F.lit(False).alias("is_core")
-    out = (labelled.select(key, "cluster", F.lit(True).alias("is_core"))
-           .unionByName(lone.select(key).join(edge, key, "left").select(key, F.coalesce("cluster", F.lit(0)).cast("bigint").alias("cluster"), no))
-           .unionByName(df.where(~lv.usable(cols)).select(key, F.lit(0).cast("bigint").alias("cluster"), no)))
+    # the measures stand beside the labels, so nobody has to join them back
+    no, none = F.lit(False).alias("is_core"), F.lit(0).cast("bigint").alias("cluster")
+    out = (labelled.select(key, *cols, "cluster", F.lit(True).alias("is_core"))
+           .unionByName(lone.join(edge, key, "left").select(key, *cols, F.coalesce("cluster", F.lit(0)).cast("bigint").alias("cluster"), no))
+           .unionByName(df.where(~lv.usable(cols)).select(key, *[F.col(c).cast("double").alias(c) for c in cols], none, no)))
     fit.labels = write_stage(out, "scan-labels")
     return fit
 

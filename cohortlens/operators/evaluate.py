@@ -7,7 +7,7 @@
   emits one sum per (row, reference cluster).  A row is copied 2 g times, with
   g the larger of the square root of the cores and rows / ``BLOCK_ROWS``.
 * Davies-Bouldin: centroids and spreads in one grouped aggregation; the
-  k x k centroid comparison (k = number of clusters) runs on the driver.
+  k x k centroid comparison (k = number of clusters) is a join of centroid blocks.
 * within-cluster sum of squares: join to the centroids (an aggregate of k
   rows, broadcast by AQE) and sum.
 * adjusted Rand index: contingency counts by (a, b) and the usual sums of
@@ -31,6 +31,7 @@ from cohortlens.session import ship_package, write_stage
 
 BLOCK_ROWS = 100_000        # rows of a block: what a task holds twice
 TILE = 1024                 # rows of a distance matrix at a time
+CENTROID_BLOCK = 1000       # centroids that meet in one join key
 
 
 def block_count(spark, n: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -143,21 +144,20 @@ def davies_bouldin_value(df: DataFrame, cols: Sequence[str], label: str = "clust
     spread = (df.join(cen.select(label, *[F.col(c).alias(f"_c_{c}") for c in cols]), label)
               .groupBy(label).agg(F.sqrt(F.avg(sq_distance([F.col(c) for c in cols],
                                                               [F.col(f"_c_{c}") for c in cols]))).alias("S")))
-    rows = cen.join(spread, label).collect()   # one row per cluster
-    if len(rows) < 2:
+    c = write_stage(cen.join(spread, label).select(F.col(label).alias("_l"), F.col("S"), *cols), "centroids")
+    # each cluster against every other one: a join on nothing but inequality would be a cross join, so
+    # the clusters are dealt to blocks that meet block by block
+    n = c.count()
+    if n < 2:
         return None
-    c = np.array([[r[x] for x in cols] for r in rows], dtype=float)
-    s = np.array([r["S"] for r in rows], dtype=float)
-    k = len(rows)
-    worst = []
-    for i in range(k):
-        vals = []
-        for j in range(k):
-            if i != j:
-                dij = math.sqrt(sum((c[i, t] - c[j, t]) ** 2 for t in range(c.shape[1])))
-                vals.append((s[i] + s[j]) / dij if dij > 0 else math.inf)
-        worst.append(max(vals))
-    return float(np.mean(worst))
+    blocks = max(1, math.ceil(n / CENTROID_BLOCK))
+    mine = c.withColumn("_b", F.pmod(F.xxhash64("_l"), F.lit(blocks)))
+    a = mine.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = mine.select(F.col("_b").alias("_to"), F.col("_l").alias("_m"), F.col("S").alias("_s"), *[F.col(x).alias(f"_o_{x}") for x in cols])
+    d = F.sqrt(sq_distance([F.col(x) for x in cols], [F.col(f"_o_{x}") for x in cols]))
+    ratio = F.when(d > 0, (F.col("S") + F.col("_s")) / d).otherwise(F.lit(math.inf))
+    worst = a.join(b, "_to").where("_l != _m").groupBy("_l").agg(F.max(ratio).alias("r"))
+    return float(worst.agg(F.avg("r")).first()[0])
 
 
 def davies_bouldin(df, cols, label="cluster", drop_label=None) -> DataFrame:

@@ -9,7 +9,8 @@ statistics (n_k, sum r x, sum r x x^T) and its log-likelihood share.  Spark
 sums those per (fit, component); the driver runs the M-steps on d x d
 matrices.  Jobs = iterations of the slowest fit, not fits x iterations.
 
-Starts: hard K-means partitions (one K-means sweep over G).  A fit whose
+Starts: the partitions of a model-based agglomeration over micro-clusters
+(``agglomerate``), or hard K-means partitions (one sweep over G).  A fit whose
 covariance becomes singular (or a component empties) fails: its BIC is
 NULL and the grid continues.  BIC = 2 logLik - npar log(n) (larger is better).
 
@@ -31,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators import agglomerate
 from cohortlens.operators import kmeans as km
 from cohortlens.operators.partials import combine
 from cohortlens.schema import GRID_MODELS, ID
@@ -219,6 +221,11 @@ def _log_density(x, lp, mu, li, ld):
 
 def _responsibilities(x, state):
     kind, payload = state
+    if kind == "parts":
+        lab = payload.group[np.argmin(km._sqdist(x, payload.centres), axis=1)]
+        r = np.zeros((x.shape[0], len(payload.means)))
+        r[np.arange(x.shape[0]), lab] = 1.0
+        return r, 0.0
     if kind == "hard":
         d2 = km._sqdist(x, payload)
         lab = np.argmin(d2, axis=1)
@@ -265,7 +272,7 @@ def _estep(cols, states):
 def _shift(state) -> np.ndarray:
     """Scatter is summed around these points (the previous means), which keeps it from cancelling."""
     kind, payload = state
-    return payload if kind == "hard" else payload[1]
+    return payload if kind == "hard" else payload.means if kind == "parts" else payload[1]
 
 
 def _pass(df, cols, states):
@@ -282,26 +289,33 @@ def _pass(df, cols, states):
 
 
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
-             tol: float = 1e-5, seed: int = 123, max_iter: int | None = None) -> dict[tuple[int, str], Fit]:
+             tol: float = 1e-5, seed: int = 123, max_iter: int | None = None, start: str = "kmeans", key: str = ID
+             ) -> dict[tuple[int, str], Fit]:
     """EM for every (G, model) pair until the likelihood settles; fits keyed by (G, model).
 
+    ``start``: "agglomerative" (one merge tree for all G) or "kmeans".
+
     EM never lowers the likelihood, so every fit ends by ``tol`` or fails with
     a ``reason``. With ``max_iter`` a fit may stop before; it then is not
     ``converged`` and its reason says so.
     """
     cols = list(cols)
     d = len(cols)
-    starts = km.sweep(df, cols, list(groups), nstart=1, max_iter=20, seed=seed)
+    if start == "agglomerative":
+        parts = agglomerate.partitions(df, cols, list(groups), seed=seed, key=key)
+        first = {g: ("parts", p) for g, p in parts.items()}
+    else:
+        starts = km.sweep(df, cols, list(groups), nstart=1, max_iter=20, seed=seed)
+        first = {g: ("hard", starts.best(g).centres) for g in groups}
     fits: dict[int, Fit] = {}
     keys: dict[int, tuple[int, str]] = {}
     fid = 0
     for g in groups:
-        centres = starts.best(g).centres
         for m in models:
-            fits[fid] = Fit(model=m, g=g, init_centres=centres, failed=False)
+            fits[fid] = Fit(model=m, g=g, init_centres=first[g][1] if first[g][0] == "hard" else first[g][1].means)
             keys[fid] = (g, m)
             fid += 1
-    states = {f: ("hard", fit.init_centres) for f, fit in fits.items() if not fit.failed}
+    states = {f: first[fit.g] for f, fit in fits.items()}
     while states:
         stats = _pass(df, cols, states)
         nxt = {}
@@ -347,7 +361,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
     return {keys[f]: fit for f, fit in fits.items()}
 
 
-def _classify(cols, params, key):
+def _classify(cols, params, key, keep=False):
     def fn(it):
         for pdf in it:
             x = pdf[cols].to_numpy(dtype=float)
@@ -358,18 +372,20 @@ def _classify(cols, params, key):
             lab = np.argmax(r, axis=1)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "cluster": (lab + 1).astype("int64"),
                                 "uncertainty": 1.0 - r[np.arange(len(x)), lab],
-                                "log_map": np.log(np.clip(r[np.arange(len(x)), lab], 1e-300, None))})
+                                "log_map": np.log(np.clip(r[np.arange(len(x)), lab], 1e-300, None))}
+                               | ({c: pdf[c] for c in cols} if keep else {}))
     return fn
 
 
-def classify(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> DataFrame:
-    """(key, cluster, uncertainty, log_map): MAP component (1-based) per row."""
+def classify(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID, keep: bool = False) -> DataFrame:
+    """(key, cluster, uncertainty, log_map): MAP component (1-based) per row; ``keep``: the measures, too."""
     if fit.failed or fit.sigma is None:
         raise ValueError(f"{fit.model} with G={fit.g} did not fit (singular covariance)")
     ship_package(df.sparkSession)
     params = _prepare(fit)
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
-        _classify(list(cols), params, key), f"{key} bigint, cluster bigint, uncertainty double, log_map double")
+        _classify(list(cols), params, key, keep), f"{key} bigint, cluster bigint, uncertainty double, log_map double"
+        + ("".join(f", {c} double" for c in cols) if keep else ""))
 
 
 def responsibilities(df: DataFrame, cols: Sequence[str], fit: Fit, key: str = ID) -> DataFrame:

@@ -164,6 +164,12 @@ def q_model_scores_fitted(spark, d):
     return ev.score_models(_fitted_metrics(spark, d))
 
 
+@query("model_scores_refit")
+def q_model_scores_refit(spark, d):
+    """The combined score with the sum of squares of a fresh K-means, as the study takes it."""
+    return ev.score_models(_fitted_metrics(spark, d, refit=True))
+
+
 @query("optimum_model_fitted")
 def q_optimum_model_fitted(spark, d):
     return ev.optimum_model(ev.score_models(_fitted_metrics(spark, d)))
@@ -180,10 +186,8 @@ def q_adjusted_rand_kmeans_lpa(spark, d):
 
 def _projection(spark, d):
     from cohortlens.operators import stats
-    x = P.scaled(spark, d)
-    fit = stats.PCAFit(x, M)
-    pts = fit.scores(x, (ID,), 2).withColumnRenamed("PC1", "x").withColumnRenamed("PC2", "y")
-    return pts.join(MD.kmeans_labels(spark, d), ID)
+    x = MD.kmeans_labelled(spark, d)
+    return stats.PCAFit(x, M).scores(x, (ID, "cluster"), 2).withColumnsRenamed({"PC1": "x", "PC2": "y"})
 
 
 @query("cluster_projection")

@@ -34,19 +34,28 @@ def q_bic_grid(spark, d):
                                        "iterations int, reason string")
 
 
+def _bic_wide(spark, d, column: str = "bic"):
+    """A row per number of profiles, a column per model."""
+    grid = MD.mixture_grid(spark, d)
+    rows = [(g, m, grid[(g, m)].bic(D), grid[(g, m)].reason) for g in MIXTURE_GROUPS for m in GRID_MODELS]
+    df = spark.createDataFrame(rows, "n_profiles int, model string, bic double, reason string")
+    return df.groupBy("n_profiles").pivot("model", GRID_MODELS).agg(F.first(column))
+
+
 @query("bic_long")
 def q_bic_long(spark, d):
-    df = spark.createDataFrame(_grid_rows(spark, d), "n_profiles int, model string, bic double")
-    return df.select(F.col("n_profiles").cast("double").alias("n_profiles"), "model",
-                     F.abs("bic").alias("val"), "bic")
+    """The wide table gathered into rows again; a model without BIC carries the reason."""
+    def gathered(column):
+        return _bic_wide(spark, d, column).unpivot("n_profiles", GRID_MODELS, "model", column)
+    # 168 rows
+    df = gathered("bic").join(gathered("reason"), ["n_profiles", "model"])
+    return df.select(F.col("n_profiles").cast("double").alias("n_profiles"), "model", F.abs("bic").alias("val"), "bic", "reason")
 
 
 @query("bic_wide")
 def q_bic_wide(spark, d):
     names = dict(MODEL_NAMES)
-    df = spark.createDataFrame(_grid_rows(spark, d), "n_profiles int, model string, bic double")
-    wide = df.groupBy("n_profiles").pivot("model", GRID_MODELS).agg(F.first("bic"))
-    return wide.select("n_profiles", *[F.col(m).alias(f"{m}: {names[m]}") for m in GRID_MODELS])
+    return _bic_wide(spark, d).select("n_profiles", *[F.col(m).alias(f"{m}: {names[m]}") for m in GRID_MODELS])
 
 
 def _g1_sql():
@@ -90,8 +99,7 @@ def q_lpa_class_sizes(spark, d):
 
 
 def _lpa_profiles(spark, d):
-    x = P.scaled(spark, d).join(MD.lpa_labels(spark, d).select(ID, "cluster"), ID)
-    x = stats.zscore(x, M)
+    x = stats.zscore(MD.lpa_labelled(spark, d), M)
     means = x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
     rank = F.row_number().over(Window.orderBy("cluster"))   # one row per profile
     return means.select(F.concat(F.lit("Profile "), rank.cast("string")).alias("profile"),

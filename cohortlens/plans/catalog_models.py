@@ -199,8 +199,10 @@ def q_cluster_means_original(spark, d):
 @query("wss_by_k")
 def q_wss_by_k(spark, d):
     fit = km.sweep(P.scaled(spark, d), M, KMEANS_KS, nstart=1, max_iter=10, seed=123)
-    rows = [(f"clusters_{k}", float(fit.best(k).cost), i + 1) for i, k in enumerate(KMEANS_KS)]
-    return spark.createDataFrame(rows, "id string, tot_withinss double, rn int")
+    rows = [(k, f"clusters_{k}", float(fit.best(k).cost)) for k in KMEANS_KS]
+    fits = spark.createDataFrame(rows, "k int, id string, tot_withinss double")
+    # numbered and ordered as the table of fits is drawn: a row per fit
+    return (fits.withColumn("rn", F.row_number().over(Window.orderBy("k"))).orderBy("rn").select("id", "tot_withinss", "rn"))
 
 
 @query("elbow_curve")

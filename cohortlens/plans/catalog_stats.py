@@ -54,8 +54,7 @@ def q_dbscan_summary(spark, d):
 
 
 def _db_means(spark, d):
-    x = P.scaled(spark, d).join(MD.dbscan_labels(spark, d).select(ID, "cluster"), ID)
-    return x.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
+    return MD.dbscan_labelled(spark, d).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in M])
 
 
 @query("dbscan_means")
@@ -71,9 +70,8 @@ def q_dbscan_means_long(spark, d):
 @query("dbscan_projection")
 def q_dbscan_projection(spark, d):
     """PC1-2 of the unstandardised (already scaled) input with DBSCAN labels."""
-    x = P.scaled(spark, d)
-    fit = stats.PCAFit(x, M)
-    return fit.scores(x, (ID,), 2).join(MD.dbscan_labels(spark, d).select(ID, "cluster"), ID)
+    x = MD.dbscan_labelled(spark, d)
+    return stats.PCAFit(x, M).scores(x, (ID, "cluster"), 2)
 
 
 # ---------------------------------------------------------------- PCA
@@ -105,9 +103,8 @@ def q_pca_scores(spark, d):
 
 @query("pca_top3")
 def q_pca_top3(spark, d):
-    x = P.scaled(spark, d)
-    fit = stats.PCAFit(x, M)
-    return fit.scores(x, (ID,), 3).join(MD.lloyd_labels(spark, d), ID)
+    x = MD.lloyd_labelled(spark, d)
+    return stats.PCAFit(x, M).scores(x, (ID, "cluster"), 3)
 
 
 @query("biplot_coords")

@@ -89,9 +89,14 @@ def dbscan_fit(spark: SparkSession, d: str):
     return _fitted(spark, d, "dbscan", lambda: ds.dbscan_leaves(P.scaled(spark, d), MEASURES, tree=leaves(spark, d)))
 
 
+def dbscan_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The scaled table with the labels of DBSCAN: (person_id, measures, cluster, is_core)."""
+    return dbscan_fit(spark, d).labels
+
+
 def dbscan_labels(spark: SparkSession, d: str) -> DataFrame:
     """(person_id, cluster, is_core) of DBSCAN on the scaled table."""
-    return dbscan_fit(spark, d).labels
+    return dbscan_labelled(spark, d).select(ID, "cluster", "is_core")
 
 
 def stated_sweep(spark: SparkSession, d: str) -> km.KMeansSweep:
@@ -111,7 +116,8 @@ def mixture_grid(spark: SparkSession, d: str):
     """BIC grid: G = 1..12 x 14 covariance models on the scaled table."""
     from cohortlens.operators import mixture as mx
     from cohortlens.schema import GRID_MODELS, MIXTURE_GROUPS
-    return _fitted(spark, d, "grid", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS))
+    return _fitted(spark, d, "grid", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, MIXTURE_GROUPS, GRID_MODELS,
+                                                             start="agglomerative"))
 
 
 def chosen_mixture(spark: SparkSession, d: str):
@@ -119,18 +125,28 @@ def chosen_mixture(spark: SparkSession, d: str):
     from cohortlens.operators import mixture as mx
     from cohortlens.schema import CHOSEN_MIXTURE
     model, g = CHOSEN_MIXTURE
-    return _fitted(spark, d, "chosen", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model])[(g, model)])
+    return _fitted(spark, d, "chosen", lambda: mx.fit_grid(P.scaled(spark, d), MEASURES, [g], [model], start="agglomerative")[(g, model)])
 
 
-def lpa_labels(spark: SparkSession, d: str) -> DataFrame:
+def lpa_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(person_id, cluster, uncertainty, log_map, measures) of the chosen mixture: labels beside the rows they come from."""
     from cohortlens.operators import mixture as mx
-    return P.stage(spark, d, "lpa", lambda: mx.classify(P.scaled(spark, d), MEASURES, chosen_mixture(spark, d)))
+    return P.stage(spark, d, "lpa", lambda: mx.classify(P.scaled(spark, d), MEASURES, chosen_mixture(spark, d), keep=True))
 
 
-def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    """K-means with 6 centres by the study's stated setting for them: 10 starts, at most 1000 iterations."""
+def lpa_labels(spark: SparkSession, d: str) -> DataFrame:
+    return lpa_labelled(spark, d).drop(*MEASURES)
+
+
+def kmeans_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(person_id, cluster, measures): K-means with 6 centres by the study's stated setting: 10 starts, at most 1000 iterations."""
     def build():
         x = P.scaled(spark, d)
-        fit = km.sweep(x, MEASURES, [6], nstart=10, max_iter=1000, seed=123)
-        return km.assign(x, MEASURES, fit.best(6).centres).select(ID, "cluster")
+        starts, most = KMEANS_SETTINGS[6]
+        fit = kk.fit_many(x, MEASURES, {6: (starts, most)}, seed=123)
+        return km.assign(x, MEASURES, fit.best(6).centres).select(ID, "cluster", *MEASURES)
     return P.stage(spark, d, "kmeans6", build)
+
+
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    return kmeans_labelled(spark, d).select(ID, "cluster")

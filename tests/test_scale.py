@@ -216,3 +216,38 @@ def test_responsibilities_add_up(points):
     got = mx.responsibilities(spread, AB, fit)
     assert got.count() == 820
     assert got.groupBy(ID).agg(F.sum("probability").alias("p")).where("abs(p - 1) > 1e-9").count() == 0
+
+
+def test_merge_tree_matches_brute_force():
+    from cohortlens.operators import agglomerate as ag
+    rng = np.random.default_rng(2)
+    rows = [rng.normal(rng.uniform(-4, 4, 2), rng.uniform(.2, 1, 2), (rng.integers(1, 30), 2)) for _ in range(12)]
+    stat = lambda x: (len(x), x.mean(axis=0), (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
+    n, mean, w = (np.array([stat(x)[i] for x in rows]) for i in range(3))
+    got = ag.merge_order(n, mean, w, ridge=0.05)
+    held = dict(enumerate(rows))
+
+    def cost(x):
+        return len(x) * np.log(np.linalg.det(stat(x)[2] / len(x) + 0.05 * np.eye(2)))
+    for i, j in got:
+        def rise(p, q):
+            return cost(np.vstack([held[p], held[q]])) - cost(held[p]) - cost(held[q])
+        best = min(rise(p, q) for p in held for q in held if p < q)
+        assert rise(i, j) == pytest.approx(best, abs=1e-8)
+        held[i] = np.vstack([held[i], held.pop(j)])
+    assert len(held) == 1 and [len(set(ag.groups_left(12, got, g).tolist())) for g in (1, 3, 12, 20)] == [1, 3, 12, 12]
+
+
+def test_agglomerative_starts(points):
+    from cohortlens.operators import agglomerate as ag
+    spread = points.where("a < 15")
+    part = ag.partitions(spread, AB, [1, 2], micro=20)[2]
+    x = spread.toPandas()[AB].to_numpy()
+    lab = part.group[((x[:, None] - part.centres[None]) ** 2).sum(axis=2).argmin(axis=1)]
+    for k in range(2):
+        assert np.allclose(part.means[k], x[lab == k].mean(axis=0))
+    fit = mx.fit_grid(spread, AB, [2], ["VVV"], start="agglomerative")[(2, "VVV")]
+    other = mx.fit_grid(spread, AB, [2], ["VVV"])[(2, "VVV")]
+    assert fit.converged and fit.loglik >= other.loglik - 5
+    tiny = ag.partitions(points.limit(3), AB, [1, 5], micro=20)
+    assert len(tiny[5].means) <= 3 and len(tiny[1].means) == 1
