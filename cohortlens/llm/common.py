@@ -77,6 +77,24 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+COPY_RUN = 65_536           # equal rows that one task makes anew at a time
+
+
+def numbered_copies(rows: DataFrame, copy_run: int = COPY_RUN) -> DataFrame:
+    """``rows`` with ``copy``: equal rows are counted, and made anew with numbers from 0.
+
+    Hashed with the rest of a row, the number spreads repeated rows like any
+    others, and it does not depend on how the input is cut. Counting adds up
+    within the tasks first; many copies are made in runs, so that no task makes
+    them all. For narrow rows: every column is part of the key.
+    """
+    key = rows.columns
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(copy_run).cast("long"))
+    runs = counted.select("*", F.explode(first).alias("_at")).repartition(*key, "_at")
+    return runs.select(*key, F.explode(F.sequence("_at", F.least(F.col("_n"), F.col("_at") + copy_run) - 1)).alias("copy"))
+
+
 # ---- chunks ---------------------------------------------------------------
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

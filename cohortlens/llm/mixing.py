@@ -12,8 +12,11 @@ source's words miss the target by at most one text.
 
 Randomness comes from a keyed hash of the row, so reruns agree whatever the
 partitioning. Defined results: null text has size 0 and takes 0; null source
-is a source of its own, ordered last; repeated rows are separate texts that
-share their random key; sources of no words have target 0.
+is a source of its own, ordered last; repeated rows are separate texts, counted
+and numbered, each with a random key of its own; a text of any length counts as
+one; sources of no words have target 0; an empty table gives no rows; of the
+input only id, source and text are read, so further columns of any name do no
+harm.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cohortlens.llm.common import stage, start
+from cohortlens.llm.common import numbered_copies, stage, start
 
 WORD = r"[^\x20\x09-\x0D]+"
 FANIN = 64          # residuals combined by one group of the tree
@@ -160,14 +163,14 @@ def round_copies(rows: DataFrame, seed: int = 0) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2),
                 cap: int = 2, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """(id, size, source, source_size, target, copies, taken) for every row of ``docs``."""
-    sizes = stage(docs.select(F.col(id_col), F.col("source").cast("string").alias("source"),
-                              word_count("text").alias("size")), "mix-sizes")
+    sizes = stage(numbered_copies(docs.select(F.col(id_col), F.col("source").cast("string").alias("source"),
+                                              word_count("text").alias("size"))), "mix-sizes")
     src = targets(source_order(sizes), weights, share, cap)
     info = src.select(F.col("source").alias("s"), "source_size", "n_rows", "target")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (sizes.join(info, sizes.source.eqNullSafe(info.s)).drop("s")
             .withColumn("whole", F.floor(x)).withColumn("p", x - F.floor(x))
-            .withColumn("key", F.xxhash64(F.col(id_col), "size", "source")))
+            .withColumn("key", F.xxhash64(F.col(id_col), "size", "source", "copy")).drop("copy"))
     out = round_copies(rows, seed)
     return out.select(id_col, "size", "source", "source_size", "target",
                       (F.col("whole") + F.col("copies")).alias("copies"),

@@ -25,10 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from cohortlens.llm.common import stage, stage_path
+from cohortlens.llm.common import COPY_RUN, numbered_copies, stage, stage_path
 
 SLOTS = 8192
-COPY_RUN = 65_536           # equal records that one task makes anew at a time
 PART_ROWS = 1_000_000       # records that are numbered together
 
 
@@ -111,12 +110,7 @@ def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_co
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    key = [id_col, "size", "text_crc32"]
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    # many copies are made anew in runs, so that no task makes them all
-    runs = counted.select(*key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPY_RUN).cast("long"))).alias("_at"))
-    runs = runs.repartition(*key, "_at")
-    each = runs.select(*key, F.explode(F.sequence("_at", F.least(F.col("_n"), F.col("_at") + COPY_RUN) - 1)).alias("copy"))
+    each = numbered_copies(rows, COPY_RUN)
     return each.withColumn("vslot", F.pmod(F.xxhash64(id_col, "text_crc32", "size", "copy"), F.lit(slots)).cast("int"))
 
 

@@ -137,3 +137,19 @@ def test_repeated_rows_are_spread(spark, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
     again = shard_documents(rows.repartition(7), shards=16).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_repeated_rows_mix_like_others(spark, monkeypatch):
+    """A third of the rows are one row: each copy is rounded by a key of its own, and reruns agree."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(-1, "one two three", "a")] * 600 + [(i, "w " * (1 + i % 9), "a" if i % 3 else "b") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).collect()
+    assert len(got) == 1800
+    hot = collections.Counter(r.copies for r in got if r.doc_id == -1)
+    assert sum(hot.values()) == 600 and len(hot) == 2 and min(hot.values()) > 20
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    again = mix_sources(docs.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
