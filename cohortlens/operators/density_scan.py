@@ -43,6 +43,7 @@ from cohortlens.session import write_stage
 
 ENVOYS = 32                 # rows that a leaf's part of a component sends first
 NEAREST = 4                 # leaves that they are sent to
+COUNT_TILE = 128            # rows that are compared before those with enough neighbours leave
 NO_LABEL = np.iinfo(np.int64).max
 
 
@@ -59,10 +60,10 @@ def count_to(x: np.ndarray, ref: np.ndarray, eps: float, enough: int) -> tuple[n
     """(rows of ``ref`` within eps, exact below ``enough``; distances taken)."""
     n, taken, eps2 = np.zeros(len(x), np.int64), 0, eps * eps
     open_ = np.arange(len(x))
-    for t in range(0, len(ref), TILE):
-        part = ref[t:t + TILE]
-        for s in range(0, len(open_), TILE):
-            own = open_[s:s + TILE]
+    for t in range(0, len(ref), COUNT_TILE):
+        part = ref[t:t + COUNT_TILE]
+        for s in range(0, len(open_), 8 * TILE):
+            own = open_[s:s + 8 * TILE]
             n[own] += (_dist2(x[own], part) <= eps2).sum(axis=1)
             taken += len(own) * len(part)
         open_ = open_[n[open_] < enough]
