@@ -14,7 +14,6 @@ from cohortlens.operators import silhouette_fast as sf
 from cohortlens.operators import stats
 from cohortlens.operators.sampling import sample_key, sample_key_sql
 from cohortlens.plans import models as MD
-from cohortlens.plans import oracle as O
 from cohortlens.plans import prepare as P
 from cohortlens.plans.catalog import query
 from cohortlens.plans.catalog_models import KM6, SCALED, _sil_sql, dist2_sql

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import dbscan as db
 from cohortlens.operators import density_scan as ds
-from cohortlens.operators import evaluate as ev
 from cohortlens.operators import kmeans as km
 from cohortlens.operators import kmeans_many as kk
 from cohortlens.operators import leaves as lv
