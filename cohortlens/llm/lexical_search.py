@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.llm.common import drop_stage, stage, start
 
-SLICE_TERMS = 500_000       # occurrences of terms in one slice of a stratum
+SLICE_TERMS = 250_000       # occurrences of terms in one slice of a stratum
 BLOCK_TERMS = 200_000       # distinct terms of the items that are searched at once
 BASE, SLOPE = 50, 50        # of the normaliser: 50 at no length, 100 at the mean length
 _TERM = bytearray(b" " * 256)
@@ -129,7 +129,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the row number is written once, so it is the same whenever it is read
     forward = stage(term_counts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lex-forward")
     n_docs, n_terms = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    m = F.lit(100 - SLOPE) + F.expr(f"({SLOPE} * n * {n_docs}L) div {max(n_terms, 1)}L")
+    m = F.lit(BASE) + F.expr(f"({SLOPE} * n * {n_docs}L) div {max(n_terms, 1)}L")
     strata = (forward.select(m.alias("m"), "n").groupBy("m")
               .agg(F.ceil(F.sum("n") / slice_terms).alias("parts")))
     sliced = (forward.withColumn("m", m).join(strata, "m")
