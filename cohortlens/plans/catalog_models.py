@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from cohortlens.operators import evaluate as ev
 from cohortlens.operators import kmeans as km
+from cohortlens.operators import kmeans_many as kk
 from cohortlens.operators import reshape, stats
 from cohortlens.operators.sampling import sample_key_sql
 from cohortlens.plans import models as MD
@@ -208,7 +209,7 @@ def q_wss_by_k(spark, d):
 @query("elbow_curve")
 def q_elbow_curve(spark, d):
     x = P.scaled(spark, d)
-    fit = km.sweep(x, M, list(range(2, ELBOW_MAX_K + 1)), nstart=25, max_iter=100, seed=ELBOW_SEED)
+    fit = kk.fit_many(x, M, {k: (25, 100) for k in range(2, ELBOW_MAX_K + 1)}, seed=ELBOW_SEED)
     k1 = stats.total_ss(x).first()["total_ss"]
     rows = [(1, float(k1))] + [(k, float(fit.best(k).cost)) for k in range(2, ELBOW_MAX_K + 1)]
     return spark.createDataFrame(rows, "k int, wss double")
