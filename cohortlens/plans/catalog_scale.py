@@ -155,7 +155,7 @@ def q_kmeans_stated_labels(spark, d):
 
 _U = LAB + ",\nu AS (" + " UNION ALL ".join(f"SELECT cluster, '{c}' AS name, {c} AS v FROM lab" for c in M) + ")"
 
-_PAIR_DENSITY = _U + """,
+DENSITY_OF_U = """,
 st AS (SELECT cluster, name, count(*) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx,
               quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM u GROUP BY cluster, name),
 bw AS (SELECT cluster, name, n, 0.9 * CASE WHEN least(coalesce(sd, 0), iqr / 1.34) > 0 THEN least(sd, iqr / 1.34)
@@ -172,15 +172,18 @@ FROM grid gr JOIN gp g ON g.name = gr.name AND g.cluster = gr.cluster JOIN bins
 GROUP BY gr.cluster, gr.name, gr.i, gr.x, g.n, g.bw"""
 
 
-@query("pair_density_by_cluster", _PAIR_DENSITY)
+@query("pair_density_by_cluster", _U + DENSITY_OF_U)
 def q_pair_density_by_cluster(spark, d):
     return pp.density_by_group(MD.lloyd_labelled(spark, d), "cluster", M)
 
 
-@query("pair_hist_by_cluster", _U + f""",
+HIST_OF_U = f""",
 rg AS (SELECT name, min(v) AS lo, max(v) AS hi FROM u GROUP BY name)
 SELECT u.cluster, u.name, CAST(CASE WHEN rg.hi = rg.lo THEN 0 ELSE least(floor(round((u.v - rg.lo) / (rg.hi - rg.lo) * {pp.BINS}, 9)), {pp.BINS - 1}) END AS INTEGER) AS bin,
-       CAST(count(*) AS BIGINT) AS n FROM u JOIN rg ON rg.name = u.name GROUP BY u.cluster, u.name, bin""")
+       CAST(count(*) AS BIGINT) AS n FROM u JOIN rg ON rg.name = u.name GROUP BY u.cluster, u.name, bin"""
+
+
+@query("pair_hist_by_cluster", _U + HIST_OF_U)
 def q_pair_hist_by_cluster(spark, d):
     return pp.histogram_by_group(MD.lloyd_labelled(spark, d), "cluster", M)
 
