@@ -116,7 +116,8 @@ def fit_many(df: DataFrame, cols: Sequence[str], settings: dict[int, tuple[int,
             else:
                 run.centres, run.iterations = new[r], run.iterations + 1
     out = km.KMeansSweep(cols=cols)
-    best = {k: min((r for r in runs if runs[r].k == k), key=lambda r: (runs[r].cost, runs[r].seed)) for k in settings}
+    # runs that end in one partition differ by rounding only: the lowest seed stands for them
+    best = {k: min((r for r in runs if runs[r].k == k), key=lambda r: (float(f"{runs[r].cost:.6e}"), runs[r].seed)) for k in settings}
     for k, r in best.items():
         exact = km.lloyd(df, cols, {0: runs[r].centres}, max(0, limit[r] - runs[r].iterations))[0]
         exact.k, exact.seed, exact.iterations = k, runs[r].seed, exact.iterations + runs[r].iterations

@@ -261,3 +261,4 @@ from cohortlens.plans import catalog_io  # noqa: E402,F401
 from cohortlens.plans import catalog_more  # noqa: E402,F401
 from cohortlens.plans import catalog_scale  # noqa: E402,F401
 from cohortlens.plans import catalog_pca  # noqa: E402,F401
+from cohortlens.plans import catalog_kmeans  # noqa: E402,F401
