@@ -28,13 +28,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID
 from cohortlens.operators.evaluate import block_count
 from cohortlens.operators.prefix import running_total
-from cohortlens.session import cut_lineage, ship_package
+from cohortlens.session import cut_lineage, ship_package, write_stage
 
 BLOCK_ROWS = 50_000
 TILE = 1024
@@ -190,13 +191,31 @@ def connected_components(edges: DataFrame, nodes: DataFrame, node: str = "id") -
 
 
 def neighbour_counts(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS,
-                     key: str = ID, grid_m: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, n_neighbours, is_core): the exact number of rows within eps of each row, itself included."""
-    ship_package(df.sparkSession)
+                     key: str = ID, leaf_rows: int | None = None, tree=None) -> DataFrame:
+    """(key, n_neighbours, is_core): the exact number of rows within eps of each row, itself included.
+
+    Over leaves: a row counts its own leaf and visits the others within eps; rows with a null or NaN measure have
+    no neighbour. ``tree``: the leaves of ``df`` if they stand already.
+    """
+    from cohortlens.operators import density_scan as ds, leaves as lv
     cols = list(cols)
-    groups = block_groups(df, cols, eps, grid_dims(df, cols, eps, grid_m), key, block_rows)
-    return (groups.groupBy("_g").applyInPandas(_neighbour_counts(cols, key, eps * eps), f"{key} bigint, n bigint")
-            .groupBy(key).agg(F.sum("n").cast("bigint").alias("n_neighbours"))
+    tree = tree or lv.grow(df, cols, key, leaf_rows)
+    rows = tree.rows.select(key, *cols, "leaf")
+
+    def own(_, table):
+        x = lv.measures(table, cols)
+        n, _taken = ds.count_to(x, x, eps, None)
+        return pa.table({key: table.column(key), "n": n})
+
+    def come(here, guests):
+        n, _taken = ds.count_to(lv.measures(guests, cols), lv.measures(here, cols), eps, None)
+        return pa.table({key: guests.column(key), "n": n})
+
+    schema = f"{key} bigint, n bigint"
+    far = write_stage(ds._guests(tree, rows, eps, own=False), "count-guests")
+    counts = (lv.dealt(rows, "leaf").groupBy("leaf").applyInArrow(own, schema).unionByName(lv.visit(rows, far, come, schema, key))
+              .unionByName(df.where(~lv.usable(cols)).select(F.col(key).cast("bigint").alias(key), F.lit(0).cast("bigint").alias("n"))))
+    return (counts.groupBy(key).agg(F.sum("n").cast("bigint").alias("n_neighbours"))
             .withColumn("is_core", F.col("n_neighbours") >= min_pts))
 
 

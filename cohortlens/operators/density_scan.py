@@ -6,7 +6,7 @@ neighbour:
 1. Rows go to leaves (``leaves.grow``). Inside a leaf a hash grid over all
    measures with cells of eps / sqrt(d) collapses dense places: the rows of a
    cell with ``min_pts`` rows or more are core and connected, with no distance
-   taken. Any other row counts tile by tile and stops at ``min_pts``.
+   taken. Any other row counts piece by piece, near ones first, and stops at ``min_pts``.
 2. Only rows still short of ``min_pts`` visit other leaves within eps.
 3. A spanning forest of each leaf's core rows, cells first; two tiles that
    are connected already are skipped, of others only rows outside the common
@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import leaves as lv
-from cohortlens.operators.dbscan import TILE, _dist2, _forest
+from cohortlens.operators import pairs
+from cohortlens.operators.dbscan import TILE, _forest
 from cohortlens.operators.prefix import running_total
 from cohortlens.schema import DBSCAN_EPS, DBSCAN_MIN_PTS, ID
 from cohortlens.session import write_stage
 
 ENVOYS = 32                 # rows that a leaf's part of a component sends first
 NEAREST = 4                 # leaves that they are sent to
-COUNT_TILE = 128            # rows that are compared before those with enough neighbours leave
 NO_LABEL = np.iinfo(np.int64).max
 
 
@@ -56,18 +56,9 @@ def cells_of(x: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     return cell.reshape(-1), n
 
 
-def count_to(x: np.ndarray, ref: np.ndarray, eps: float, enough: int) -> tuple[np.ndarray, int]:
+def count_to(x: np.ndarray, ref: np.ndarray, eps: float, enough: int | None) -> tuple[np.ndarray, int]:
     """(rows of ``ref`` within eps, exact below ``enough``; distances taken)."""
-    n, taken, eps2 = np.zeros(len(x), np.int64), 0, eps * eps
-    open_ = np.arange(len(x))
-    for t in range(0, len(ref), COUNT_TILE):
-        part = ref[t:t + COUNT_TILE]
-        for s in range(0, len(open_), 8 * TILE):
-            own = open_[s:s + 8 * TILE]
-            n[own] += (_dist2(x[own], part) <= eps2).sum(axis=1)
-            taken += len(own) * len(part)
-        open_ = open_[n[open_] < enough]
-    return n, taken
+    return pairs.count_within(x, pairs.Blocks(ref), eps * eps, enough)
 
 
 def forest_of(x: np.ndarray, eps: float, min_pts: int) -> tuple[np.ndarray, int]:
@@ -90,7 +81,7 @@ def forest_of(x: np.ndarray, eps: float, min_pts: int) -> tuple[np.ndarray, int]
             for p, q in ((a[ra != common], b), (a[ra == common], b[rb != common])):
                 if len(p) and len(q):
                     taken += len(p) * len(q)
-                    k, m = np.nonzero((_dist2(x[p], x[q]) <= eps2) & (root[p][:, None] != root[q][None, :]))
+                    k, m = pairs.found(pairs.within(x[p], x[q], eps2) & (root[p][:, None] != root[q][None, :]))
                     found.append((p[k], q[m]))
             k, m = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int),) * 2
             if len(k):
@@ -106,9 +97,9 @@ def _own_counts(cols, key, eps, min_pts):
         n = size[cell]
         short = np.flatnonzero(n < min_pts)
         n[short], taken = count_to(x[short], x, eps, min_pts)
-        pairs = np.zeros(len(n), np.int64)
-        pairs[:1] = taken
-        return table.append_column("n", pa.array(n)).append_column("pairs", pa.array(pairs))
+        cost = np.zeros(len(n), np.int64)
+        cost[:1] = taken
+        return table.append_column("n", pa.array(n)).append_column("pairs", pa.array(cost))
     return fn
 
 
@@ -125,19 +116,19 @@ def _own_forest(cols, key, eps, min_pts):
         nth = np.empty(len(part), np.int64)
         nth[order] = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
         envoy = nth % np.maximum(1, -(-size // ENVOYS))[part] == 0
-        pairs = np.zeros(len(ids), np.int64)
-        pairs[:1] = taken
+        cost = np.zeros(len(ids), np.int64)
+        cost[:1] = taken
         return (table.append_column("comp", pa.array(comp[part])).append_column("envoy", pa.array(envoy))
-                .append_column("pairs", pa.array(pairs)))
+                .append_column("pairs", pa.array(cost)))
     return fn
 
 
 def _counts_of_guests(cols, key, eps, min_pts):
     def fn(own, come):
         n, taken = count_to(lv.measures(come, cols), lv.measures(own, cols), eps, min_pts)
-        pairs = np.zeros(len(n), np.int64)
-        pairs[:1] = taken
-        return pa.table({key: come.column(key), "n": n, "pairs": pairs})
+        cost = np.zeros(len(n), np.int64)
+        cost[:1] = taken
+        return pa.table({key: come.column(key), "n": n, "pairs": cost})
     return fn
 
 
@@ -155,7 +146,7 @@ def _links_of_guests(cols, eps):
                 if not other.any():
                     continue
                 taken += other.size
-                i, j = np.nonzero(other & (_dist2(x[s:s + TILE], y[t:t + TILE]) <= eps2))
+                i, j = pairs.found(other & pairs.within(x[s:s + TILE], y[t:t + TILE], eps2))
                 found |= dict.fromkeys(zip(mine[s + i].tolist(), here[t + j].tolist()))
         src, dst = zip(*found) if found else ((), ())
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()),
@@ -169,7 +160,7 @@ def _lowest_of_guests(cols, key, eps):
         label, best = own.column("cluster").to_numpy(), np.full(len(x), NO_LABEL)
         for s in range(0, len(x), TILE):
             for t in range(0, len(y), TILE):
-                near = _dist2(x[s:s + TILE], y[t:t + TILE]) <= eps * eps
+                near = pairs.within(x[s:s + TILE], y[t:t + TILE], eps * eps)
                 best[s:s + TILE] = np.minimum(best[s:s + TILE], np.where(near, label[None, t:t + TILE], NO_LABEL).min(axis=1))
         ok = best < NO_LABEL
         return pa.table({key: come.column(key).filter(pa.array(ok)), "cluster": best[ok]})
@@ -225,12 +216,12 @@ def _guests(tree: lv.Leaves, rows: DataFrame, eps: float, own: bool, most: int |
     """
     cols = tree.cols
     asks = rows.groupBy("leaf").agg(F.lit(float(eps)).alias("r"))
-    pairs = lv.near_leaves(tree, asks)
-    pairs = pairs if own else pairs.where("leaf != to")
+    visits = lv.near_leaves(tree, asks)
+    visits = visits if own else visits.where("leaf != to")
     if most:
         nth = F.row_number().over(Window.partitionBy("leaf").orderBy("centres", "to"))
-        pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= most)
-    return (rows.join(pairs, "leaf").where(lv.row_to_box(cols) <= eps * eps * (1 + 1e-9))
+        visits = visits.withColumn("nth", nth).where(F.col("nth") <= most)
+    return (rows.join(visits, "leaf").where(lv.row_to_box(cols) <= eps * eps * (1 + 1e-9))
             .select(*rows.columns, "to"))
 
 
@@ -246,7 +237,7 @@ def dbscan_leaves(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, m
     values = f"{key} bigint, " + ", ".join(f"{c} double" for c in cols) + ", leaf bigint"
 
     # 1, 2: core rows
-    own = write_stage(rows.groupBy("leaf").applyInArrow(_own_counts(cols, key, eps, min_pts), f"{values}, n bigint, pairs bigint"),
+    own = write_stage(lv.dealt(rows, "leaf").groupBy("leaf").applyInArrow(_own_counts(cols, key, eps, min_pts), f"{values}, n bigint, pairs bigint"),
                       "scan-own")
     short = own.where(F.col("n") < min_pts)
     far = write_stage(_guests(tree, short.select(key, *cols, "leaf"), eps, own=False), "scan-guests")
@@ -258,7 +249,7 @@ def dbscan_leaves(df: DataFrame, cols: Sequence[str], eps: float = DBSCAN_EPS, m
                           "scan-core")
 
     # 3: parts within the leaves
-    parted = write_stage(flagged.where("is_core").drop("is_core").groupBy("leaf").applyInArrow(
+    parted = write_stage(lv.dealt(flagged.where("is_core").drop("is_core"), "leaf").groupBy("leaf").applyInArrow(
         _own_forest(cols, key, eps, min_pts), f"{values}, comp bigint, envoy boolean, pairs bigint"), "scan-parts")
     comps = write_stage(parted.groupBy("leaf", "comp").agg(F.count(F.lit(1)).alias("n"), *lv.box_of(cols)), "scan-comps")
 
@@ -337,18 +328,6 @@ def assign(fit: DensityFit, df: DataFrame) -> DataFrame:
 
 # --- k-nearest-neighbour distances ---------------------------------------
 
-def _nearest(x, ids, y, other, k):
-    """The k smallest squared distances of each row of ``x`` to rows of ``y`` with another id."""
-    best = np.full((len(x), k), np.inf)
-    for s in range(0, len(x), TILE):
-        for t in range(0, len(y), TILE):
-            d2 = _dist2(x[s:s + TILE], y[t:t + TILE])
-            d2[ids[s:s + TILE][:, None] == other[t:t + TILE][None, :]] = np.inf
-            best[s:s + TILE] = np.partition(np.hstack([best[s:s + TILE], d2]), k - 1, axis=1)[:, :k]
-    best.sort(axis=1)
-    return best
-
-
 def _near_array(best: np.ndarray) -> pa.ListArray:
     ok = np.isfinite(best)
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ok.sum(axis=1))), pa.int32()), pa.array(best[ok]))
@@ -368,19 +347,19 @@ def knn_leaves(df: DataFrame, cols: Sequence[str], k: int = DBSCAN_MIN_PTS, key:
 
     def own(_, table):
         x, ids = lv.measures(table, cols), table.column(key).to_numpy()
-        best = _nearest(x, ids, x, ids, k)
+        best = pairs.k_nearest(x, ids, pairs.Blocks(x), ids, k)
         return table.append_column("near", _near_array(best)).append_column("bound", pa.array(best[:, -1]))
 
     schema = ", ".join(f"{c} double" for c in cols)
-    known = write_stage(rows.select(key, *cols, "leaf").groupBy("leaf").applyInArrow(
+    known = write_stage(lv.dealt(rows.select(key, *cols, "leaf"), "leaf").groupBy("leaf").applyInArrow(
         own, f"{key} bigint, {schema}, leaf bigint, near array<double>, bound double"), "knn-own")
     reach = known.groupBy("leaf").agg(F.sqrt(F.max("bound")).alias("r"))
     guests = write_stage(known.drop("near").join(lv.near_leaves(tree, reach).where("leaf != to"), "leaf")
-                         .where(lv.row_to_box(cols) < F.col("bound")).select(key, *cols, "to"), "knn-guests")
+                         .where(lv.row_to_box(cols) < F.col("bound")).select(key, *cols, "bound", "to"), "knn-guests")
 
     def asked(own, come):
-        best = _nearest(lv.measures(come, cols), come.column(key).to_numpy(), lv.measures(own, cols),
-                        own.column(key).to_numpy(), k)
+        best = pairs.k_nearest(lv.measures(come, cols), come.column(key).to_numpy(), pairs.Blocks(lv.measures(own, cols)),
+                               own.column(key).to_numpy(), k, come.column("bound").to_numpy())
         return pa.table({key: come.column(key), "near": _near_array(best)})
 
     found = lv.visit(rows, guests, asked, f"{key} bigint, near array<double>", key)

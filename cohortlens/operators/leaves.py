@@ -32,7 +32,7 @@ from cohortlens.session import ship_package, write_stage
 DEPTH = 6
 FAN = 1 << DEPTH            # children of a node
 SAMPLE = 16_384             # rows of a leaf that set its cuts
-LEAF_ROWS = 20_000          # rows of a leaf, at most about twice
+LEAF_ROWS = 60_000          # rows of a leaf, at most about twice
 GUESTS = 100_000            # visiting rows that a task holds
 
 
@@ -164,6 +164,14 @@ def grow(df: DataFrame, cols: Sequence[str], key: str = ID, leaf_rows: int | Non
     return Leaves(rows, levels, cols, key)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over several partitions a core: the rows of leaves are few bytes for much work, and adaptive
+    execution would gather them in one task."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def near_leaves(tree: Leaves, reach: DataFrame) -> DataFrame:
     """(leaf, to, centres, lo_*, hi_*): the leaves whose box is within ``r`` of the box of ``leaf``, itself included.
 
@@ -197,4 +205,5 @@ def visit(home: DataFrame, guests: DataFrame, fn: Callable[[pa.Table, pa.Table],
     def both(own: pa.Table, come: pa.Table) -> pa.Table:
         return fn(own, come.rename_columns([c[2:] for c in come.column_names]))
 
-    return host.groupBy("leaf", "chunk").cogroup(sent.groupBy("g_to", "g_chunk")).applyInArrow(both, schema)
+    return (dealt(host, "leaf", "chunk").groupBy("leaf", "chunk")
+            .cogroup(dealt(sent, "g_to", "g_chunk").groupBy("g_to", "g_chunk")).applyInArrow(both, schema))

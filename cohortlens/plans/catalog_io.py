@@ -133,17 +133,20 @@ def _fitted_labels(spark, d):
 
 
 def _fitted_metrics(spark, d, refit: bool = False):
+    models = _fitted_labels(spark, d)
+    names = [f"model{order}" for _, order, _, _ in models]
+    x = MD.eval_sample(spark, d)
+    for col, (_, _, labels, _) in zip(names, models):
+        x = x.join(labels.withColumnRenamed("cluster", col), ID)
+    x = P.stage(spark, d, "eval_fitted", lambda: x)
     rows = []
-    samp = MD.eval_sample(spark, d)
-    for name, order, labels, noise in _fitted_labels(spark, d):
-        x = samp.join(labels, ID)
-        sil = ev.silhouette(x, M).first()[0]
-        db = ev.davies_bouldin_value(x, M, drop_label=noise)
+    for col, sil, (name, order, _, noise) in zip(names, ev.silhouettes(x, M, names), models):
+        db = ev.davies_bouldin_value(x, M, col, drop_label=noise)
         if refit:
-            k = x.select("cluster").distinct().count()
+            k = x.select(col).distinct().count()
             w = ev.wcss_refit(x, M, k)
         else:
-            w = ev.wcss_labels(x, M).first()[0]
+            w = ev.wcss_labels(x, M, col).first()[0]
         rows.append((name, order, sil, db, w))
     return spark.createDataFrame(rows, "model string, model_order int, silhouette_score double, "
                                        "db_index double, wcss double")

@@ -40,7 +40,7 @@ SELECT id AS person_id, CAST(count_if(d <= {DBSCAN_EPS}) AS BIGINT) AS n_neighbo
        count_if(d <= {DBSCAN_EPS}) >= {DBSCAN_MIN_PTS} AS is_core
 FROM pairs GROUP BY id""")
 def q_dbscan_core(spark, d):
-    return db.neighbour_counts(P.scaled(spark, d), M)
+    return db.neighbour_counts(P.scaled(spark, d), M, tree=MD.leaves(spark, d))
 
 
 @query("dbscan_assign")
