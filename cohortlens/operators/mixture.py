@@ -39,6 +39,7 @@ from cohortlens.schema import GRID_MODELS, ID
 from cohortlens.session import ship_package
 
 LOG2PI = math.log(2 * math.pi)
+TILE = 1024                 # rows whose temporaries stay in the core's cache
 
 
 def n_params(model: str, g: int, d: int) -> int:
@@ -211,12 +212,12 @@ def _prepare(fit: Fit):
 
 
 def _log_density(x, lp, mu, li, ld):
-    d = x.shape[1]
-    out = np.empty((x.shape[0], len(lp)))
-    for k in range(len(lp)):
-        z = (x - mu[k]) @ li[k].T
-        out[:, k] = lp[k] - 0.5 * (d * LOG2PI + ld[k] + np.einsum("ij,ij->i", z, z))
-    return out
+    n, d = x.shape
+    g = len(lp)
+    # the whitened differences of all components from one product: (x, 1) times (li^T; -mu li^T)
+    turn = np.concatenate([li.transpose(2, 0, 1).reshape(d, g * d), -np.einsum("kij,kj->ki", li, mu).reshape(1, g * d)])
+    z = (np.hstack([x, np.ones((n, 1))]) @ turn).reshape(n, g, d)
+    return lp - 0.5 * (d * LOG2PI + ld + np.einsum("nkd,nkd->nk", z, z))
 
 
 def _responsibilities(x, state):
@@ -238,34 +239,46 @@ def _responsibilities(x, state):
     return np.exp(logp - lse[:, None]), float(lse.sum())
 
 
+def _scatter(x, shift, r):
+    """g x d x d: sum of r (x - shift)(x - shift)^T for each component."""
+    out = np.empty((len(shift), x.shape[1], x.shape[1]))
+    for k in range(len(shift)):
+        y = x - shift[k]
+        out[k] = (y * r[:, k, None]).T @ y
+    return out
+
+
 def _estep(cols, states):
     d = len(cols)
+    # fits of one start share its very state: it is summed once
+    shared = {f: min(o for o in states if states[o][1] is state[1]) for f, state in states.items()}
 
     def fn(it):
         total: dict[int, list] = {}
         for pdf in it:
-            x = pdf[cols].to_numpy(dtype=float)
-            if not len(x):
-                continue
-            for fid, state in states.items():
-                r, ll = _responsibilities(x, state)
-                shift = _shift(state)
-                stats = [r.sum(axis=0), ll, r.T @ x,
-                         np.stack([((x - shift[k]) * r[:, k, None]).T @ (x - shift[k]) for k in range(r.shape[1])])]
-                if fid in total:
-                    for i, v in enumerate(stats):
-                        total[fid][i] = total[fid][i] + v
-                else:
-                    total[fid] = stats
-        frames = []
-        for fid, (nk, ll, sx, sxx) in total.items():
-            g = len(nk)
-            f = pd.DataFrame({"fit": fid, "k": np.arange(g), "nk": nk, "ll": np.where(np.arange(g) == 0, ll, 0.0)})
-            stats = pd.DataFrame(np.hstack([sx, sxx.reshape(g, d * d)]),
-                                 columns=[f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)])
-            frames.append(pd.concat([f, stats], axis=1))
-        if frames:
-            yield pd.concat(frames, ignore_index=True)
+            every = pdf[cols].to_numpy(dtype=float)
+            for at in range(0, len(every), TILE):
+                x = every[at:at + TILE]
+                for fid in set(shared.values()):
+                    state = states[fid]
+                    r, ll = _responsibilities(x, state)
+                    stats = [r.sum(axis=0), ll, r.T @ x, _scatter(x, _shift(state), r)]
+                    if fid in total:
+                        for i, v in enumerate(stats):
+                            total[fid][i] = total[fid][i] + v
+                    else:
+                        total[fid] = stats
+        # one frame of all fits: pandas would spend longer on gluing many wide ones
+        blocks = []
+        for fid, first in shared.items():
+            if first in total:
+                nk, ll, sx, sxx = total[first]
+                g = len(nk)
+                blocks.append(np.hstack([np.full((g, 1), fid), np.arange(g)[:, None], nk[:, None], np.where(np.arange(g) == 0, ll, 0.0)[:, None],
+                                         sx, sxx.reshape(g, d * d)]))
+        if blocks:
+            out = pd.DataFrame(np.vstack(blocks), columns=["fit", "k", "nk", "ll"] + [f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)])
+            yield out.astype({"fit": "int32", "k": "int32"})
     return fn
 
 
@@ -301,6 +314,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
     """
     cols = list(cols)
     d = len(cols)
+    rows = km.spread_rows(df, cols)
     if start == "agglomerative":
         parts = agglomerate.partitions(df, cols, list(groups), seed=seed, key=key)
         first = {g: ("parts", p) for g, p in parts.items()}
@@ -317,7 +331,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
             fid += 1
     states = {f: first[fit.g] for f, fit in fits.items()}
     while states:
-        stats = _pass(df, cols, states)
+        stats = _pass(rows, cols, states)
         nxt = {}
         for f, state in states.items():
             fit = fits[f]

@@ -104,3 +104,46 @@ def test_shuffles_grow_with_the_rows(spark):
     assert spark.conf.get(name) == before
     with sized_shuffles(spark, 1):
         assert spark.conf.get(name) == before
+
+
+def test_tile_sums_of_many_fits_match_plain_assignment():
+    from cohortlens.operators import kmeans as km
+    from cohortlens.operators import kmeans_many as kk
+    rng = np.random.default_rng(6)
+    x, centres = rng.normal(size=(300, 3)), rng.normal(size=(7, 4, 3))
+    x1 = np.hstack([x, np.ones((300, 1))])
+    sums, sse = kk._tile_sums(x1, (x * x).sum(axis=1), kk._factors(centres), 4)
+    for run, c in enumerate(centres):
+        d2 = km._sqdist(x, c)
+        lab = d2.argmin(axis=1)
+        assert (sums[:, run, 3] == np.bincount(lab, minlength=4)).all()
+        assert np.allclose(sums[:, run, :3], [x[lab == k].sum(axis=0) for k in range(4)])
+        assert sse[run] == pytest.approx(d2.min(axis=1).sum())
+
+
+def test_winners_keep_their_own_limits(spark):
+    from cohortlens.operators import kmeans as km
+    x = np.random.default_rng(7).normal(size=(200, 2))
+    df = spark.createDataFrame([(i, *map(float, x[i])) for i in range(200)], "person_id bigint, a double, b double")
+    got = km.lloyd(df, AB, {0: x[:3], 1: x[3:8]}, {0: 1, 1: 4})
+    for r, most in ((0, 1), (1, 4)):
+        alone = km.lloyd(df, AB, {r: x[:3] if r == 0 else x[3:8]}, most)[r]
+        assert (got[r].centres == alone.centres).all() and got[r].iterations == alone.iterations == most
+
+
+def test_fits_of_one_start_are_summed_once_and_densities_hold():
+    import pandas as pd
+    from cohortlens.operators import mixture as mx
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 2))
+    cov = np.stack([np.array([[1.0, 0.3], [0.3, 2.0]]), np.eye(2) * 0.5])
+    fit = mx.Fit("VVV", 2, pi=np.array([0.4, 0.6]), mu=rng.normal(size=(2, 2)), sigma=cov)
+    state = ("soft", mx._prepare(fit))
+    plain = np.stack([np.log(fit.pi[k]) - 0.5 * (2 * mx.LOG2PI + np.linalg.slogdet(cov[k])[1]
+                      + np.einsum("ni,ij,nj->n", x - fit.mu[k], np.linalg.inv(cov[k]), x - fit.mu[k])) for k in range(2)], axis=1)
+    assert np.allclose(mx._log_density(x, *state[1]), plain)
+    got = pd.concat(mx._estep(AB, {4: state, 5: state})(iter([pd.DataFrame(x, columns=AB)])))
+    assert got["fit"].tolist() == [4, 4, 5, 5] and (got[got["fit"] == 4].drop(columns="fit").to_numpy()
+                                                     == got[got["fit"] == 5].drop(columns="fit").to_numpy()).all()
+    assert got["nk"].sum() == pytest.approx(2 * 2500)
+    assert got["ll"].sum() == pytest.approx(2 * np.logaddexp(plain[:, 0], plain[:, 1]).sum())
