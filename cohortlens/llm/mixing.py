@@ -182,16 +182,27 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tupl
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged.
 
     Rows are met again by a hash of id and text. Equal rows are
-    interchangeable: they share out the copies of all of them.
+    interchangeable: they share out the copies of all of them. Only rows that
+    cannot share them evenly are numbered; the others pass the join as they
+    come, so whole texts are not sorted.
     """
 
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
     mixed = mix_sources(docs.select(row_key.alias("row"), "source", F.col(text_col).alias("text")), weights, share,
                         cap, seed, "row")
-    taken = stage(mixed.groupBy("row").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")), "mix-copies")
+    taken = stage(mixed.groupBy("row").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+                  .where("c > 0"), "mix-copies")
     rows = docs.select(row_key.alias("row"), F.struct("*").alias("doc"))           # no column can clash
+
+    def met(which: str) -> DataFrame:
+        # the narrow side is the hash table
+        return rows.join(taken.where(which).hint("shuffle_hash"), "row")
+
     nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))
-    return (rows.join(taken.where("c > 0"), "row").withColumn("nth", nth)
-            .withColumn("k", F.floor(F.col("c") / F.col("n")) + (F.col("nth") <= F.col("c") % F.col("n")).cast("long"))
-            .where("k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
+    share_of = F.floor(F.col("c") / F.col("n"))
+    even = met("c % n = 0").select("doc", share_of.alias("k"))
+    uneven = (met("c % n > 0").withColumn("nth", nth)
+              .select("doc", (share_of + (F.col("nth") <= F.col("c") % F.col("n")).cast("long")).alias("k")))
+    return (even.unionByName(uneven).where("k > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))))
             .select("doc.*"))

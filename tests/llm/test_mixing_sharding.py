@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import mixing
 from cohortlens.llm.mixing import apply_mix, mix_sources, pivot_round
@@ -83,6 +84,21 @@ def test_apply_mix_repeats_rows(clashing, empty):
     assert apply_mix(empty).count() == 0 and mix_sources(empty).count() == 0
 
 
+def test_apply_mix_sorts_only_rows_that_share_unevenly(spark):
+    """Equal rows share out their copies exactly; the texts go past a hash table of the copies, in one shuffle."""
+    rows = ([(1, "a b c", "en", "s0", None)] * 5 + [(2, "d e f g", "en", "s0", None)] * 2
+            + [(i, "w " * (i % 9 + 1), "en", f"s{i % 3}", None) for i in range(3, 60)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = collections.Counter()
+    for r in mix_sources(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), id_col="doc_id").collect():
+        want[r.doc_id] += r.copies
+    out = apply_mix(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    got = collections.Counter(r.k for r in out.select(F.xxhash64("doc_id", "text").alias("k")).collect())
+    assert got == collections.Counter({k: c for k, c in want.items() if c})
+
+
 def test_shards(awkward, clashing, empty):
     rows = shard_documents(clashing, shards=4).collect()
     assert len(rows) == awkward.count()
