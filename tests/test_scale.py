@@ -250,3 +250,29 @@ def test_agglomerative_starts(points):
     assert fit.converged and fit.loglik >= other.loglik - 5
     tiny = ag.partitions(points.limit(3), AB, [1, 5], micro=20)
     assert len(tiny[5].means) <= 3 and len(tiny[1].means) == 1
+
+
+def test_raw_measures_write_the_persons_before_the_joins(spark, tmp_path):
+    """Days are sorted in one step and joined to none; gaps and late contacts of odd persons."""
+    from cohortlens.sources.measures import key_measures_raw
+    days = {1: ["2020-01-01", "2020-06-01", "2020-06-01", "2020-06-02"], 2: ["2020-03-03"], 3: [None], 4: [None, "2020-01-01", "2021-01-01"]}
+    lines, orders = [], []
+    for person, dates in days.items():
+        for i, day in enumerate(dates):
+            orders.append((person * 10 + i, person, "1-URGENT" if i else "5-LOW"))
+            lines.append((person * 10 + i, i % 2, 2.0, "R", "F", day))
+    orders.append((99, None, "5-LOW"))
+    lines.append((99, 0, 1.0, "N", "O", "2020-01-01"))
+    tables = {"lineitem": (lines, "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate string"),
+              "orders": (orders, "o_orderkey long, o_custkey long, o_orderpriority string"),
+              "customer": ([(p, 1, "BUILDING", 10000.0 if p == 2 else 1.0) for p in days],
+                           "c_custkey long, c_nationkey long, c_mktsegment string, c_acctbal double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = key_measures_raw(spark, str(tmp_path))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.person_id, r.care_contacts, r.length_care, r.intermittent_care_periods, r.contact_prop_aft_midpoint)
+                 for r in out.where("person_id <> 3").collect())
+    assert got == [(1, 4.0, 153.0, "1.0", 0.75), (2, 1.0, 0.0, "NULL", 0.0), (2, 1.0, 0.0, "NULL", 0.0), (4, 3.0, 366.0, "1.0", pytest.approx(1 / 3))]
+    null = out.where("person_id = 3").first()
+    assert (null.care_contacts, null.length_care, null.contact_prop_aft_midpoint) == (1.0, None, 0.0)
