@@ -5,7 +5,10 @@ Sigma_k = lambda_k D_k A_k D_k^T (volume, orientation, shape each Equal or
 Varying; I = identity).  All fits of a BIC grid advance together: every EM
 iteration is ONE pass over the data, where each task evaluates every active
 (G, model) fit with numpy and emits only per-component sufficient
-statistics (n_k, sum r x, sum r x x^T) and its log-likelihood share.  Spark
+statistics (n_k, sum r x, sum r x x^T) and its log-likelihood share.  A log
+density is linear in (1, x, x_i x_j), so one product takes the densities of all
+components of all fits and another their statistics; a fit whose covariance or
+scatter would lose digits that way goes by differences from its means.  Spark
 sums those per (fit, component); the driver runs the M-steps on d x d
 matrices.  Jobs = iterations of the slowest fit, not fits x iterations.
 
@@ -40,6 +43,8 @@ from cohortlens.session import ship_package
 
 LOG2PI = math.log(2 * math.pi)
 TILE = 1024                 # rows whose temporaries stay in the core's cache
+WIDE_TILE = 256             # the same beside the components of all fits
+NARROW = 1e-7               # least variance in any direction, as a share of the rows' mean square, for sums of products
 
 
 def n_params(model: str, g: int, d: int) -> int:
@@ -150,28 +155,24 @@ def _common_orientation(model: str, nk: np.ndarray, w: np.ndarray, inner: int,
     top = np.array([np.linalg.eigvalsh(w[k])[-1] for k in range(g)])
 
     def diag_parts(dm):
-        proj = np.stack([np.diag(dm.T @ w[k] @ dm) for k in range(g)])     # g x d
+        turned = dm.T @ w                                                  # g x d x d
+        proj = np.einsum("kij,ji->ki", turned, dm)                         # g x d
         if np.any(proj <= 0):
             raise np.linalg.LinAlgError("degenerate component")
         if model == "VVE":
-            return proj / nk[:, None]
-        roots = np.exp(np.log(proj).mean(axis=1))
-        shapes = proj / roots[:, None]
-        lam = roots.sum() / n
-        return lam * shapes
+            c = proj / nk[:, None]
+        else:
+            roots = np.exp(np.log(proj).mean(axis=1))
+            c = roots.sum() / n * (proj / roots[:, None])
+        return turned, c, np.sum(proj / c)
 
-    def objective(dm, c):
-        return sum(np.sum(np.diag(dm.T @ w[k] @ dm) / c[k]) for k in range(g))
-
-    c = diag_parts(dmat)
-    prev = objective(dmat, c)
+    turned, c, prev = diag_parts(dmat)
     for _ in range(inner):
         b = 1.0 / c
-        gmat = sum(b[k][:, None] * (dmat.T @ w[k]) - top[k] * (b[k][:, None] * dmat.T) for k in range(g))
+        gmat = np.einsum("ki,kij->ij", b, turned) - (top @ b)[:, None] * dmat.T
         u, _, vt = np.linalg.svd(gmat)
         dmat = -(vt.T @ u.T)
-        c = diag_parts(dmat)
-        cur = objective(dmat, c)
+        turned, c, cur = diag_parts(dmat)
         if abs(prev - cur) <= 1e-10 * (1 + abs(cur)):
             break
         prev = cur
@@ -248,18 +249,68 @@ def _scatter(x, shift, r):
     return out
 
 
-def _estep(cols, states):
+def _products(x):
+    """(1, x, x_i x_j for i <= j), a column for each row of ``x``."""
+    i, j = np.triu_indices(x.shape[1])
+    xt = np.ascontiguousarray(x.T)
+    return np.vstack([np.ones((1, len(x))), xt, xt[i] * xt[j]])
+
+
+def _weights(payload):
+    """g x products: what ``_products`` is multiplied by for the log densities of the components."""
+    lp, mu, li, ld = payload
+    d = mu.shape[1]
+    prec = np.einsum("kji,kjl->kil", li, li)
+    turned = np.einsum("kij,kj->ki", prec, mu)
+    i, j = np.triu_indices(d)
+    const = lp - 0.5 * (d * LOG2PI + ld + (turned * mu).sum(axis=1))
+    return np.hstack([const[:, None], turned, -0.5 * prec[:, i, j] * np.where(i == j, 1.0, 2.0)])
+
+
+def _wide_sums(x, weights, sizes):
+    """(sum of responsibility x products of every component, log likelihood of every fit) by two products for all fits.
+
+    ``sizes``: [(fits, components of each)], as the rows of ``weights`` follow each other.
+    """
+    q = _products(x)
+    r = weights @ q
+    lls, at = [], 0
+    for fits, g in sizes:
+        part = r[at:at + fits * g].reshape(fits, g, -1)
+        top = part.max(axis=1)
+        part -= top[:, None]
+        np.exp(part, out=part)
+        whole = part.sum(axis=1)
+        part /= whole[:, None]
+        lls.append((top + np.log(whole)).sum(axis=1))
+        at += fits * g
+    return r @ q.T, np.concatenate(lls)
+
+
+def _estep(cols, states, careful=frozenset()):
     d = len(cols)
     # fits of one start share its very state: it is summed once
     shared = {f: min(o for o in states if states[o][1] is state[1]) for f, state in states.items()}
+    by_size: dict[int, list] = {}
+    for f, (kind, payload) in states.items():
+        if kind == "soft" and f not in careful:
+            by_size.setdefault(len(payload[0]), []).append(f)
+    wide = [f for g in sorted(by_size) for f in by_size[g]]
+    sizes = [(len(by_size[g]), g) for g in sorted(by_size)]
+    weights = np.vstack([_weights(states[f][1]) for f in wide]) if wide else None
+    single = sorted(set(shared.values()) - set(wide))
 
     def fn(it):
         total: dict[int, list] = {}
+        sums = None
         for pdf in it:
             every = pdf[cols].to_numpy(dtype=float)
-            for at in range(0, len(every), TILE):
+            for at in range(0, len(every), WIDE_TILE) if wide else ():
+                got = _wide_sums(every[at:at + WIDE_TILE], weights, sizes)
+                sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
+            for at in range(0, len(every), TILE) if single else ():
                 x = every[at:at + TILE]
-                for fid in set(shared.values()):
+                for fid in single:
                     state = states[fid]
                     r, ll = _responsibilities(x, state)
                     stats = [r.sum(axis=0), ll, r.T @ x, _scatter(x, _shift(state), r)]
@@ -268,6 +319,18 @@ def _estep(cols, states):
                             total[fid][i] = total[fid][i] + v
                     else:
                         total[fid] = stats
+        if sums is not None:
+            i, j = np.triu_indices(d)
+            at = 0
+            for fid, ll in zip(wide, sums[1]):
+                mu = _shift(states[fid])
+                got = sums[0][at:at + len(mu)]
+                at += len(mu)
+                nk, sx, sxx = got[:, 0], got[:, 1:d + 1], np.empty((len(mu), d, d))
+                sxx[:, i, j] = sxx[:, j, i] = got[:, d + 1:]
+                # the scatter around the previous means, as the other fits have it
+                cross = np.einsum("ki,kj->kij", mu, sx)
+                total[fid] = [nk, ll, sx, sxx - cross - cross.transpose(0, 2, 1) + nk[:, None, None] * np.einsum("ki,kj->kij", mu, mu)]
         # one frame of all fits: pandas would spend longer on gluing many wide ones
         blocks = []
         for fid, first in shared.items():
@@ -288,19 +351,40 @@ def _shift(state) -> np.ndarray:
     return payload if kind == "hard" else payload.means if kind == "parts" else payload[1]
 
 
-def _pass(df, cols, states):
+def _pass(df, cols, states, careful=frozenset()):
     ship_package(df.sparkSession)
     d = len(cols)
     schema = ("fit int, k int, nk double, ll double, " + ", ".join(f"s{j} double" for j in range(d)) + ", "
               + ", ".join(f"q{j} double" for j in range(d * d)))
     stat_cols = ["nk", "ll"] + [f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)]
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states), schema)
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states, careful), schema)
     out: dict[int, dict[int, dict]] = {}
     for r in combine(parts, ["fit", "k"], stat_cols):
         out.setdefault(int(r["fit"]), {})[int(r["k"])] = r
     return out
 
 
+def _moments(comp: dict, state, g: int, d: int):
+    """(nk, means, scatter matrices) of a fit's components from the sums of a pass."""
+    nk = np.array([comp[k]["nk"] if k in comp else 0.0 for k in range(g)])
+    if np.any(nk <= 1e-8):
+        return nk, None, None
+    sx = np.array([[comp[k][f"s{j}"] for j in range(d)] for k in range(g)])
+    sxx = np.array([[comp[k][f"q{j}"] for j in range(d * d)] for k in range(g)]).reshape(g, d, d)
+    mu = sx / nk[:, None]
+    off = mu - _shift(state)
+    w = sxx - nk[:, None, None] * np.einsum("ki,kj->kij", off, off)
+    return nk, mu, (w + np.transpose(w, (0, 2, 1))) / 2
+
+
+def _narrow(cov: np.ndarray, nk: np.ndarray, mu: np.ndarray, w: np.ndarray) -> bool:
+    """Whether a covariance matrix is so narrow in some direction that sums of products lose digits (or is no number)."""
+    if not (np.all(np.isfinite(cov)) and np.all(np.isfinite(w))):
+        return True
+    scale = (np.einsum("kii->", w) + (nk * (mu * mu).sum(axis=1)).sum()) / (nk.sum() * mu.shape[1])
+    return not np.linalg.eigvalsh(cov).min() >= NARROW * scale
+
+
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
              tol: float = 1e-5, seed: int = 123, max_iter: int | None = None, start: str = "kmeans", key: str = ID
              ) -> dict[tuple[int, str], Fit]:
@@ -330,14 +414,24 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
             keys[fid] = (g, m)
             fid += 1
     states = {f: first[fit.g] for f, fit in fits.items()}
+    narrow: set[int] = set()            # fits that go by differences
     while states:
-        stats = _pass(rows, cols, states)
+        stats = _pass(rows, cols, states, narrow)
+        # a fit with a component that has become narrow is summed once more, by differences
+        again = {}
+        for f, state in states.items():
+            if state[0] == "soft" and f not in narrow:
+                nk, mu, w = _moments(stats.get(f, {}), state, fits[f].g, d)
+                if not np.all(np.isfinite(nk)) or (w is not None and _narrow(w / nk[:, None, None], nk, mu, w)):
+                    again[f] = state
+        if again:
+            narrow |= set(again)
+            stats |= _pass(rows, cols, again, narrow)
         nxt = {}
         for f, state in states.items():
             fit = fits[f]
             comp = stats.get(f, {})
             g = fit.g
-            nk = np.array([comp[k]["nk"] if k in comp else 0.0 for k in range(g)])
             if state[0] == "soft":
                 lls = [comp[k]["ll"] for k in comp]
                 if any(v is None or not math.isfinite(v) for v in lls):
@@ -351,15 +445,10 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
                 if max_iter is not None and fit.iterations > max_iter:
                     fit.reason = "iteration limit"
                     continue
-            if np.any(nk <= 1e-8):
+            nk, mu, w = _moments(comp, state, g, d)
+            if w is None:
                 fit.failed, fit.reason = True, "empty component"
                 continue
-            sx = np.array([[comp[k][f"s{j}"] for j in range(d)] for k in range(g)])
-            sxx = np.array([[comp[k][f"q{j}"] for j in range(d * d)] for k in range(g)]).reshape(g, d, d)
-            mu = sx / nk[:, None]
-            off = mu - _shift(state)
-            w = sxx - nk[:, None, None] * np.einsum("ki,kj->kij", off, off)
-            w = (w + np.transpose(w, (0, 2, 1))) / 2
             fit.n = int(round(nk.sum()))
             try:
                 with np.errstate(divide="raise", invalid="raise", over="raise"):
@@ -368,6 +457,8 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
                     raise FloatingPointError("non-finite covariance")
                 fit.pi, fit.mu, fit.sigma = nk / nk.sum(), mu, sigma
                 nxt[f] = ("soft", _prepare(fit))
+                if _narrow(sigma, nk, mu, w):
+                    narrow.add(f)
                 fit.iterations += 1
             except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError, OverflowError) as e:
                 fit.failed, fit.reason = True, str(e)[:80] or type(e).__name__
