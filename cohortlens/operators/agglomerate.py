@@ -107,19 +107,16 @@ def partitions(df: DataFrame, cols: Sequence[str], groups: Sequence[int], micro:
     cols = list(cols)
     rows = df.select(key).limit(micro).count()
     centres = kk.fit_many(df, cols, {max(1, min(micro, rows)): (1, 20)}, seed, key).runs[0].centres
-    d = len(cols)
-    got = mx._pass(df, cols, {0: ("hard", centres)}).get(0, {})
-    have = sorted(k for k in got if got[k]["nk"] > 0)
-    centres = centres[have]
-    n = np.array([got[k]["nk"] for k in have])
-    mean = np.array([[got[k][f"s{j}"] for j in range(d)] for k in have]) / n[:, None]
-    w = np.array([[got[k][f"q{j}"] for j in range(d * d)] for k in have]).reshape(len(have), d, d)
+    n, _, sums, w = mx._pass(df, cols, {0: ("hard", centres)})[0]
+    have = n > 0
+    centres, n, w = centres[have], n[have], w[have]
+    mean = sums[have] / n[:, None]
     off = mean - centres                                 # scatter came around the centres
     w = w - n[:, None, None] * off[:, :, None] * off[:, None, :]
     merges = merge_order(n, mean, w)
     out = {}
     for g in groups:
-        group = groups_left(len(have), merges, g)
+        group = groups_left(len(n), merges, g)
         size = np.bincount(group, n)
         means = np.stack([np.bincount(group, n * mean[:, j]) for j in range(d)], axis=1) / size[:, None]
         out[g] = Partition(centres, group, means)

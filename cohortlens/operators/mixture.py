@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import agglomerate
 from cohortlens.operators import kmeans as km
-from cohortlens.operators.partials import combine
+from cohortlens.operators.partials import combine_cells
 from cohortlens.schema import GRID_MODELS, ID
 from cohortlens.session import ship_package
 
@@ -293,7 +293,7 @@ def _estep(cols, states, careful=frozenset()):
     shared = {f: min(o for o in states if states[o][1] is state[1]) for f, state in states.items()}
     by_size: dict[int, list] = {}
     for f, (kind, payload) in states.items():
-        if kind == "soft" and f not in careful:
+        if kind == "soft" and f not in careful and f == shared[f]:
             by_size.setdefault(len(payload[0]), []).append(f)
     wide = [f for g in sorted(by_size) for f in by_size[g]]
     sizes = [(len(by_size[g]), g) for g in sorted(by_size)]
@@ -351,26 +351,34 @@ def _shift(state) -> np.ndarray:
     return payload if kind == "hard" else payload.means if kind == "parts" else payload[1]
 
 
-def _pass(df, cols, states, careful=frozenset()):
+def _pass(df, cols, states, careful=frozenset()) -> dict[int, tuple]:
+    """fit -> (nk, log likelihood, sums, scatter around the previous means) over all rows."""
     ship_package(df.sparkSession)
     d = len(cols)
-    schema = ("fit int, k int, nk double, ll double, " + ", ".join(f"s{j} double" for j in range(d)) + ", "
-              + ", ".join(f"q{j} double" for j in range(d * d)))
-    stat_cols = ["nk", "ll"] + [f"s{j}" for j in range(d)] + [f"q{j}" for j in range(d * d)]
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(_estep(cols, states, careful), schema)
-    out: dict[int, dict[int, dict]] = {}
-    for r in combine(parts, ["fit", "k"], stat_cols):
-        out.setdefault(int(r["fit"]), {})[int(r["k"])] = r
+    sums = _estep(cols, states, careful)
+
+    def fn(it):
+        for frame in sums(it):
+            # every task has the same fits and components in the same order
+            flat = frame.to_numpy(float)[:, 2:].reshape(-1)
+            yield pd.DataFrame({"cell": np.arange(len(flat), dtype=np.int32), "v": flat})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fn, "cell int, v double")
+    sizes = {f: len(_shift(state)) for f, state in states.items()}
+    flat = combine_cells(parts, sum(sizes.values()) * (2 + d + d * d)).reshape(-1, 2 + d + d * d)
+    out, at = {}, 0
+    for f, g in sizes.items():
+        got = flat[at:at + g]
+        out[f] = got[:, 0], float(got[:, 1].sum()), got[:, 2:2 + d], got[:, 2 + d:].reshape(g, d, d)
+        at += g
     return out
 
 
-def _moments(comp: dict, state, g: int, d: int):
+def _moments(sums: tuple, state):
     """(nk, means, scatter matrices) of a fit's components from the sums of a pass."""
-    nk = np.array([comp[k]["nk"] if k in comp else 0.0 for k in range(g)])
+    nk, _, sx, sxx = sums
     if np.any(nk <= 1e-8):
         return nk, None, None
-    sx = np.array([[comp[k][f"s{j}"] for j in range(d)] for k in range(g)])
-    sxx = np.array([[comp[k][f"q{j}"] for j in range(d * d)] for k in range(g)]).reshape(g, d, d)
     mu = sx / nk[:, None]
     off = mu - _shift(state)
     w = sxx - nk[:, None, None] * np.einsum("ki,kj->kij", off, off)
@@ -421,7 +429,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
         again = {}
         for f, state in states.items():
             if state[0] == "soft" and f not in narrow:
-                nk, mu, w = _moments(stats.get(f, {}), state, fits[f].g, d)
+                nk, mu, w = _moments(stats[f], state)
                 if not np.all(np.isfinite(nk)) or (w is not None and _narrow(w / nk[:, None, None], nk, mu, w)):
                     again[f] = state
         if again:
@@ -430,14 +438,12 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
         nxt = {}
         for f, state in states.items():
             fit = fits[f]
-            comp = stats.get(f, {})
-            g = fit.g
+            ll = stats[f][1]
             if state[0] == "soft":
-                lls = [comp[k]["ll"] for k in comp]
-                if any(v is None or not math.isfinite(v) for v in lls):
+                if not math.isfinite(ll):
                     fit.failed, fit.reason = True, "likelihood not finite"
                     continue
-                fit.prev, fit.loglik = fit.loglik, float(sum(lls))
+                fit.prev, fit.loglik = fit.loglik, ll
                 fit.history.append(fit.loglik)
                 if fit.prev is not None and abs(fit.loglik - fit.prev) <= tol * (1 + abs(fit.loglik)):
                     fit.converged = True
@@ -445,7 +451,7 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
                 if max_iter is not None and fit.iterations > max_iter:
                     fit.reason = "iteration limit"
                     continue
-            nk, mu, w = _moments(comp, state, g, d)
+            nk, mu, w = _moments(stats[f], state)
             if w is None:
                 fit.failed, fit.reason = True, "empty component"
                 continue

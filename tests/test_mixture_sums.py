@@ -27,7 +27,7 @@ def test_sums_by_products_are_those_by_differences():
     x = rng.normal(size=(700, 4)) @ rng.normal(size=(4, 4)) + rng.integers(0, 3, (700, 1)) * 3
     cols = list("abcd")
     states = fits(x, (1, 2, 5))
-    tables = [next(mx._estep(cols, states, careful)([pd.DataFrame(x, columns=cols)])).sort_values(["fit", "k"]).to_numpy(float)
+    tables = [next(mx._estep(cols, states, careful)([pd.DataFrame(x, columns=cols)])).to_numpy()
               for careful in (frozenset(), frozenset(states))]
     assert tables[0] == pytest.approx(tables[1], rel=1e-8, abs=1e-8)
 
@@ -36,7 +36,20 @@ def test_all_fits_share_the_products_of_a_tile(monkeypatch):
     """Fits that are not narrow take no pass of their own over a tile's rows."""
     x = np.random.default_rng(0).normal(size=(300, 3))
     monkeypatch.setattr(mx, "_responsibilities", lambda *a: pytest.fail("a fit was summed alone"))
-    assert len(next(mx._estep(list("abc"), fits(x, (2, 3)))([pd.DataFrame(x, columns=list("abc"))]))) == 14 * 5
+    rows = next(mx._estep(list("abc"), fits(x, (2, 3)))([pd.DataFrame(x, columns=list("abc"))]))
+    assert len(rows) == 14 * 5
+
+
+def test_a_pass_sums_the_cells_of_all_tasks(spark):
+    x = np.random.default_rng(0).normal(size=(300, 3))
+    states = fits(x, (2, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(3)
+    got = mx._pass(df, list("abc"), states)
+    nk, ll, sx, sxx = got[20]
+    r, want = mx._responsibilities(x, states[20])
+    assert nk == pytest.approx(r.sum(axis=0)) and ll == pytest.approx(want) and sx == pytest.approx(r.T @ x)
+    assert sxx == pytest.approx(mx._scatter(x, mx._shift(states[20]), r)) and len(got) == 28
+    assert not mx._pass(df.limit(0), list("abc"), states)[0][0].any()
 
 
 def test_narrow_components_go_by_differences():
