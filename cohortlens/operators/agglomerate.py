@@ -118,6 +118,6 @@ def partitions(df: DataFrame, cols: Sequence[str], groups: Sequence[int], micro:
     for g in groups:
         group = groups_left(len(n), merges, g)
         size = np.bincount(group, n)
-        means = np.stack([np.bincount(group, n * mean[:, j]) for j in range(d)], axis=1) / size[:, None]
+        means = np.stack([np.bincount(group, n * mean[:, j]) for j in range(len(cols))], axis=1) / size[:, None]
         out[g] = Partition(centres, group, means)
     return out

@@ -58,3 +58,14 @@ def test_narrow_components_go_by_differences():
     flat = np.stack([np.eye(2), np.diag([1.0, 1e-12])])
     assert not mx._narrow(wide, nk, mu, wide * 50) and mx._narrow(flat, nk, mu, flat * 50)
     assert mx._narrow(np.full((2, 2, 2), np.nan), nk, mu, wide)
+
+
+def test_a_grid_starts_from_the_merge_tree(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(120, 2)), rng.normal(size=(80, 2)) + 9])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(person_id=range(200))).repartition(3)
+    fits = mx.fit_grid(df, ["a", "b"], [1, 2], ["EII", "VVV"], start="agglomerative")
+    assert all(f.converged for f in fits.values())
+    assert sorted(fits[2, "VVV"].pi) == pytest.approx([0.4, 0.6], abs=1e-3)
+    own = np.cov(x.T, bias=True)
+    assert fits[1, "VVV"].sigma[0] == pytest.approx(own, rel=1e-9)
