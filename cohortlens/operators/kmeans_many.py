@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import sq_distance
 from cohortlens.operators import kmeans as km
 from cohortlens.schema import ID
-from cohortlens.session import ship_package, write_stage
+from cohortlens.session import write_stage
 
 TILE_CELLS = 100_000        # distances of a tile: rows x centres, as many as stay in the core's cache
 
@@ -78,7 +78,6 @@ def _tile_sums(x1: np.ndarray, norms: np.ndarray, factors: np.ndarray, k: int, r
 
 def _pass(df: DataFrame, cols: list[str], centres: dict[int, dict[int, np.ndarray]]) -> pa.Table:
     """(run, cluster, n, sse, s0..) of all runs in one scan; ``centres``: k -> run -> k x d. A run's sse stands in its first row."""
-    ship_package(df.sparkSession)
     d = len(cols)
     stacks = [(list(by), k, _factors(np.stack(list(by.values())))) for k, by in centres.items() if by]
     steps = [max(16, TILE_CELLS // len(factors)) for _, _, factors in stacks]
@@ -86,8 +85,8 @@ def _pass(df: DataFrame, cols: list[str], centres: dict[int, dict[int, np.ndarra
     def fn(it):
         total = [None] * len(stacks)
         room = _room(max(step * len(factors) for step, (_, _, factors) in zip(steps, stacks)))
-        for pdf in it:
-            x1 = np.hstack([pdf[cols].to_numpy(dtype=float), np.ones((len(pdf), 1))])
+        for x in it:
+            x1 = np.hstack([x, np.ones((len(x), 1))])
             norms = (x1[:, :d] * x1[:, :d]).sum(axis=1)
             for i, (_, k, factors) in enumerate(stacks):
                 for s in range(0, len(x1), steps[i]):
@@ -98,11 +97,11 @@ def _pass(df: DataFrame, cols: list[str], centres: dict[int, dict[int, np.ndarra
                 flat = got[0].transpose(1, 0, 2).reshape(-1, d + 1)
                 sse = np.zeros((len(runs), k))
                 sse[:, 0] = got[1]
-                yield pd.DataFrame({"run": np.repeat(runs, k), "cluster": np.tile(np.arange(k), len(runs)),
+                yield pd.DataFrame({"run": np.repeat(np.array(runs, np.int32), k), "cluster": np.tile(np.arange(k, dtype=np.int32), len(runs)),
                                     "n": flat[:, d].astype(np.int64), "sse": sse.reshape(-1)} | {f"s{j}": flat[:, j] for j in range(d)})
 
     schema = "run int, cluster int, n bigint, sse double, " + ", ".join(f"s{j} double" for j in range(d))
-    part = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fn, schema)
+    part = km.map_arrays(df, cols, fn, schema)
     return part.groupBy("run", "cluster").agg(*[F.sum(v).alias(v) for v in ["n", "sse"] + [f"s{j}" for j in range(d)]]).toArrow()
 
 

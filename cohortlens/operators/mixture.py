@@ -7,8 +7,8 @@ iteration is ONE pass over the data, where each task evaluates every active
 (G, model) fit with numpy and emits only per-component sufficient
 statistics (n_k, sum r x, sum r x x^T) and its log-likelihood share.  A log
 density is linear in (1, x, x_i x_j), so one product takes the densities of all
-components of all fits and another their statistics; a fit whose covariance or
-scatter would lose digits that way goes by differences from its means.  Spark
+components of all fits and another their statistics; a component whose covariance
+or scatter would lose digits that way goes by differences from its mean.  Spark
 sums those per (fit, component); the driver runs the M-steps on d x d
 matrices.  Jobs = iterations of the slowest fit, not fits x iterations.
 
@@ -42,8 +42,11 @@ from cohortlens.schema import GRID_MODELS, ID
 from cohortlens.session import ship_package
 
 LOG2PI = math.log(2 * math.pi)
-TILE = 1024                 # rows whose temporaries stay in the core's cache
+TILE = 512                  # rows whose temporaries stay in the core's cache
 WIDE_TILE = 256             # the same beside the components of all fits
+WIDE_CELLS = WIDE_TILE << 10    # densities of a tile: fewer components take more rows at a time
+LEAST = -600.0              # log of a share that counts as none; shares that are no normal numbers would be slow
+OWN_AXES = ("EEV", "VEV")   # models that take the axes of each component from its scatter alone
 NARROW = 1e-7               # least variance in any direction, as a share of the rows' mean square, for sums of products
 
 
@@ -221,6 +224,17 @@ def _log_density(x, lp, mu, li, ld):
     return lp - 0.5 * (d * LOG2PI + ld + np.einsum("nkd,nkd->nk", z, z))
 
 
+def _shares(logp: np.ndarray) -> np.ndarray:
+    """The log densities (.. x components x rows) become responsibilities in place; the rows' log likelihoods."""
+    top = logp.max(axis=-2)
+    logp -= top[..., None, :]
+    np.maximum(logp, LEAST, out=logp)
+    np.exp(logp, out=logp)
+    whole = logp.sum(axis=-2)
+    logp *= (1 / whole)[..., None, :]
+    return top + np.log(whole)
+
+
 def _responsibilities(x, state):
     kind, payload = state
     if kind == "parts":
@@ -242,10 +256,17 @@ def _responsibilities(x, state):
 
 def _scatter(x, shift, r):
     """g x d x d: sum of r (x - shift)(x - shift)^T for each component."""
-    out = np.empty((len(shift), x.shape[1], x.shape[1]))
+    return _scatter_of(np.ascontiguousarray(x.T), shift, np.ascontiguousarray(r.T))
+
+
+def _scatter_of(xt, shift, r):
+    """The same with a column for each row of the table: ``xt`` d x rows, ``r`` g x rows."""
+    out = np.empty((len(shift), len(xt), len(xt)))
+    y, yr = np.empty(xt.shape), np.empty(xt.shape)
     for k in range(len(shift)):
-        y = x - shift[k]
-        out[k] = (y * r[:, k, None]).T @ y
+        np.subtract(xt, shift[k][:, None], out=y)
+        np.multiply(y, r[k], out=yr)
+        np.matmul(yr, y.T, out=out[k])
     return out
 
 
@@ -267,46 +288,69 @@ def _weights(payload):
     return np.hstack([const[:, None], turned, -0.5 * prec[:, i, j] * np.where(i == j, 1.0, 2.0)])
 
 
-def _wide_sums(x, weights, sizes):
+def _turns(payload, which):
+    """(what (1, x) is multiplied by for the whitened differences of some components, the rest of their log densities)."""
+    lp, mu, li, ld = (a[which] for a in payload)
+    d = mu.shape[1]
+    turn = np.concatenate([-np.einsum("kij,kj->ki", li, mu)[:, :, None], li], axis=2)
+    return turn.reshape(-1, d + 1), lp - 0.5 * (d * LOG2PI + ld)
+
+
+def _wide_sums(x, weights, sizes, room=None, close=None, flat=()):
     """(sum of responsibility x products of every component, log likelihood of every fit) by two products for all fits.
 
-    ``sizes``: [(fits, components of each)], as the rows of ``weights`` follow each other.
+    ``sizes``: [(fits, components of each)], as the rows of ``weights`` follow each other. ``close``: (rows, ``_turns``) of
+    components whose density is taken by differences. ``flat``: [(rows, means)] of those whose scatter around the means is;
+    these follow. ``room``: place for the densities.
     """
+    d = x.shape[1]
     q = _products(x)
-    r = weights @ q
+    r = np.empty(len(weights) * len(x)) if room is None else room[:len(weights) * len(x)]
+    r = np.matmul(weights, q, out=r.reshape(len(weights), len(x)))
+    if close is not None:
+        rows, turn, rest = close
+        z = (turn @ q[:d + 1]).reshape(len(rows), d, -1)
+        np.multiply(z, z, out=z)
+        r[rows] = rest[:, None] - 0.5 * z.sum(axis=1)
     lls, at = [], 0
     for fits, g in sizes:
-        part = r[at:at + fits * g].reshape(fits, g, -1)
-        top = part.max(axis=1)
-        part -= top[:, None]
-        np.exp(part, out=part)
-        whole = part.sum(axis=1)
-        part /= whole[:, None]
-        lls.append((top + np.log(whole)).sum(axis=1))
+        lls.append(_shares(r[at:at + fits * g].reshape(fits, g, -1)).sum(axis=1))
         at += fits * g
-    return r @ q.T, np.concatenate(lls)
+    return r @ q.T, np.concatenate(lls), *[_scatter_of(q[1:d + 1], mu, r[at]) for at, mu in flat]
 
 
-def _estep(cols, states, careful=frozenset()):
+def _estep(cols, states, careful=frozenset(), flat={}):
+    """A task's frames, or rows x measures arrays, -> a frame of the sums of all fits.
+
+    ``careful``: fit -> components that go by differences (fits alone: all of theirs), ``flat``: those whose scatter does.
+    """
     d = len(cols)
+    careful = {f: sorted(careful[f] if isinstance(careful, dict) else range(len(_shift(states[f])))) for f in careful if f in states}
+    flat = {f: sorted({*flat.get(f, ()), *careful.get(f, ())}) for f in {*flat, *careful} if f in states}
     # fits of one start share its very state: it is summed once
     shared = {f: min(o for o in states if states[o][1] is state[1]) for f, state in states.items()}
     by_size: dict[int, list] = {}
     for f, (kind, payload) in states.items():
-        if kind == "soft" and f not in careful and f == shared[f]:
+        if kind == "soft" and f == shared[f]:
             by_size.setdefault(len(payload[0]), []).append(f)
     wide = [f for g in sorted(by_size) for f in by_size[g]]
     sizes = [(len(by_size[g]), g) for g in sorted(by_size)]
     weights = np.vstack([_weights(states[f][1]) for f in wide]) if wide else None
+    firsts = dict(zip(wide, np.cumsum([0] + [len(_shift(states[f])) for f in wide]).tolist()))
+    exact = {f: (firsts[f] + np.array(flat[f]), _shift(states[f])[flat[f]]) for f in wide if f in flat}
+    turns = [(firsts[f] + np.array(careful[f]), *_turns(states[f][1], careful[f])) for f in wide if f in careful]
+    close = tuple(map(np.concatenate, zip(*turns))) if turns else None
     single = sorted(set(shared.values()) - set(wide))
+    step = max(WIDE_TILE, WIDE_CELLS // len(weights)) if wide else 0
 
     def fn(it):
         total: dict[int, list] = {}
         sums = None
-        for pdf in it:
-            every = pdf[cols].to_numpy(dtype=float)
-            for at in range(0, len(every), WIDE_TILE) if wide else ():
-                got = _wide_sums(every[at:at + WIDE_TILE], weights, sizes)
+        room = np.empty(step * len(weights)) if wide else None
+        for rows in it:
+            every = rows[cols].to_numpy(dtype=float) if isinstance(rows, pd.DataFrame) else rows
+            for at in range(0, len(every), step) if wide else ():
+                got = _wide_sums(every[at:at + step], weights, sizes, room, close, exact.values())
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
             for at in range(0, len(every), TILE) if single else ():
                 x = every[at:at + TILE]
@@ -321,16 +365,18 @@ def _estep(cols, states, careful=frozenset()):
                         total[fid] = stats
         if sums is not None:
             i, j = np.triu_indices(d)
-            at = 0
+            differences = dict(zip(exact, sums[2:]))
             for fid, ll in zip(wide, sums[1]):
                 mu = _shift(states[fid])
-                got = sums[0][at:at + len(mu)]
-                at += len(mu)
+                got = sums[0][firsts[fid]:firsts[fid] + len(mu)]
                 nk, sx, sxx = got[:, 0], got[:, 1:d + 1], np.empty((len(mu), d, d))
                 sxx[:, i, j] = sxx[:, j, i] = got[:, d + 1:]
                 # the scatter around the previous means, as the other fits have it
                 cross = np.einsum("ki,kj->kij", mu, sx)
-                total[fid] = [nk, ll, sx, sxx - cross - cross.transpose(0, 2, 1) + nk[:, None, None] * np.einsum("ki,kj->kij", mu, mu)]
+                w = sxx - cross - cross.transpose(0, 2, 1) + nk[:, None, None] * np.einsum("ki,kj->kij", mu, mu)
+                if fid in differences:
+                    w[flat[fid]] = differences[fid]
+                total[fid] = [nk, ll, sx, w]
         # one frame of all fits: pandas would spend longer on gluing many wide ones
         blocks = []
         for fid, first in shared.items():
@@ -351,25 +397,27 @@ def _shift(state) -> np.ndarray:
     return payload if kind == "hard" else payload.means if kind == "parts" else payload[1]
 
 
-def _pass(df, cols, states, careful=frozenset()) -> dict[int, tuple]:
+def _pass(df, cols, states, careful=frozenset(), flat={}) -> dict[int, tuple]:
     """fit -> (nk, log likelihood, sums, scatter around the previous means) over all rows."""
-    ship_package(df.sparkSession)
     d = len(cols)
-    sums = _estep(cols, states, careful)
+    i, j = np.triu_indices(d)
+    sums = _estep(cols, states, careful, flat)
+    width = 2 + d + len(i)
 
     def fn(it):
         for frame in sums(it):
-            # every task has the same fits and components in the same order
-            flat = frame.to_numpy(float)[:, 2:].reshape(-1)
-            yield pd.DataFrame({"cell": np.arange(len(flat), dtype=np.int32), "v": flat})
+            # every task has the same fits and components in the same order; the scatter is symmetric
+            cells = frame.to_numpy(float)[:, np.r_[2:4 + d, 4 + d + i * d + j]].reshape(-1)
+            yield pd.DataFrame({"cell": np.arange(len(cells), dtype=np.int32), "v": cells})
 
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fn, "cell int, v double")
     sizes = {f: len(_shift(state)) for f, state in states.items()}
-    flat = combine_cells(parts, sum(sizes.values()) * (2 + d + d * d)).reshape(-1, 2 + d + d * d)
+    cells = combine_cells(km.map_arrays(df, cols, fn, "cell int, v double"), sum(sizes.values()) * width).reshape(-1, width)
     out, at = {}, 0
     for f, g in sizes.items():
-        got = flat[at:at + g]
-        out[f] = got[:, 0], float(got[:, 1].sum()), got[:, 2:2 + d], got[:, 2 + d:].reshape(g, d, d)
+        got = cells[at:at + g]
+        w = np.empty((g, d, d))
+        w[:, i, j] = w[:, j, i] = got[:, 2 + d:]
+        out[f] = got[:, 0], float(got[:, 1].sum()), got[:, 2:2 + d], w
         at += g
     return out
 
@@ -387,10 +435,15 @@ def _moments(sums: tuple, state):
 
 def _narrow(cov: np.ndarray, nk: np.ndarray, mu: np.ndarray, w: np.ndarray) -> bool:
     """Whether a covariance matrix is so narrow in some direction that sums of products lose digits (or is no number)."""
+    return len(_narrow_ones(cov, nk, mu, w)) > 0
+
+
+def _narrow_ones(cov: np.ndarray, nk: np.ndarray, mu: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The components whose covariance matrix is (all, if one is no number)."""
     if not (np.all(np.isfinite(cov)) and np.all(np.isfinite(w))):
-        return True
+        return np.arange(len(cov))
     scale = (np.einsum("kii->", w) + (nk * (mu * mu).sum(axis=1)).sum()) / (nk.sum() * mu.shape[1])
-    return not np.linalg.eigvalsh(cov).min() >= NARROW * scale
+    return np.flatnonzero(~(np.linalg.eigvalsh(cov).min(axis=1) >= NARROW * scale))
 
 
 def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models: Sequence[str] = GRID_MODELS,
@@ -422,56 +475,97 @@ def fit_grid(df: DataFrame, cols: Sequence[str], groups: Sequence[int], models:
             keys[fid] = (g, m)
             fid += 1
     states = {f: first[fit.g] for f, fit in fits.items()}
-    narrow: set[int] = set()            # fits that go by differences
+    narrow: dict[int, frozenset] = {}   # fit -> components that go by differences
+    flat: dict[int, frozenset] = {}     # those whose scatter does
     while states:
-        stats = _pass(rows, cols, states, narrow)
-        # a fit with a component that has become narrow is summed once more, by differences
+        stats = _pass(rows, cols, states, narrow, flat)
+        steps = {f: _step(fits[f], stats[f], state) for f, state in states.items() if not _settled(fits[f], stats[f], state, tol)}
+        # a fit whose sums of products may have lost digits is summed once more, by differences
         again = {}
-        for f, state in states.items():
-            if state[0] == "soft" and f not in narrow:
-                nk, mu, w = _moments(stats[f], state)
-                if not np.all(np.isfinite(nk)) or (w is not None and _narrow(w / nk[:, None, None], nk, mu, w)):
-                    again[f] = state
+        for f, step in steps.items():
+            if states[f][0] == "soft" and _more(narrow, f, step.lost) | _more(flat, f, step.flat):
+                again[f] = states[f]
         if again:
-            narrow |= set(again)
-            stats |= _pass(rows, cols, again, narrow)
+            stats |= _pass(rows, cols, again, narrow, flat)
+            steps |= {f: _step(fits[f], stats[f], state) for f, state in again.items()}
         nxt = {}
         for f, state in states.items():
-            fit = fits[f]
-            ll = stats[f][1]
+            fit, ll = fits[f], stats[f][1]
             if state[0] == "soft":
                 if not math.isfinite(ll):
                     fit.failed, fit.reason = True, "likelihood not finite"
                     continue
+                settled = _settled(fit, stats[f], state, tol)
                 fit.prev, fit.loglik = fit.loglik, ll
                 fit.history.append(fit.loglik)
-                if fit.prev is not None and abs(fit.loglik - fit.prev) <= tol * (1 + abs(fit.loglik)):
+                if settled:
                     fit.converged = True
                     continue
                 if max_iter is not None and fit.iterations > max_iter:
                     fit.reason = "iteration limit"
                     continue
-            nk, mu, w = _moments(stats[f], state)
-            if w is None:
-                fit.failed, fit.reason = True, "empty component"
+            step = steps[f]
+            if step.mu is not None:
+                fit.n = int(round(step.nk.sum()))
+            if step.reason:
+                fit.failed, fit.reason = True, step.reason
                 continue
-            fit.n = int(round(nk.sum()))
-            try:
-                with np.errstate(divide="raise", invalid="raise", over="raise"):
-                    sigma = m_step(fit.model, nk, w, prev=fit.sigma)
-                if not np.all(np.isfinite(sigma)):
-                    raise FloatingPointError("non-finite covariance")
-                fit.pi, fit.mu, fit.sigma = nk / nk.sum(), mu, sigma
-                nxt[f] = ("soft", _prepare(fit))
-                if _narrow(sigma, nk, mu, w):
-                    narrow.add(f)
-                fit.iterations += 1
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError, OverflowError) as e:
-                fit.failed, fit.reason = True, str(e)[:80] or type(e).__name__
+            fit.pi, fit.mu, fit.sigma = step.nk / step.nk.sum(), step.mu, step.sigma
+            nxt[f] = ("soft", step.payload)
+            _more(narrow, f, step.lost)
+            fit.iterations += 1
         states = nxt
     return {keys[f]: fit for f, fit in fits.items()}
 
 
+def _more(known: dict[int, frozenset], f: int, found: frozenset) -> bool:
+    """Whether there are new components among those found; they are known from now on."""
+    new = not found <= known.get(f, frozenset())
+    if new:
+        known[f] = known.get(f, frozenset()) | found
+    return new
+
+
+def _settled(fit: Fit, sums: tuple, state, tol: float) -> bool:
+    return state[0] == "soft" and fit.loglik is not None and abs(sums[1] - fit.loglik) <= tol * (1 + abs(sums[1]))
+
+
+@dataclass
+class _Step:
+    """A fit's M-step: what the next pass needs, or the ``reason`` why there is none.
+
+    ``lost``: components whose sums of products may have lost digits that the step needs; ``flat``: those with a narrow scatter.
+    """
+
+    nk: np.ndarray
+    mu: np.ndarray | None = None
+    sigma: np.ndarray | None = None
+    payload: tuple | None = None
+    reason: str | None = None
+    lost: frozenset = frozenset()
+    flat: frozenset = frozenset()
+
+
+def _step(fit: Fit, sums: tuple, state) -> _Step:
+    nk, mu, w = _moments(sums, state)
+    if w is None:
+        return _Step(nk, reason="empty component")
+    every = frozenset(range(len(nk)))
+    step = _Step(nk, mu, lost=frozenset() if np.all(np.isfinite(nk)) else every)
+    try:
+        if fit.model in OWN_AXES:
+            step.flat = frozenset(_narrow_ones(w / nk[:, None, None], nk, mu, w).tolist())
+        with np.errstate(divide="raise", invalid="raise", over="raise"):
+            step.sigma = m_step(fit.model, nk, w, prev=fit.sigma)
+        if not np.all(np.isfinite(step.sigma)):
+            raise FloatingPointError("non-finite covariance")
+        step.payload = _prepare(Fit(fit.model, fit.g, nk / nk.sum(), mu, step.sigma))
+        step.lost |= frozenset(_narrow_ones(step.sigma, nk, mu, w).tolist())
+    except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError, OverflowError) as e:
+        step.reason, step.lost = str(e)[:80] or type(e).__name__, every
+    return step
+
+
 def _classify(cols, params, key, keep=False):
     def fn(it):
         for pdf in it:

@@ -69,3 +69,40 @@ def test_a_grid_starts_from_the_merge_tree(spark):
     assert sorted(fits[2, "VVV"].pi) == pytest.approx([0.4, 0.6], abs=1e-3)
     own = np.cov(x.T, bias=True)
     assert fits[1, "VVV"].sigma[0] == pytest.approx(own, rel=1e-9)
+
+
+def test_a_narrow_scatter_alone_takes_no_pass_by_differences(spark, monkeypatch):
+    """Equal shapes keep a component wide where its own rows are not; only its scatter goes by differences."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(150, 3)) * [1, 1, 0] + 6])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(person_id=range(300))).repartition(3)
+    real, asked = mx._pass, []
+
+    def run(rows, cols, states, careful=frozenset(), flat={}):
+        asked.append((set(careful), dict(flat)))
+        return real(rows, cols, states, careful, flat)
+
+    monkeypatch.setattr(mx, "_pass", run)
+    fits = mx.fit_grid(df, list("abc"), [2], ["VEE", "VEV"], start="agglomerative")
+    assert fits[2, "VEE"].converged and fits[2, "VEV"].converged
+    assert not any(careful for careful, _ in asked) and [len(v) for v in asked[-1][1].values()] in ([], [1])
+    assert any(flat for _, flat in asked)
+
+
+def test_components_of_one_fit_go_by_products_or_differences():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(700, 4)) + 1e3
+    states = fits(x, (3,))
+    whole, scatter, both = (next(mx._estep(list("abcd"), states, careful, flat)([x])).to_numpy() for careful, flat in
+                            ((frozenset(states), {}), ({}, {f: (0, 2) for f in states}), ({f: frozenset((0, 2)) for f in states}, {})))
+    for got in (scatter, both):
+        assert got[:, 2:8] == pytest.approx(whole[:, 2:8], rel=1e-6)
+        assert got[:, 8:] == pytest.approx(whole[:, 8:], abs=1e-4)
+    noise = np.abs(both - whole)[:, 8:].max(axis=1).reshape(-1, 3)
+    assert noise[:, [0, 2]].max() < noise[:, 1].min()
+
+
+def test_shares_too_small_to_matter_are_normal_numbers():
+    logp = np.array([[[0.0, -5000.0], [-700.0, 0.0]]])
+    ll = mx._shares(logp)
+    assert ll.tolist() == [[0.0, 0.0]] and logp.min() >= np.finfo(float).tiny and logp.max() == 1.0
