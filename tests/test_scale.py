@@ -276,3 +276,22 @@ def test_raw_measures_write_the_persons_before_the_joins(spark, tmp_path):
     assert got == [(1, 4.0, 153.0, "1.0", 0.75), (2, 1.0, 0.0, "NULL", 0.0), (2, 1.0, 0.0, "NULL", 0.0), (4, 3.0, 366.0, "1.0", pytest.approx(1 / 3))]
     null = out.where("person_id = 3").first()
     assert (null.care_contacts, null.length_care, null.contact_prop_aft_midpoint) == (1.0, None, 0.0)
+
+
+def test_start_rows_are_those_with_the_smallest_keys(spark, monkeypatch):
+    """The keys of all seeds are taken in arrays: no expression of Spark for each seed and row."""
+    import hashlib
+    from cohortlens.operators import sampling
+
+    ids = [3, -7, 0, 10, 99, 12345, 10 ** 12, -2 ** 63, *range(200, 260)]
+    df = spark.createDataFrame([(i, float(n)) for n, i in enumerate(ids)], "person_id long, a double").repartition(3)
+    monkeypatch.setattr(sampling, "sample_key", lambda *a: pytest.fail("a key was taken by Spark"))
+    got = km.start_rows(df, ["a"], [123, 4567], 5)
+    for seed in (123, 4567):
+        order = sorted(ids, key=lambda i: int(hashlib.md5(f"{i}|{seed}".encode()).hexdigest()[:15], 16))
+        assert got[seed][:, 0].tolist() == [ids.index(i) for i in order[:5]]
+    texts = ["", "x" * 40, "y" * 41, "é" * 60, "5"]
+    raw = "".join(texts).encode()
+    off = np.cumsum([0] + [len(t.encode()) for t in texts])
+    assert sampling.sample_keys(np.frombuffer(raw, np.uint8), off, [9])[0].tolist() == [
+        int(hashlib.md5(f"{t}|9".encode()).hexdigest()[:15], 16) for t in texts]
